@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +26,18 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from ranklore import queries as family
+
+    for module in pkgutil.iter_modules(family.__path__):
+        importlib.import_module(f"{family.__name__}.{module.name}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _SQL

@@ -8,7 +8,7 @@ broadcast) turn local numbers into global ones.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,3 +80,27 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     for k in keys:
         on = on & left[k].eqNullSafe(renamed[f"__r_{k}"])
     return left.join(renamed, on).drop(*[f"__r_{k}" for k in keys])
+
+
+def with_neighbours(
+    df: DataFrame, order_by: list[str], marked: Column, fields: list[str], block: int = 100_000, partitions: int | None = None
+) -> DataFrame:
+    """Add ``l`` and ``r``: structs of ``fields`` of the nearest marked rows before and after each row (the
+    as-of join of two key lists in one order). Blocks of consecutive rows are searched apart; what
+    lies in other blocks comes from one row a block."""
+    placed = staged(with_position(df, order_by, "__pos", partitions), "ordered").withColumn("__block", F.floor(F.col("__pos") / block))
+    pt = F.when(marked, F.struct("__pos", *fields))
+    ends = placed.groupBy("__block").agg(F.max(pt).alias("__last"), F.min(pt).alias("__first"))
+    blocks = Window.orderBy("__block")  # one row a block
+    carried = ends.select(
+        "__block",
+        F.last("__last", True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
+        F.first("__first", True).over(blocks.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
+    )
+    inner = Window.partitionBy("__block").orderBy("__pos")
+    return (
+        placed.join(F.broadcast(carried), "__block")
+        .withColumn("l", F.coalesce(F.last(pt, True).over(inner.rowsBetween(Window.unboundedPreceding, -1)), "__before"))
+        .withColumn("r", F.coalesce(F.first(pt, True).over(inner.rowsBetween(1, Window.unboundedFollowing)), "__after"))
+        .drop("__pos", "__block", "__before", "__after")
+    )
