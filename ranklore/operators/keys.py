@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from ranklore.plans.ranking import with_position
 from ranklore.plans.workspace import staged
 
+#: Up to so many different keys one task adds up the counts; beyond, range partitions and blocks do.
+ONE_TASK_KEYS = 500_000
 KEY_TYPES = {"uint64": T.LongType(), "uint32": T.LongType(), "f64": T.DoubleType()}
 
 
@@ -27,7 +29,12 @@ def unique_keys(df: DataFrame, key: str) -> DataFrame:
     third of all rows hold is one row here; positions are running sums of the counts
     over a range-partitioned order.
     """
-    counts = staged(df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("copies")), "key-counts")
+    counts = staged(
+        df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("copies")), "key-counts"
+    )
+    if counts.count() <= ONE_TASK_KEYS:
+        before = Window.partitionBy(F.lit(1)).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select("key", F.coalesce(F.sum("copies").over(before), F.lit(0)).alias("pos"), "copies")
     placed = staged(with_position(counts, ["key"], "__nth"), "key-order")
     # blocks of equal size: sums within a block locally, sums of whole blocks in between
     block = F.floor(F.col("__nth") / 100_000)

@@ -176,9 +176,8 @@ def fit_two_layer(df: DataFrame, key: str, spec: str = "linear,linear", leaves:
         raise ValueError("cannot train on an empty table")
     every = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     rows = keys.withColumn("__copy", every).drop("__copy", "copies")
-    top = staged(_fit_one(rows.withColumn("y", scaled(F.col("y"), leaves / n)), names[0], []), "top").select(
-        F.lit(0).cast("bigint").alias("leaf"), "p"
-    )
+    root = _fit_one(rows.withColumn("y", scaled(F.col("y"), leaves / n)), names[0], []).first()  # one row
+    top = df.sparkSession.createDataFrame([(0, list(root["p"]))], "leaf bigint, p array<double>")
     raw = KINDS[names[0]].predict(F.col("p"), F.col("k") if KINDS[names[0]].integer_keys else F.col("x"))
     placed = staged(
         keys.crossJoin(F.broadcast(top.drop("leaf")))
