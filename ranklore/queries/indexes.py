@@ -1,0 +1,269 @@
+"""Queries on vector indexes, codecs, transforms, graphs and the configuration search."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ranklore.catalogue import register
+from ranklore.functions import bits
+from ranklore.operators import codecs as Q
+from ranklore.operators import graphs as G
+from ranklore.operators import indexes as IX
+from ranklore.operators import search as S
+from ranklore.operators import selector as SEL
+from ranklore.operators import transforms as TR
+from ranklore.queries.layout import _ASSIGN, _SUM, _first
+from ranklore.queries.tables import table
+
+
+def _e(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings")
+
+
+_PAIR = _SUM.format(a="q.v", b="b.v")
+
+
+@register(
+    "ivf_search_nprobe",
+    f"WITH {_ASSIGN}, pr AS (SELECT vec_id AS query_id, centroid_id FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, centroid_id) AS n FROM p) WHERE n <= 2 AND vec_id % 50 = 0), "
+    f"s AS (SELECT query_id, b.vec_id AS base_id, {_PAIR} AS d FROM pr JOIN e q ON q.vec_id = query_id JOIN a USING (centroid_id) JOIN e b ON b.vec_id = a.vec_id), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, base_id) AS n FROM s) SELECT query_id, base_id, round(d, 6) AS distance, n::INTEGER AS nn_rank FROM r WHERE n <= 10",
+)
+def ivf_search_nprobe(spark, sf_dir):
+    e = _e(spark, sf_dir)
+    index = IX.VectorIndex(Q.Flat()).fit(e, _first(e)).add(e)
+    return index.search(e.filter("vec_id % 50 = 0"), 10, probes=2).withColumn("distance", F.round("distance", 6))
+
+
+@register(
+    "ivf_range_search",
+    f"WITH {_ASSIGN}, pr AS (SELECT vec_id AS query_id, centroid_id FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, centroid_id) AS n FROM p) WHERE n <= 3 AND vec_id % 50 = 0), "
+    f"s AS (SELECT query_id, b.vec_id AS base_id, {_PAIR} AS d FROM pr JOIN e q ON q.vec_id = query_id JOIN a USING (centroid_id) JOIN e b ON b.vec_id = a.vec_id) "
+    "SELECT query_id, base_id, round(d, 6) AS distance FROM s WHERE d < 1.6",
+)
+def ivf_range_search(spark, sf_dir):
+    e = _e(spark, sf_dir)
+    index = IX.VectorIndex(Q.Flat()).fit(e, _first(e)).add(e)
+    return index.range_search(e.filter("vec_id % 50 = 0"), 1.6, probes=3).withColumn("distance", F.round("distance", 6))
+
+
+@register(
+    "sq8_encode_decode",
+    "WITH u AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings), "
+    "m AS (SELECT dim, min(x) AS lo, max(x) - min(x) AS span FROM u GROUP BY dim) "
+    "SELECT vec_id, sum(least(greatest(floor((x - lo) / span * 255 + 0.5), 0), 255))::BIGINT AS code_sum, "
+    "round(sum(least(greatest(floor((x - lo) / span * 255 + 0.5), 0), 255) / 255.0::DOUBLE * span + lo), 6) AS decoded_sum FROM u JOIN m USING (dim) GROUP BY vec_id",
+)
+def sq8_encode_decode(spark, sf_dir):
+    """All rows train the bounds: one aggregate per dimension, then affine expressions."""
+    e = _e(spark, sf_dir).select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "x"))
+    bounds = e.groupBy("dim").agg(F.min("x").alias("lo"), (F.max("x") - F.min("x")).alias("span"))
+    code = F.least(F.greatest(F.floor((F.col("x") - F.col("lo")) / F.col("span") * 255 + 0.5), F.lit(0)), F.lit(255))
+    told = e.join(F.broadcast(bounds), "dim").withColumn("c", code)  # one row a dimension
+    return told.groupBy("vec_id").agg(F.sum("c").alias("code_sum"), F.round(F.sum(F.col("c") / 255.0 * F.col("span") + F.col("lo")), 6).alias("decoded_sum"))
+
+
+@register(
+    "pq_assign",
+    "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT vec_id, i AS part, v[i * 16 + 1 : i * 16 + 16] AS w FROM e, range(4) t(i)), "
+    f"d AS (SELECT s.vec_id, s.part, c.vec_id AS word, {_SUM.format(a='s.w', b='c.w')} AS d FROM s JOIN s c ON c.part = s.part AND c.vec_id < 16) "
+    "SELECT vec_id, part::INTEGER AS part, word::INTEGER AS word FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, part ORDER BY d, word) AS n FROM d) WHERE n = 1",
+)
+def pq_assign(spark, sf_dir):
+    """Codes against a fixed codebook: the sub-vectors of the first 16 rows."""
+    e = _e(spark, sf_dir)
+    books = _first(e, 16).reshape(16, 4, 16).transpose(1, 0, 2)
+    codec = Q.Product(4, 4, books)
+    index = IX.VectorIndex(codec)
+    codes = index.encode(e)
+    words = F.array(*[F.conv(F.hex(F.substring("code", i + 1, 1)), 16, 10).cast("int") for i in range(4)])
+    return codes.select("vec_id", F.posexplode(words).alias("part", "word"))
+
+
+@register(
+    "lsh_codes",
+    "WITH u AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings), m AS (SELECT dim, median(x) AS cut FROM u WHERE dim < 32 GROUP BY dim) "
+    "SELECT vec_id, sum(CASE WHEN x >= cut THEN 1 ELSE 0 END)::BIGINT AS ones FROM u JOIN m USING (dim) GROUP BY vec_id",
+)
+def lsh_codes(spark, sf_dir):
+    """Sign bits of the first 32 dimensions against their medians."""
+    e = _e(spark, sf_dir)
+    pos = e.select("vec_id", F.posexplode(F.slice(F.col("embedding").cast("array<double>"), 1, 32)).alias("dim", "x"))
+    cuts = pos.groupBy("dim").agg(F.percentile("x", F.lit(0.5)).alias("cut"))
+    return pos.join(F.broadcast(cuts), "dim").groupBy("vec_id").agg(F.sum((F.col("x") >= F.col("cut")).cast("bigint")).alias("ones"))
+
+
+@register(
+    "flat_1d_knn",
+    "WITH q AS (SELECT event_id AS query_id, value AS q FROM events WHERE event_id % 500 = 0), "
+    "r AS (SELECT query_id, event_id AS base_id, (value - q) * (value - q) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY (value - q) * (value - q)) AS n FROM q, events) "
+    "SELECT query_id, n::INTEGER AS nn_rank, round(distance, 9) AS distance FROM r WHERE n <= 5",
+)
+def flat_1d_knn(spark, sf_dir):
+    base = table(spark, sf_dir, "events").select(F.col("event_id").alias("vec_id"), F.col("value").alias("x"))
+    found = IX.flat_1d(base.filter("vec_id % 500 = 0"), base, 5)
+    return found.select("query_id", "nn_rank", F.round("distance", 9).alias("distance"))
+
+
+@register(
+    "split_vectors_search",
+    f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), r AS (SELECT q.vec_id AS query_id, b.vec_id AS base_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_PAIR}, b.vec_id) AS n FROM e q, e b WHERE q.vec_id % 100 = 0) "
+    "SELECT query_id, base_id, n::INTEGER AS nn_rank FROM r WHERE n <= 5",
+)
+def split_vectors_search(spark, sf_dir):
+    e = _e(spark, sf_dir)
+    return IX.SplitVectors([(0, 20), (20, 64)]).search(e.filter("vec_id % 100 = 0"), e, 5).select("query_id", "base_id", "nn_rank")
+
+
+@register(
+    "sliding_window_index",
+    f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), r AS (SELECT q.vec_id AS query_id, b.vec_id AS base_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_PAIR}, b.vec_id) AS n FROM e q, e b WHERE q.vec_id % 100 = 0 AND b.vec_id % 4 IN (2, 3)) "
+    "SELECT query_id, base_id, n::INTEGER AS nn_rank FROM r WHERE n <= 5",
+)
+def sliding_window_index(spark, sf_dir):
+    e = _e(spark, sf_dir)
+    window = IX.SlidingIndex(2)
+    for part in range(4):
+        window.step(e.filter(F.col("vec_id") % 4 == part))
+    return window.search(e.filter("vec_id % 100 = 0"), 5).select("query_id", "base_id", "nn_rank")
+
+
+@register(
+    "index_maintenance",
+    f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), r AS (SELECT q.vec_id AS query_id, b.vec_id AS base_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_PAIR}, b.vec_id) AS n FROM e q, e b WHERE q.vec_id % 100 = 0 AND b.vec_id % 3 <> 1) "
+    "SELECT query_id, base_id, n::INTEGER AS nn_rank FROM r WHERE n <= 5",
+)
+def index_maintenance(spark, sf_dir):
+    """add, merge, update and remove on an inverted file whose lists are all probed."""
+    e = _e(spark, sf_dir)
+    first = IX.VectorIndex(Q.Flat()).fit(e, _first(e)).add(e.filter("vec_id < 200"))
+    second = IX.VectorIndex(Q.Flat()).fit(e, _first(e)).add(e.filter("vec_id >= 200"))
+    index = first.merge(second).update(e.filter("vec_id % 7 = 0")).remove(e.filter("vec_id % 3 = 1"))
+    return index.search(e.filter("vec_id % 100 = 0"), 5, probes=8).select("query_id", "base_id", "nn_rank")
+
+
+@register(
+    "binary_multi_hash",
+    "WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN 1 ELSE 0 END) AS b FROM embeddings), "
+    "p AS (SELECT a.vec_id AS query_id, c.vec_id AS base_id, list_sum(list_transform(list_zip(a.b, c.b), lambda t: abs(t[1] - t[2])))::INTEGER AS distance, a.b AS x, c.b AS y FROM s a, s c WHERE a.vec_id % 100 = 0) "
+    "SELECT query_id, base_id, distance FROM p WHERE distance < 26 AND least("
+    + ", ".join(f"list_sum(list_transform(list_zip(x[{i * 16 + 1}:{i * 16 + 16}], y[{i * 16 + 1}:{i * 16 + 16}]), lambda t: abs(t[1] - t[2])))" for i in range(4))
+    + ") <= 2",
+)
+def binary_multi_hash(spark, sf_dir):
+    codes = _e(spark, sf_dir).select("vec_id", bits.sign_words(F.col("embedding"), 64).alias("code"))
+    return IX.binary_hash_search(codes.filter("vec_id % 100 = 0"), codes, 16, 2, 26, tables=4)
+
+
+@register("binary_ivf")
+def binary_ivf(spark, sf_dir):
+    codes = _e(spark, sf_dir).select("vec_id", bits.sign_words(F.col("embedding"), 64).alias("code"))
+    return IX.binary_ivf_search(codes.filter("vec_id % 50 = 0"), codes, codes.filter("vec_id < 8"), 3, 5)
+
+
+def _recall_query(name: str, make, **settings):
+    @register(name)
+    def run(spark, sf_dir):
+        """query_id, recall@10 of an approximate index against exact search."""
+        e = _e(spark, sf_dir)
+        q = e.filter("vec_id % 20 = 0")
+        found = make().fit(e).add(e).search(q, 10, **settings).select("query_id", "base_id").withColumn("hit", F.lit(1))
+        truth = S.knn(q, e, 10).select("query_id", "base_id")
+        return truth.join(found, ["query_id", "base_id"], "left").groupBy("query_id").agg((F.count("hit") / 10.0).alias("recall"))
+
+
+for _name, _text, _settings in (
+    ("index_pq", "PQ16x6", {}),
+    ("index_opq_pq", "OPQ16,PQ16x6", {}),
+    ("index_pca_ivf_sq8", "PCA32,IVF8,SQ8", {"probes": 4}),
+    ("index_ivf_pq_residual", "IVF8r,PQ16x6", {"probes": 4}),
+    ("index_rq", "RQ8x6", {}),
+    ("index_lsq", "LSQ4x6", {}),
+    ("index_prq", "PRQ4x4x5", {}),
+    ("index_rabitq", "RaBitQ", {}),
+    ("index_minmax", "MinMax", {}),
+    ("index_fp16", "SQfp16", {}),
+    ("index_bf16", "SQbf16", {}),
+    ("index_lattice", "ZnLattice40", {}),
+    ("index_refine_pq", "Refine(PQ16x6)", {}),
+    ("index_hnsw", "HNSW12", {"ef": 80}),
+    ("index_nsg", "NSG16", {"ef": 80}),
+):
+    _recall_query(_name, lambda _text=_text: IX.index_factory(_text), **_settings)
+
+
+@register(
+    "graph_skeleton_edges",
+)
+def graph_skeleton_edges(spark, sf_dir):
+    return G.skeleton(_e(spark, sf_dir), 8, 60)[1]
+
+
+@register(
+    "pca_explained",
+)
+def pca_explained(spark, sf_dir):
+    pca = TR.Pca(8).fit(_e(spark, sf_dir))
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(pca.explained)], "axis int, share double")
+
+
+_COV = "WITH u AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings) SELECT round(covar_pop(a, b), 9) AS cov, round(var_pop(a), 9) AS var, count(*) AS n FROM u"
+
+
+@register("covariance_moments", _COV)
+def covariance_moments(spark, sf_dir):
+    n, _, cov = TR.moments(_e(spark, sf_dir))
+    return spark.createDataFrame([(round(float(cov[0, 1]), 9), round(float(cov[0, 0]), 9), n)], "cov double, var double, n bigint")
+
+
+@register("selector_run")
+def selector_run(spark, sf_dir):
+    """A small configuration search: every tried candidate with its scores."""
+    e = _e(spark, sf_dir)
+    options = SEL.Options(bits=32, k_values=(4, 8), knn_values=(4,), branches=(8,), specs=("linear,linear",), two_opts=(4,), max_trains=4, rounds=1, iterations=3, node_counts=(32, 64), windows=(20, 50, 100))
+    return SEL.select(e, e.filter("vec_id % 25 = 0"), options).frame(spark)
+
+
+@register(
+    "selector_k_ladder",
+    "SELECT * FROM (VALUES " + ", ".join(f"({n}::BIGINT, {k}::BIGINT)" for n, ks in ((10_000, (32, 64, 128, 256)),) for k in ks) + ") t(n, k)",
+)
+def selector_k_ladder(spark, sf_dir):
+    return spark.createDataFrame([(10_000, k) for k in SEL.default_k_values(10_000, 10_000, True)], "n bigint, k bigint")
+
+
+_OBJ = [("a", 0.8, 0.02, 1.0, 100), ("b", 0.7, 0.03, 0.5, 60), ("c", 0.81, 0.05, 2.0, 300), ("d", 0.6, 0.06, 0.9, 200)]
+_OBJ_SQL = ", ".join(f"('{n}', {q}::DOUBLE, {r}::DOUBLE, {t}::DOUBLE, {s}::DOUBLE)" for n, q, r, t, s in _OBJ)
+
+
+@register(
+    "objective_scores",
+    f"WITH c(name, q, r, t, s) AS (VALUES {_OBJ_SQL}) SELECT name, round((0.55 * (q - min(q) OVER ()) / (max(q) OVER () - min(q) OVER ()) + 0.20 * (1 - (r - min(r) OVER ()) / (max(r) OVER () - min(r) OVER ())) "
+    "+ 0.10 * (1 - (t - min(t) OVER ()) / (max(t) OVER () - min(t) OVER ())) + 0.10 * (1 - (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ())) + 0.05 * 0.5) / 1.0, 9) AS objective FROM c",
+)
+def objective_scores(spark, sf_dir):
+    ms = [SEL.Metrics(SEL.Config(2, 1), True, q, q, q, r, t, s) for _, q, r, t, s in _OBJ]
+    SEL.assign_objectives(ms, SEL.Weights())
+    return spark.createDataFrame([(o[0], round(m.objective, 9)) for o, m in zip(_OBJ, ms, strict=True)], "name string, objective double")
+
+
+@register("selector_roles", "SELECT * FROM (VALUES ('fast', 'a'), ('knee', 'a'), ('peak_recall', 'c'), ('small', 'a')) t(role, name)")
+def selector_roles(spark, sf_dir):
+    ms = [SEL.Metrics(SEL.Config(2, 1), True, q, q, q, r, t, s) for _, q, r, t, s in _OBJ]
+    names = {id(m): o[0] for m, o in zip(ms, _OBJ, strict=True)}
+    return spark.createDataFrame([(role, names[id(m)]) for role, m in SEL.roles(ms).items()], "role string, name string")
+
+
+@register(
+    "pareto_five_objectives",
+    f"WITH c(name, q, r, t, s) AS (VALUES {_OBJ_SQL}) SELECT name FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.q >= c.q AND o.r <= c.r AND o.t <= c.t AND o.s <= c.s AND (o.q > c.q OR o.r < c.r OR o.t < c.t OR o.s < c.s))",
+)
+def pareto_five_objectives(spark, sf_dir):
+    ms = [SEL.Metrics(SEL.Config(2, 1), True, q, q, q, r, t, s) for _, q, r, t, s in _OBJ]
+    names = {id(m): o[0] for m, o in zip(ms, _OBJ, strict=True)}
+    return spark.createDataFrame([(names[id(m)],) for m in SEL.front(ms)], "name string")
+
+
+def mean_recall(df) -> float:
+    return float(np.mean([r["recall"] for r in df.collect()]))
