@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,48 +114,76 @@ def _clipped_error(a: Column, b: Column, n: int) -> Column:
     return F.abs(F.least(a, top) - F.least(b, top))
 
 
-def _finish(spec, widths, n, layers, keys: DataFrame, stats: DataFrame, integer_keys: bool) -> LearnedIndex:
-    """Per-leaf errors with the corrections for absent keys, and the metrics over all rows."""
-    leaf_kind, table, leaves = spec[-1], layers[-1], widths[-1]
-    raw = KINDS[leaf_kind].predict(F.col("p"), F.col("k") if KINDS[leaf_kind].integer_keys else F.col("x"))
-    told = staged(
-        keys.join(_side(table, leaves), "leaf").withColumn("__e", _clipped_error(to_position(raw), F.col("y"), n)), "predicted"
-    )
-    own = told.groupBy("leaf").agg(F.max("__e").alias("own_err"))
-    around = leaf_neighbours(stats, leaves, n).join(table, "leaf", "left").join(own, "leaf", "left")
-    step = F.lit(1.0) if integer_keys else F.lit(EPSILON)
+def _local(spark, columns: dict, schema: str) -> DataFrame:
+    """A model table from driver arrays (one row a leaf)."""
+    frame = pa.table({k: pa.array(v) for k, v in columns.items()})
+    return spark.createDataFrame(frame).selectExpr(*[f"CAST({f.split(maxsplit=1)[0]} AS {f.split(maxsplit=1)[1]}) AS {f.split()[0]}" for f in schema.split(", ")])
+
+
+class _Around:
+    """For every leaf, what the non-empty leaves before and after it hold; from the collected leaf statistics."""
 
-    def at(x: Column) -> Column:
-        return to_position(KINDS[leaf_kind].predict(F.col("p"), x.cast("bigint") if KINDS[leaf_kind].integer_keys else x))
+    def __init__(self, stats: pd.DataFrame, leaves: int, n: int):
+        self.stats = stats.sort_values("leaf").reset_index(drop=True)
+        held, every = self.stats["leaf"].to_numpy(), np.arange(leaves)
+        after, before = np.searchsorted(held, every, "right"), np.searchsorted(held, every, "left") - 1
+        first_pos, first_key = self.stats["first_pos"].to_numpy(), self.stats["first_key"].to_numpy()
+        last_key = self.stats["last_key"].to_numpy()
+        some = after < len(held)
+        at = np.minimum(after, max(len(held) - 1, 0))
+        self.next_pos = np.where(some, first_pos[at], n)
+        self.next_key = np.where(some, first_key[at], LARGEST)
+        self.prev_key = np.where(before >= 0, last_key[np.maximum(before, 0)], 0.0)
+        self.rows, self.run = np.zeros(leaves, np.int64), np.zeros(leaves, np.int64)
+        self.rows[held], self.run[held] = self.stats["n"].to_numpy(), self.stats["longest_run"].to_numpy()
 
+
+def _finish(spec, widths, n, layers, keys: DataFrame, around: _Around, integer_keys: bool) -> LearnedIndex:
+    """Per-leaf errors with the corrections for absent keys, and the metrics over all rows.
+
+    Rows are reduced to one a leaf by Spark; the leaf tables are model-sized.
+    """
+    kind, table, leaves, spark = KINDS[spec[-1]], layers[-1], widths[-1], keys.sparkSession
+    raw = kind.predict(F.col("p"), F.col("k") if kind.integer_keys else F.col("x"))
+    e = _clipped_error(to_position(raw), F.col("y"), n)
+    told = keys.join(_side(table, leaves), "leaf").select("leaf", "copies", e.alias("e"))
+    w, d = F.col("copies"), F.col("e").cast("double")
+    own = told.groupBy("leaf").agg(F.max("e").alias("own"), F.sum(w * d).alias("s1"), F.sum(w * d * d).alias("s2")).toPandas()
+    own_err = np.zeros(leaves, np.int64)
+    own_err[own["leaf"].to_numpy()] = own["own"].to_numpy()
+    step = 1.0 if integer_keys else EPSILON
     # a leaf looks at the first position after the leaf before it; leaf 0 at the one after itself
-    shift = Window.orderBy("leaf")
-    first_after_previous = F.coalesce(F.lag("next_pos").over(shift), F.col("next_pos"))
-    upper = _clipped_error(at(F.col("next_key") - step), F.col("next_pos") + 1, n)
-    lower = _clipped_error(at(F.col("prev_key") + step), first_after_previous, n)
-    errors = staged(
-        around.withColumn("__lower", lower).select(
-            "leaf",
-            F.coalesce("n", F.lit(0)).alias("n"),
-            F.coalesce("own_err", F.lit(0)).alias("own_err"),
-            (
-                F.greatest(F.coalesce("own_err", F.lit(0)), F.coalesce(upper, F.lit(0)), F.coalesce("__lower", F.lit(0)))
-                + F.coalesce("longest_run", F.lit(0))
-            ).alias("max_err"),
-        ),
-        "leaf-errors",
+    first_after = np.concatenate((around.next_pos[:1], around.next_pos[:-1]))
+    ends = _local(
+        spark,
+        {"leaf": np.arange(leaves), "hi": around.next_key - step, "lo": around.prev_key + step, "hi_pos": around.next_pos + 1, "lo_pos": first_after},
+        "leaf bigint, hi double, lo double, hi_pos bigint, lo_pos bigint",
     )
-    e, rows = F.col("max_err").cast("double"), F.lit(float(n))
-    by_leaf = errors.agg(
-        (F.sum(F.col("n") * e) / rows).alias("avg_err"),
-        (F.sum(F.col("n") * e * e) / rows).alias("avg_l2_err"),
-        (F.sum(F.col("n") * F.log2(2 * e + 2)) / rows).alias("avg_log2_err"),
-        F.max("max_err").alias("max_err"),
+
+    def off(x: str, pos: str) -> Column:
+        point = F.col(x).cast("bigint") if kind.integer_keys and integer_keys else F.col(x)
+        return _clipped_error(to_position(kind.predict(F.col("p"), point)), F.col(pos), n)
+
+    gaps = ends.join(table, "leaf", "left").select("leaf", F.greatest(F.coalesce(off("hi", "hi_pos"), F.lit(0)), F.coalesce(off("lo", "lo_pos"), F.lit(0))).alias("g"))
+    gap = gaps.toPandas().sort_values("leaf")["g"].to_numpy()
+    max_err = np.maximum(own_err, gap) + around.run
+    errors = _local(spark, {"leaf": np.arange(leaves), "n": around.rows, "own_err": own_err, "max_err": max_err}, "leaf bigint, n bigint, own_err bigint, max_err bigint")
+    m = max_err.astype(float)
+    metrics = spark.createDataFrame(
+        [
+            (
+                float((around.rows * m).sum() / n),
+                float((around.rows * m * m).sum() / n),
+                float((around.rows * np.log2(2 * m + 2)).sum() / n),
+                int(max_err.max()),
+                float(own["s1"].sum() / n),
+                float(np.sqrt(own["s2"].sum() / n)),
+                float(np.log2(2 * m.max() + 2)),
+            )
+        ],
+        "avg_err double, avg_l2_err double, avg_log2_err double, max_err bigint, mae double, rmse double, max_log2_err double",
     )
-    w, d = F.col("copies"), F.col("__e").cast("double")
-    by_row = told.agg((F.sum(w * d) / rows).alias("mae"), F.sqrt(F.sum(w * d * d) / rows).alias("rmse"))
-    metrics = by_leaf.crossJoin(by_row).withColumn("max_log2_err", F.log2(2 * F.col("max_err") + 2))
-    return LearnedIndex(spec, leaves, n, layers, errors, staged(metrics, "metrics"), widths)
+    return LearnedIndex(spec, widths[-1], n, layers, errors, metrics, widths)
 
 
 def fit_two_layer(df: DataFrame, key: str, spec: str = "linear,linear", leaves: int = 64) -> LearnedIndex:
@@ -179,45 +208,46 @@ def fit_two_layer(df: DataFrame, key: str, spec: str = "linear,linear", leaves:
     root = _fit_one(rows.withColumn("y", scaled(F.col("y"), leaves / n)), names[0], []).first()  # one row
     top = df.sparkSession.createDataFrame([(0, list(root["p"]))], "leaf bigint, p array<double>")
     raw = KINDS[names[0]].predict(F.col("p"), F.col("k") if KINDS[names[0]].integer_keys else F.col("x"))
-    placed = staged(
+    placed = (
         keys.crossJoin(F.broadcast(top.drop("leaf")))
-        .withColumn("target", to_position(raw))
-        .withColumn("leaf", F.least("target", F.lit(leaves - 1).cast("bigint")))
-        .drop("p"),
-        "placed",
+        .withColumn("leaf", F.least(to_position(raw), F.lit(leaves - 1).cast("bigint")))
+        .drop("p")
+    )
+    around = _Around(leaf_stats(placed).toPandas(), leaves, n)  # one row a leaf
+    _require_monotone(around.stats)
+    spark, held = df.sparkSession, around.stats["leaf"].to_numpy()
+    upper_half = held[held >= leaves // 2]
+    split = upper_half[0] if len(upper_half) and len(upper_half) < len(held) else leaves
+    lend = np.flatnonzero((held[:-1] < split) == (held[1:] < split))  # neighbours in the same pass
+    ends = {c: around.stats[c].to_numpy() for c in ("first_key", "last_key", "first_pos", "last_pos")}
+    shared = _local(
+        spark,
+        {
+            "leaf": np.concatenate((held[lend + 1], held[lend])),
+            "x": np.concatenate((ends["last_key"][lend], ends["first_key"][lend + 1])),
+            "y": np.concatenate((ends["last_pos"][lend], ends["first_pos"][lend + 1])),
+        },
+        "leaf bigint, x double, y bigint",
     )
-    stats = staged(leaf_stats(placed), "leaf-stats")
-    _require_monotone(stats)
-    half = leaves // 2
-    split = stats.filter(F.col("leaf") >= half).agg(F.min("leaf")).first()[0]
-    two_passes = split is not None and not stats.filter(F.col("leaf") < half).isEmpty() and split > 0
-    part = F.when(F.col("leaf") >= split, 1).otherwise(0) if two_passes else F.lit(0)
-    order = Window.partitionBy("part").orderBy("leaf")
-    neighbours = stats.withColumn("part", part)
-    last = F.struct(F.col("last_key").alias("x"), F.col("last_pos").alias("y"))
-    first = F.struct(F.col("first_key").alias("x"), F.col("first_pos").alias("y"))
-    lent = neighbours.select("leaf", F.lag(last).over(order).alias("a"), F.lead(first).over(order).alias("b"))
-    shared = lent.select("leaf", F.explode(F.array("a", "b")).alias("pt")).filter("pt IS NOT NULL")
     member = placed.withColumn("__copy", every).select("leaf", "x", "k", "y")
-    data = member.unionByName(shared.select("leaf", "pt.x", F.col("pt.x").cast("bigint").alias("k"), "pt.y"))
+    data = member.unionByName(shared.select("leaf", "x", F.col("x").cast("bigint").alias("k"), "y"))
     fitted = _fit_one(data, names[1], ["leaf"])
-    after = leaf_neighbours(stats, leaves, n).select("leaf", "n", "next_pos")
+    after = _local(spark, {"leaf": np.arange(leaves), "n": around.rows, "next_pos": around.next_pos}, "leaf bigint, n bigint, next_pos bigint")
     empty = F.array(*[F.lit(v) for v in KINDS[names[1]].empty]).cast("array<double>")
     constant = KINDS[names[1]].constant(F.col("next_pos"))
     patched = F.when(F.col("leaf") < leaves - 1, constant).otherwise(empty) if constant is not None else empty
     leaf_table = staged(
         after.join(fitted, "leaf", "left").select(
-            "leaf", F.when(F.col("n").isNull(), patched).otherwise(F.coalesce("p", empty)).alias("p")
+            "leaf", F.when(F.col("n") == 0, patched).otherwise(F.coalesce("p", empty)).alias("p")
         ),
         "leaves",
     )
-    return _finish(names, [1, leaves], n, [top, leaf_table], placed.select("leaf", "x", "k", "y", "copies"), stats, integer_keys)
+    return _finish(names, [1, leaves], n, [top, leaf_table], placed.select("leaf", "x", "k", "y", "copies"), around, integer_keys)
 
 
-def _require_monotone(stats: DataFrame) -> None:
+def _require_monotone(stats: pd.DataFrame) -> None:
     """Leaves must follow the keys; a root model that turns back is an error."""
-    order = Window.orderBy("leaf")
-    if not stats.withColumn("__b", F.lag("last_key").over(order)).filter(F.col("first_key") < F.col("__b")).isEmpty():
+    if (stats["first_key"].to_numpy()[1:] < stats["last_key"].to_numpy()[:-1]).any():
         raise ValueError("non-monotonic target index")
 
 
@@ -259,8 +289,8 @@ def fit_multi_layer(df: DataFrame, key: str, spec: str, branch: int, max_leaves:
                 "routed",
             )
             width = wide
-    keyed = now.groupBy("leaf", "x", "k", "y").agg(F.count(F.lit(1)).alias("copies"))
-    return _finish(names, widths, n, layers, staged(keyed, "routed-keys"), staged(leaf_stats(keyed), "leaf-stats"), integer_keys)
+    keyed = staged(now.groupBy("leaf", "x", "k", "y").agg(F.count(F.lit(1)).alias("copies")), "routed-keys")
+    return _finish(names, widths, n, layers, keyed, _Around(leaf_stats(keyed).toPandas(), width, n), integer_keys)
 
 
 def train(df: DataFrame, key: str, spec: str = "linear,linear", branch: int = 64) -> LearnedIndex:

@@ -81,12 +81,14 @@ def map_prediction(prediction: Column, mapping: Mapping) -> Column:
     )
 
 
-def _wide_hash(mapping: Mapping):
-    @F.pandas_udf("string")
-    def hashed(prediction: pd.Series) -> pd.Series:
+def wide_hash(mapping: Mapping):
+    """Hex hash of a prediction as a vectorised Python function, for any width."""
+
+    def hashed(prediction):
         return prediction.map(lambda p: W.to_hex(mapping.map_prediction(float(p)), mapping.bits))
 
-    return hashed
+    hashed.__annotations__ = {"prediction": pd.Series, "return": pd.Series}
+    return F.pandas_udf(hashed, "string")
 
 
 @dataclass
@@ -108,7 +110,7 @@ class ScalarHash:
         """``keys`` with raw, prediction and hash_hex, and ``hash`` (DECIMAL) up to 64 bits."""
         told = self.index.predict(keys, key).drop("leaf", "pred", "err").withColumn("prediction", self.calibrated(F.col("raw")))
         if self.mapping.bits > 64:
-            return told.withColumn("hash_hex", _wide_hash(self.mapping)(F.coalesce("prediction", F.lit(0.0))))
+            return told.withColumn("hash_hex", wide_hash(self.mapping)(F.coalesce("prediction", F.lit(0.0))))
         hashed = told.withColumn("hash", map_prediction(F.col("prediction"), self.mapping))
         return hashed.withColumn("hash_hex", W.decimal_hex(F.col("hash"), self.mapping.bits))
 

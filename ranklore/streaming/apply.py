@@ -9,9 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ranklore.operators.centroids import squared_distances
+from ranklore.operators.scalar_hash import wide_hash
 from ranklore.plans.workspace import drop_path, path_exists
 
 
@@ -56,30 +60,18 @@ def stream_quantiles(df: DataFrame, column: str, shares: dict[str, float], accur
 def register_functions(spark: SparkSession, prefix: str, scalar=None, vector=None) -> list[str]:
     """SQL functions of trained models: ``<prefix>_map(prediction)`` for a scalar hash's mapping (hex),
     ``<prefix>_nearest(vector)`` for a vector hash's centroid."""
-    import numpy as np
-    import pandas as pd
-
-    from ranklore.functions import wide as W
-    from ranklore.operators.centroids import squared_distances
-
     made = []
     if scalar is not None:
-        mapping = scalar.mapping
-
-        @F.pandas_udf("string")
-        def mapped(prediction: pd.Series) -> pd.Series:
-            return prediction.map(lambda p: W.to_hex(mapping.map_prediction(float(p)), mapping.bits))
-
-        spark.udf.register(f"{prefix}_map", mapped)
+        spark.udf.register(f"{prefix}_map", wide_hash(scalar.mapping))
         made.append(f"{prefix}_map")
     if vector is not None:
         centroids, active = vector.centroids, vector.active
 
-        @F.pandas_udf("bigint")
-        def nearest(v: pd.Series) -> pd.Series:
+        def nearest(v):
             x = np.array(v.tolist(), np.float64)
             return pd.Series(active[squared_distances(x, centroids[active]).argmin(1)])
 
-        spark.udf.register(f"{prefix}_nearest", nearest)
+        nearest.__annotations__ = {"v": pd.Series, "return": pd.Series}
+        spark.udf.register(f"{prefix}_nearest", F.pandas_udf(nearest, "bigint"))
         made.append(f"{prefix}_nearest")
     return made
