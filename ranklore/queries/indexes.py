@@ -26,26 +26,26 @@ _PAIR = _SUM.format(a="q.v", b="b.v")
 
 @register(
     "ivf_search_nprobe",
-    f"WITH {_ASSIGN}, pr AS (SELECT vec_id AS query_id, centroid_id FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, centroid_id) AS n FROM p) WHERE n <= 2 AND vec_id % 50 = 0), "
+    f"WITH {_ASSIGN}, pr AS (SELECT vec_id AS query_id, centroid_id FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, centroid_id) AS n FROM p) WHERE n <= 2 AND vec_id % 100 = 0), "
     f"s AS (SELECT query_id, b.vec_id AS base_id, {_PAIR} AS d FROM pr JOIN e q ON q.vec_id = query_id JOIN a USING (centroid_id) JOIN e b ON b.vec_id = a.vec_id), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, base_id) AS n FROM s) SELECT query_id, base_id, round(d, 6) AS distance, n::INTEGER AS nn_rank FROM r WHERE n <= 10",
 )
 def ivf_search_nprobe(spark, sf_dir):
     e = _e(spark, sf_dir)
     index = IX.VectorIndex(Q.Flat()).fit(e, _first(e)).add(e)
-    return index.search(e.filter("vec_id % 50 = 0"), 10, probes=2).withColumn("distance", F.round("distance", 6))
+    return index.search(e.filter("vec_id % 100 = 0"), 10, probes=2).withColumn("distance", F.round("distance", 6))
 
 
 @register(
     "ivf_range_search",
-    f"WITH {_ASSIGN}, pr AS (SELECT vec_id AS query_id, centroid_id FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, centroid_id) AS n FROM p) WHERE n <= 3 AND vec_id % 50 = 0), "
+    f"WITH {_ASSIGN}, pr AS (SELECT vec_id AS query_id, centroid_id FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, centroid_id) AS n FROM p) WHERE n <= 3 AND vec_id % 100 = 0), "
     f"s AS (SELECT query_id, b.vec_id AS base_id, {_PAIR} AS d FROM pr JOIN e q ON q.vec_id = query_id JOIN a USING (centroid_id) JOIN e b ON b.vec_id = a.vec_id) "
     "SELECT query_id, base_id, round(d, 6) AS distance FROM s WHERE d < 1.6",
 )
 def ivf_range_search(spark, sf_dir):
     e = _e(spark, sf_dir)
     index = IX.VectorIndex(Q.Flat()).fit(e, _first(e)).add(e)
-    return index.range_search(e.filter("vec_id % 50 = 0"), 1.6, probes=3).withColumn("distance", F.round("distance", 6))
+    return index.range_search(e.filter("vec_id % 100 = 0"), 1.6, probes=3).withColumn("distance", F.round("distance", 6))
 
 
 @register(
@@ -96,13 +96,13 @@ def lsh_codes(spark, sf_dir):
 
 @register(
     "flat_1d_knn",
-    "WITH q AS (SELECT event_id AS query_id, value AS q FROM events WHERE event_id % 500 = 0), "
+    "WITH q AS (SELECT event_id AS query_id, value AS q FROM events WHERE event_id % 100 = 0), "
     "r AS (SELECT query_id, event_id AS base_id, (value - q) * (value - q) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY (value - q) * (value - q)) AS n FROM q, events) "
     "SELECT query_id, n::INTEGER AS nn_rank, round(distance, 9) AS distance FROM r WHERE n <= 5",
 )
 def flat_1d_knn(spark, sf_dir):
     base = table(spark, sf_dir, "events").select(F.col("event_id").alias("vec_id"), F.col("value").alias("x"))
-    found = IX.flat_1d(base.filter("vec_id % 500 = 0"), base, 5)
+    found = IX.flat_1d(base.filter("vec_id % 100 = 0"), base, 5)
     return found.select("query_id", "nn_rank", F.round("distance", 9).alias("distance"))
 
 
@@ -159,7 +159,7 @@ def binary_multi_hash(spark, sf_dir):
 @register("binary_ivf")
 def binary_ivf(spark, sf_dir):
     codes = _e(spark, sf_dir).select("vec_id", bits.sign_words(F.col("embedding"), 64).alias("code"))
-    return IX.binary_ivf_search(codes.filter("vec_id % 50 = 0"), codes, codes.filter("vec_id < 8"), 3, 5)
+    return IX.binary_ivf_search(codes.filter("vec_id % 100 = 0"), codes, codes.filter("vec_id < 8"), 3, 5)
 
 
 def _recall_query(name: str, make, **settings):
@@ -167,7 +167,7 @@ def _recall_query(name: str, make, **settings):
     def run(spark, sf_dir):
         """query_id, recall@10 of an approximate index against exact search."""
         e = _e(spark, sf_dir)
-        q = e.filter("vec_id % 20 = 0")
+        q = e.filter("vec_id % 100 = 0")
         found = make().fit(e).add(e).search(q, 10, **settings).select("query_id", "base_id").withColumn("hit", F.lit(1))
         truth = S.knn(q, e, 10).select("query_id", "base_id")
         return truth.join(found, ["query_id", "base_id"], "left").groupBy("query_id").agg((F.count("hit") / 10.0).alias("recall"))
@@ -222,7 +222,7 @@ def selector_run(spark, sf_dir):
     """A small configuration search: every tried candidate with its scores."""
     e = _e(spark, sf_dir)
     options = SEL.Options(bits=32, k_values=(4, 8), knn_values=(4,), branches=(8,), specs=("linear,linear",), two_opts=(4,), max_trains=4, rounds=1, iterations=3, node_counts=(32, 64), windows=(20, 50, 100))
-    return SEL.select(e, e.filter("vec_id % 25 = 0"), options).frame(spark)
+    return SEL.select(e, e.filter("vec_id % 100 = 0"), options).frame(spark)
 
 
 @register(

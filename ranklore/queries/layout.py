@@ -170,7 +170,7 @@ def vector_hash_256(spark, sf_dir):
 
 _KNN = f"""
 kn AS (SELECT query_id, base_id, n::INTEGER AS nn_rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS base_id,
-       row_number() OVER (PARTITION BY a.vec_id ORDER BY {_SUM.format(a='a.v', b='b.v')}, b.vec_id) AS n FROM e a, e b WHERE a.vec_id % 25 = 0 AND a.vec_id <> b.vec_id) WHERE n <= 10)"""
+       row_number() OVER (PARTITION BY a.vec_id ORDER BY {_SUM.format(a='a.v', b='b.v')}, b.vec_id) AS n FROM e a, e b WHERE a.vec_id <> b.vec_id) WHERE n <= 10)"""
 
 
 @register(
@@ -181,7 +181,7 @@ kn AS (SELECT query_id, base_id, n::INTEGER AS nn_rank FROM (SELECT a.vec_id AS
 )
 def centroid_affinity(spark, sf_dir):
     e = _embeddings(spark, sf_dir)
-    links = S.knn(e.filter("vec_id % 25 = 0"), e, 10, exclude_self=True).select(F.col("query_id").alias("src"), F.col("base_id").alias("dst"))
+    links = S.knn(e, e, 10, exclude_self=True).select(F.col("query_id").alias("src"), F.col("base_id").alias("dst"))
     return C.graph_affinity(links, C.assign(e, _first(e))).withColumn("weight", F.round("weight", 9))
 
 
@@ -189,7 +189,7 @@ def centroid_affinity(spark, sf_dir):
 
 _EVAL = f"""{_HASHED}, {_KNN}, n AS (SELECT count(*) AS n FROM hs),
 rk AS (SELECT vec_id, hash, row_number() OVER (ORDER BY hash, vec_id) - 1 AS rank FROM hs),
-po AS (SELECT q.vec_id AS query_id, q.hash AS qh, least(any_value(n.n) - 1, count(b.vec_id)) AS pos FROM hs q LEFT JOIN hs b ON b.hash < q.hash, n WHERE q.vec_id % 25 = 0 GROUP BY 1, 2),
+po AS (SELECT q.vec_id AS query_id, q.hash AS qh, least(any_value(n.n) - 1, count(b.vec_id)) AS pos FROM hs q LEFT JOIN hs b ON b.hash < q.hash, n WHERE q.vec_id % 100 = 0 GROUP BY 1, 2),
 nb AS (SELECT query_id, nn_rank, base_id, rank, pos, n.n AS n, 1.0::DOUBLE / log2(nn_rank + 1.0::DOUBLE) AS weight, abs(rank - pos) AS rank_gap, abs(rk.hash - qh)::DOUBLE AS hash_gap
        FROM kn JOIN rk ON rk.vec_id = base_id JOIN po USING (query_id), n)"""
 _NODES = (32, 64, 128)
@@ -204,8 +204,8 @@ qo AS (SELECT query_id, sum(weight / (1.0 + ring)) / sum(weight) AS overlay FROM
 def _neighbours(spark, sf_dir):
     e = _embeddings(spark, sf_dir)
     hashed = _plain_hash(e).apply(e).select("vec_id", F.col("hash").cast("bigint").alias("hash"))
-    queries = hashed.filter("vec_id % 25 = 0")
-    truth = S.knn(e.filter("vec_id % 25 = 0"), e, 10, exclude_self=True)
+    queries = hashed.filter("vec_id % 100 = 0")
+    truth = S.knn(e.filter("vec_id % 100 = 0"), e, 10, exclude_self=True)
     return hashed, queries, truth
 
 
@@ -217,7 +217,7 @@ def base_rank(spark, sf_dir):
 @register(
     "query_lower_bound_pos",
     f"WITH {_HASHED}, n AS (SELECT count(*) AS n FROM hs) SELECT q.vec_id AS query_id, least(any_value(n.n) - 1, count(b.vec_id)) AS pos "
-    "FROM hs q LEFT JOIN hs b ON b.hash < q.hash, n WHERE q.vec_id % 25 = 0 GROUP BY 1",
+    "FROM hs q LEFT JOIN hs b ON b.hash < q.hash, n WHERE q.vec_id % 100 = 0 GROUP BY 1",
 )
 def query_lower_bound_pos(spark, sf_dir):
     hashed, queries, _ = _neighbours(spark, sf_dir)
@@ -314,13 +314,13 @@ def layout_evaluation(spark, sf_dir):
 
 @register(
     "truth_groundtruth_check",
-    f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), {_KNN} SELECT count(*) AS rows, sum(CASE WHEN base_id < 0 OR base_id >= (SELECT count(*) FROM e) THEN 1 ELSE 0 END)::BIGINT AS out_of_bounds, 0::BIGINT AS unordered FROM kn",
+    f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), {_KNN} SELECT count(*) AS rows, sum(CASE WHEN base_id < 0 OR base_id >= (SELECT count(*) FROM e) THEN 1 ELSE 0 END)::BIGINT AS out_of_bounds, 0::BIGINT AS unordered FROM kn WHERE query_id % 100 = 0",
 )
 def truth_check(spark, sf_dir):
     from ranklore.sources.truth import truth_faults
 
     e = _embeddings(spark, sf_dir)
-    return truth_faults(S.knn(e.filter("vec_id % 25 = 0"), e, 10, exclude_self=True), e.count())
+    return truth_faults(S.knn(e.filter("vec_id % 100 = 0"), e, 10, exclude_self=True), e.count())
 
 
 @register(

@@ -203,14 +203,14 @@ def cdf_piecewise_knots(spark, sf_dir):
 
 @register(
     "cdf_piecewise_predict",
-    f"WITH kn AS ({_KNOTS}), p AS (SELECT e.event_id, e.value AS x, max(kn.knot) AS l FROM events e JOIN kn ON kn.x <= e.value WHERE e.event_id % 50 = 0 GROUP BY 1, 2) "
+    f"WITH kn AS ({_KNOTS}), p AS (SELECT e.event_id, e.value AS x, max(kn.knot) AS l FROM events e JOIN kn ON kn.x <= e.value GROUP BY 1, 2) "
     "SELECT event_id, round(CASE WHEN b.x IS NULL THEN 1.0 WHEN p.x <= (SELECT min(x) FROM kn) THEN 0 ELSE (l + CASE WHEN b.x > a.x THEN (p.x - a.x) / (b.x - a.x) ELSE 0 END) / 31 END, 6) AS cdf "
     "FROM p JOIN kn a ON a.knot = l LEFT JOIN kn b ON b.knot = l + 1",
 )
 def cdf_piecewise_predict(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     knots = M.quantile_knots(e.select(F.col("value").alias("x")), [])
-    asked = e.filter("event_id % 50 = 0").crossJoin(F.broadcast(knots))  # 32 numbers
+    asked = e.crossJoin(F.broadcast(knots))  # 32 numbers
     return asked.select("event_id", F.round(M.predict_knots(F.col("p"), F.col("value")), 6).alias("cdf"))
 
 
@@ -403,8 +403,8 @@ def narrow_front(spark, sf_dir):
     return spark.createDataFrame([tuple(c[k] for k in ("spec", "branch", "size")) for c in L.narrow_front(front, 3)], "spec string, branch bigint, size bigint")
 
 
-@register("rm_model_search")
-def rm_model_search(spark, sf_dir):
+@register("rm_config_search")
+def rm_config_search(spark, sf_dir):
     """Measured configurations of a small grid and their Pareto front."""
     events = table(spark, sf_dir, "events")
     measured = L.measure(events, "value", [("linear,linear", 16), ("linear,linear", 64), ("cubic,linear", 16), ("robust_linear,linear", 64)])

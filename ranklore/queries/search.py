@@ -95,13 +95,13 @@ for _metric, (_with, _expr) in _METRIC_SQL.items():
 
 @register(
     "knn_self_excluded",
-    f"WITH {_E}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS base_id, {_L2} AS d FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), "
+    f"WITH {_E}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS base_id, {_L2} AS d FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, base_id) AS n FROM p) "
     "SELECT query_id, base_id, round(d, 6) AS distance, CAST(n AS INTEGER) AS nn_rank FROM r WHERE n <= 10",
 )
 def knn_self_excluded(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return S.knn(e.filter("vec_id % 50 = 0"), e, 10, exclude_self=True).withColumn("distance", F.round("distance", 6))
+    return S.knn(e.filter("vec_id % 100 = 0"), e, 10, exclude_self=True).withColumn("distance", F.round("distance", 6))
 
 
 @register(
@@ -127,13 +127,13 @@ def range_search_ip(spark, sf_dir):
 @register(
     "knn_by_lists",
     f"WITH {_E}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS base_id, {_L2} AS d FROM e a JOIN e b "
-    "ON b.vec_id BETWEEN a.vec_id AND a.vec_id + 20 WHERE a.vec_id % 25 = 0), "
+    "ON b.vec_id BETWEEN a.vec_id AND a.vec_id + 20 WHERE a.vec_id % 100 = 0), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, base_id) AS n FROM p) "
     "SELECT query_id, base_id, round(d, 6) AS distance, CAST(n AS INTEGER) AS nn_rank FROM r WHERE n <= 5",
 )
 def knn_by_lists(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    lists = e.filter("vec_id % 25 = 0").select(
+    lists = e.filter("vec_id % 100 = 0").select(
         F.col("vec_id").alias("query_id"), F.sequence(F.col("vec_id"), F.col("vec_id") + 20).alias("candidates")
     )
     return S.knn_by_lists(e, e, lists, 5).withColumn("distance", F.round("distance", 6))
@@ -142,22 +142,22 @@ def knn_by_lists(spark, sf_dir):
 @register(
     "pairwise_l2_matrix",
     f"WITH {_E} SELECT a.vec_id AS query_id, b.vec_id AS base_id, round({_L2}, 6) AS distance FROM e a, e b "
-    "WHERE a.vec_id < 20 AND b.vec_id < 20",
+    "WHERE a.vec_id % 100 = 0",
 )
 def pairwise_l2_matrix(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").filter("vec_id < 20")
-    return S.range_search(e, e, float("inf")).withColumn("distance", F.round("distance", 6))
+    e = table(spark, sf_dir, "embeddings")
+    return S.range_search(e.filter("vec_id % 100 = 0"), e, float("inf")).withColumn("distance", F.round("distance", 6))
 
 
 @register(
     "shard_merge_topk",
-    f"WITH {_E}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS base_id, {_L2} AS d FROM e a, e b WHERE a.vec_id % 100 = 7), "
+    f"WITH {_E}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS base_id, {_L2} AS d FROM e a, e b WHERE a.vec_id % 100 = 0), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, base_id) AS n FROM p) "
     "SELECT query_id, base_id, round(d, 6) AS distance, CAST(n AS INTEGER) AS nn_rank FROM r WHERE n <= 10",
 )
 def shard_merge_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id % 100 = 7")
+    q = e.filter("vec_id % 100 = 0")
     shards = [S.knn(q, e.filter(F.col("vec_id") % 3 == s), 10) for s in range(3)]
     return S.merge_top_k(shards, 10).withColumn("distance", F.round("distance", 6))
 
@@ -185,7 +185,7 @@ def groundtruth_spot_check(spark, sf_dir):
 @register(
     "one_recall_at_r",
     f"WITH {_E}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS base_id, a.label = b.label AS same, {_L2} AS d FROM e a, e b "
-    "WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), "
+    "WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id), "
     "t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, base_id) AS n FROM p), "
     "g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d * 5), base_id) AS m FROM p) "
     "SELECT r, avg(CASE WHEN g.m <= r THEN 1.0 ELSE 0.0 END) AS recall FROM t JOIN g USING (query_id, base_id), (VALUES (1), (10), (100)) v(r) "
@@ -194,7 +194,7 @@ def groundtruth_spot_check(spark, sf_dir):
 def one_recall_at_r(spark, sf_dir):
     """Share of queries whose true nearest neighbour is among the first R of a coarser ranking."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id % 50 = 0")
+    q = e.filter("vec_id % 100 = 0")
     first = S.knn(q, e, 1, exclude_self=True).select("query_id", "base_id")
     coarse = S.range_search(q, e, float("inf"), exclude_self=True).withColumn("distance", F.round(F.col("distance") * 5))
     found = first.join(S.top_k(coarse, 100).drop("distance"), ["query_id", "base_id"], "left")
@@ -206,14 +206,14 @@ def one_recall_at_r(spark, sf_dir):
 
 @register(
     "intersection_recall",
-    f"WITH {_E}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS base_id, {_L2} AS d, {_IP} AS ip FROM e a, e b WHERE a.vec_id % 50 = 0), "
+    f"WITH {_E}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS base_id, {_L2} AS d, {_IP} AS ip FROM e a, e b WHERE a.vec_id % 100 = 0), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, base_id) AS n, "
     "row_number() OVER (PARTITION BY query_id ORDER BY ip DESC, base_id) AS m FROM p) "
     "SELECT query_id, sum(CASE WHEN n <= 20 AND m <= 20 THEN 1 ELSE 0 END) / 20.0 AS recall FROM r GROUP BY query_id",
 )
 def intersection_recall(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id % 50 = 0")
+    q = e.filter("vec_id % 100 = 0")
     lists = [
         S.knn(q, e, 20, m).groupBy("query_id").agg(F.collect_set("base_id").alias(m)) for m in ("l2", "ip")  # 20 ids a query
     ]
@@ -272,11 +272,11 @@ def remap_dims(spark, sf_dir):
 @register(
     "center_vectors",
     f"WITH {_E}, u AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM e), m AS (SELECT p, avg(x) AS m FROM u GROUP BY p) "
-    "SELECT vec_id, CAST(p - 1 AS INTEGER) AS dim, round(x - m, 6) AS x FROM u JOIN m USING (p) WHERE vec_id % 10 = 0",
+    "SELECT vec_id, CAST(p - 1 AS INTEGER) AS dim, round(x - m, 6) AS x FROM u JOIN m USING (p)",
 )
 def center_vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    centred = VS.centred(e).filter("vec_id % 10 = 0")
+    centred = VS.centred(e)
     return centred.select("vec_id", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.round("x", 6))
 
 
@@ -343,11 +343,11 @@ def hamming_range_search(spark, sf_dir):
 
 @register(
     "hamming_count_within",
-    f"WITH {_SIGNS} SELECT count(*) AS pairs FROM s a, s c WHERE a.vec_id % 10 = 0 AND {_HAM} <= 26",
+    f"WITH {_SIGNS} SELECT count(*) AS pairs FROM s a, s c WHERE a.vec_id % 100 = 0 AND {_HAM} <= 26",
 )
 def hamming_count_within(spark, sf_dir):
     codes = _codes(spark, sf_dir)
-    return VS.hamming_range(codes.filter("vec_id % 10 = 0"), codes, 27).agg(F.count(F.lit(1)).alias("pairs"))
+    return VS.hamming_range(codes.filter("vec_id % 100 = 0"), codes, 27).agg(F.count(F.lit(1)).alias("pairs"))
 
 
 @register(
