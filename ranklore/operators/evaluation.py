@@ -19,8 +19,8 @@ NODE_COUNTS = (32, 64, 128, 256, 512, 1024)
 
 def base_ranks(hashed: DataFrame, hash_column: str = "hash") -> DataFrame:
     """base_id, hash, rank of each base row in (hash, id) order."""
-    placed = with_position(hashed.select(F.col("vec_id").alias("base_id"), F.col(hash_column).alias("hash")), ["hash", "base_id"], "rank")
-    return placed
+    slim = hashed.select(F.col("vec_id").alias("base_id"), F.col(hash_column).alias("hash"))
+    return with_position(slim, ["hash", "base_id"], "rank", rows=hashed.count())
 
 
 def window_ladder(windows: list[int], n: int) -> list[int]:
@@ -42,6 +42,8 @@ def neighbour_table(base_hashed: DataFrame, query_hashed: DataFrame, truth: Data
 
     ``truth`` is (query_id, base_id, nn_rank from 1); weights are 1 / log2(nn_rank + 1).
     """
+    base_hashed = staged(base_hashed.select("vec_id", hash_column), "base-hashes")
+    query_hashed = staged(query_hashed.select("vec_id", hash_column), "query-hashes")
     ranks = staged(base_ranks(base_hashed, hash_column), "base-ranks")
     n = ranks.count()
     pos = lower_bound_positions(

@@ -177,14 +177,14 @@ def lower_bound_positions(base: DataFrame, queries: DataFrame, key: str, base_id
     """
     from ranklore.plans.ranking import with_position
 
-    n = base.count()
+    n, asking = base.count(), queries.count()
     union = base.select(F.col(key).alias("__k"), F.lit(1).alias("__is_base"), F.lit(None).cast("bigint").alias("query_id")).unionByName(
         queries.select(F.col(key).alias("__k"), F.lit(0).alias("__is_base"), F.col(query_id).cast("bigint").alias("query_id"))
     )
-    placed = with_position(union, ["__k", "__is_base", "query_id"], "__p")
+    placed = with_position(union, ["__k", "__is_base", "query_id"], "__p", rows=n + asking)
     asked = placed.filter("__is_base = 0").select("query_id", "__k", "__p")
     # a query's own order number, subtracted, leaves the base rows before it
-    return with_position(asked, ["__p"], "__before").select(
+    return with_position(asked, ["__p"], "__before", rows=asking).select(
         "query_id", F.least(F.col("__p") - F.col("__before"), F.lit(max(n - 1, 0))).cast("bigint").alias("pos")
     )
 

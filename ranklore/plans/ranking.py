@@ -21,16 +21,23 @@ def _partitions(df: DataFrame, partitions: int | None) -> int:
     return partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Up to so many rows (known to the caller) one task numbers them; beyond, range partitions do.
+ONE_TASK_ROWS = 200_000
+
+
 def with_position(
-    df: DataFrame, order_by: list[str], position: str = "position", partitions: int | None = None
+    df: DataFrame, order_by: list[str], position: str = "position", partitions: int | None = None, rows: int | None = None
 ) -> DataFrame:
     """Add the 0-based position of each row in the order of ``order_by`` (ascending).
 
     ``order_by`` should end in a unique column: rows that tie on all columns get
     distinct positions in no defined order, and a key that many rows share can
     only be split between tasks by the columns after it.
-    An empty input gives an empty output.
+    An empty input gives an empty output. ``rows``: the number of rows, where it is known.
     """
+    if rows is not None and rows <= ONE_TASK_ROWS:
+        order = Window.partitionBy(F.lit(1)).orderBy(*order_by)
+        return df.withColumn(position, F.row_number().over(order).cast("bigint") - 1)
     spark = df.sparkSession
     mid = "__mid"
     ranged = (

@@ -42,6 +42,8 @@ def test_ranking(spark):
         own = sorted((r["rank"], r["v"]) for r in ranks if r["g"] == g)
         assert [r for r, _ in own] == list(range(len(own))) and [v for _, v in own] == sorted(v for _, v in own)
     assert R.with_position(df.limit(0), ["v"]).count() == 0
+    one_task = sorted((r["position"], r["v"], r["g"]) for r in R.with_position(df, ["v", "g"], rows=1000).collect())
+    assert one_task == placed
 
 
 def test_neighbours(spark):
