@@ -2,7 +2,7 @@
 
 A document's label says that some sentence is toxic, not which. Sentences (cut at
 ``.!?`` and line ends, and every ``WINDOW`` words) get a logistic score from the hashed
-different words, word beginnings (4 and 5 letters) and bias; the document's score is the noisy-or
+different words, their first four letters and bias; the document's score is the noisy-or
 1 - prod(1 - p). Both are trained together from document labels by adaptive
 gradient steps on the noisy-or likelihood, over at most ``SAMPLE`` labelled documents
 outside the held-out fold (a bounded sample; the bound is this parameter). The trained
@@ -30,22 +30,21 @@ from pyspark.sql import functions as F
 from ranklore.llm._batches import Memo, text_runs
 from ranklore.llm._folds import fold, sampled_labels
 
-BITS, SAMPLE, UPDATES, BATCH, WINDOW = 18, 8000, 96_000, 128, 40
+BITS, SAMPLE, UPDATES, BATCH, WINDOW = 18, 12_000, 300_000, 128, 40
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 RATE, START, DECAY, PRIOR = 1.0, 1e-2, 1e-4, -7.0
-PARTS = 3
+PARTS = 2
 _WORD = re.compile(r"[^\W\d_]+")
 _END = re.compile(r"[.!?\n]")
 
 
-def _slots(word: str) -> tuple[int, int, int]:
-    """Slots of the word, its first 4 and its first 5 letters (the last slot: the word is too short to have one)."""
+def _slots(word: str) -> tuple[int, int]:
+    """Slots of the word and of its first four letters (the last slot: the word is too short to have them)."""
     shift, none = 64 - BITS, (1 << BITS) - 1
     low = word.lower()
     return (
         xxhash.xxh64_intdigest(low, 1) >> shift,
-        xxhash.xxh64_intdigest(low[:4], 2) >> shift if len(low) > 2 else none,
-        xxhash.xxh64_intdigest(low[:5], 3) >> shift if len(low) > 2 else none,
+        xxhash.xxh64_intdigest(low[:4], 2) >> shift if len(low) > 3 else none,
     )
 
 
