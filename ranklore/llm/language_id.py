@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ranklore.llm._batches import text_runs
-from ranklore.llm._folds import draw, fold
+from ranklore.llm._folds import draw, drawn_share, fold
 from ranklore.plans.workspace import staged
 
 PROFILE, SAMPLE, FOLDS, HELD_OUT = 400, 400, 3, 1
 UNKNOWN = "und"
+MAX_LANGUAGES = 500  # each worker holds a rank table per language; more are an error
 _ORDERS, _BITS = 4, 16
 _RUN = 256 << 10
 
@@ -54,16 +55,14 @@ def _folding() -> np.ndarray:
 
 def ngram_places(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hash places of all n-grams of ``texts``, text by text, and the number of each text."""
-    joined = "\0".join(texts)
+    joined = "".join([f"\0{t}\0" for t in texts])  # each text brings its own marks, whatever stands beside it
     points = _folding()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    owner = np.zeros(len(points), np.int64)
-    ends = np.cumsum([len(t) + 1 for t in texts])[:-1] - 1
-    owner[ends] = 1
-    owner = np.cumsum(owner)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
+    owner = np.repeat(np.arange(len(texts)), sizes)
     letter = points > 0
-    # a run of other characters becomes one boundary mark, the same for start and end of a word
-    keep = letter | np.concatenate(([False], letter[:-1])) | np.concatenate((letter[1:], [False]))
-    keep &= letter | ~np.concatenate(([False], (~letter & keep)[:-1]))
+    # of a run of other characters the first stays, as the boundary mark; so does the one that opens a text
+    keep = letter | np.concatenate(([False], letter[:-1]))
+    keep[np.cumsum(sizes) - sizes] = True
     points, owner, letter = points[keep], owner[keep], letter[keep]
     if not len(points):
         return np.empty(0, np.uint16), np.zeros(len(texts), np.int64)
@@ -121,14 +120,19 @@ def learn_profiles(docs: DataFrame, per_language: int = SAMPLE) -> dict[str, lis
     eligible = docs.filter(
         (fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()
     )
+    counts = eligible.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    spark = docs.sparkSession
+    shares = spark.createDataFrame([(r["lang"], (2.0 * per_language + 100) / r["n"]) for r in counts], "lang string, share double")
+    # each language is thinned to about twice the sample first, so the ranking moves few rows however common it is
+    thin = eligible.select("doc_id", "lang").join(F.broadcast(shares), "lang").filter(drawn_share(F.col("share")))
     ranked = Window.partitionBy("lang").orderBy(draw(), "doc_id")
-    chosen = (  # the row limit is pushed below the shuffle: a common language sends no more rows than a rare one
-        eligible.select("doc_id", "lang").withColumn("__n", F.row_number().over(ranked)).filter(F.col("__n") <= per_language)
-    )
+    chosen = thin.withColumn("__n", F.row_number().over(ranked)).filter(F.col("__n") <= per_language)
     texts = eligible.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).select("lang", "text")
-    counts = texts.mapInArrow(_count_batches, "lang string, place int, n bigint").groupBy("lang", "place").agg(F.sum("n").alias("n"))
+    places = texts.mapInArrow(_count_batches, "lang string, place int, n bigint").groupBy("lang", "place").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "place")
-    top = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PROFILE)
+    top = places.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PROFILE)
     profiles: dict[str, list[tuple[int, int]]] = {}
     for row in top.select("lang", "place", "rank").collect():
         profiles.setdefault(row["lang"], []).append((row["rank"], row["place"]))
