@@ -40,19 +40,17 @@ def poisson_cdf(rate: float) -> list[float]:
     return out
 
 
-def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, target_rows: int | None = None) -> DataFrame:
-    """source, rate: mean copies of a document, one row per source."""
-    counts = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
-    if weights is None:
-        weighted = counts.withColumn("weight", F.sqrt(F.col("n").cast("double")))
-    else:
-        given = docs.sparkSession.createDataFrame(list(weights.items()), "source string, weight double")
-        weighted = counts.join(given, "source")
-    totals = weighted.agg(F.sum("weight").alias("all_weight"), F.sum("n").alias("all_rows"))
-    target = F.lit(float(target_rows)) if target_rows is not None else F.col("all_rows")
-    return weighted.crossJoin(F.broadcast(totals)).select(  # one row
-        "source", (F.col("weight") / F.col("all_weight") * target / F.col("n")).alias("rate")
-    )
+def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, target_rows: int | None = None) -> dict[str, float]:
+    """Mean copies of a document, by source. One count a source comes to the driver, at most ``MAX_SOURCES``."""
+    counts = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(counts) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: fold them into fewer before mixing")
+    rows = {r["source"]: r["n"] for r in sorted(counts, key=lambda r: r["source"])}
+    share = {s: math.sqrt(n) if weights is None else float(weights.get(s, 0.0)) for s, n in rows.items()}
+    if any(w < 0 for w in share.values()):
+        raise ValueError("weights must not be negative")
+    total, target = sum(share.values()), sum(rows.values()) if target_rows is None else target_rows
+    return {s: share[s] / total * target / n if total else 0.0 for s, n in rows.items()}
 
 
 def replicated(
@@ -61,10 +59,8 @@ def replicated(
     """``docs`` with each row as often as it is drawn, not yet shuffled, and with the columns
     __source, __copies, __copy (from 0), __rate and __order (the global shuffle's key)."""
     spark = docs.sparkSession
-    rates = source_rates(docs, weights, target_rows).limit(MAX_SOURCES + 1).collect()  # one small row a source
-    if len(rates) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: fold them into fewer before mixing")
-    table = [(r["source"], float(r["rate"]), poisson_cdf(float(r["rate"]))) for r in rates]
+    rates = source_rates(docs, weights, target_rows)
+    table = [(source, rate, poisson_cdf(rate)) for source, rate in rates.items()]
     lookup = spark.createDataFrame(table, "__source string, __rate double, __cdf array<double>")
     own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     head = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), own).cast("binary")), 1, 13)
