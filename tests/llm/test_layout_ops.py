@@ -45,6 +45,19 @@ def test_shards_hard_cases(hard, clashing, empty):
     assert SH.interleaved_shards(empty).count() == 0
 
 
+def test_shards_keep_whole_rows(spark, hard, clashing, tmp_path):
+    for name, docs in (("hard", hard), ("clashing", clashing)):
+        for path in (None, f"file://{tmp_path}/{name}"):
+            out = SH.written_shards(docs.repartition(5), 3, 7, path)
+            assert sorted(map(repr, (r["row"] for r in out.collect()))) == sorted(map(repr, docs.collect()))
+        files = spark.read.parquet(f"{path}/shard=1").orderBy("slot").collect()
+        assert [r["slot"] for r in files] == list(range(len(files))) and 5 <= len(files) <= 6
+    same = spark.createDataFrame([(None, "one text", "a")] * 50 + [(7, None, None)] * 22, "doc_id bigint, text string, source string")
+    got = SH.interleaved_shards(same, 24).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == {(None, "one text"): 50, (7, None): 22}
+    assert len({(r["shard"], r["slot"]) for r in got}) == 72
+
+
 def test_poisson():
     for rate in (0.0, 0.3, 1.0, 7.5, 400.0):
         cdf = M.poisson_cdf(rate)
