@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranklore.plans.ranking import with_position
+from ranklore.plans.ranking import numbered
 
 SEED = 11
 MAX_SOURCES = 10_000  # the rate table is broadcast; more sources than that are an error
@@ -77,27 +77,39 @@ def replicated(
     return drawn.withColumn("__order", order).drop("__cdf", "__u")
 
 
-def mixed(
+def shuffled(
     docs: DataFrame, weights: dict[str, float] | None = None, target_rows: int | None = None, seed: int = SEED
 ) -> DataFrame:
-    """The mixture: copies of the rows of ``docs``, all columns kept, in globally shuffled order."""
+    """``replicated`` rows, whole, in globally shuffled order."""
     drawn = replicated(docs, weights, target_rows, seed)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shuffled = drawn.repartitionByRange(parts, "__order", "__copy").sortWithinPartitions("__order", "__copy")
-    return shuffled.select(*docs.columns)
+    return drawn.repartitionByRange(parts, "__order", "__copy").sortWithinPartitions("__order", "__copy")
+
+
+def mixed(
+    docs: DataFrame, weights: dict[str, float] | None = None, target_rows: int | None = None, seed: int = SEED
+) -> DataFrame:
+    """The mixture: copies of the rows of ``docs``, all columns kept, in globally shuffled order."""
+    return shuffled(docs, weights, target_rows, seed).select(*docs.columns)
+
+
+def written_mixture(
+    docs: DataFrame, weights: dict[str, float] | None = None, target_rows: int | None = None, seed: int = SEED
+) -> DataFrame:
+    """The rows of ``mixed``, written to a work table, with the columns of ``replicated`` and their __position."""
+    return numbered(shuffled(docs, weights, target_rows, seed), "__position", "mixture")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-    drawn = replicated(docs).select(
+    return written_mixture(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
         "doc_id",
         F.col("__source").alias("source"),
         F.col("__copies").alias("copies"),
         F.col("__copy").alias("copy"),
         F.round("__rate", 6).alias("rate"),
         F.col("__order").alias("shuffle_key"),
+        F.col("__position").alias("position"),
     )
-    return with_position(drawn, ["shuffle_key", "doc_id", "copy"], "position")
 
 
 OP9_SQL = f"""

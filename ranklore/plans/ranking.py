@@ -38,14 +38,16 @@ def with_position(
     if rows is not None and rows <= ONE_TASK_ROWS:
         order = Window.partitionBy(F.lit(1)).orderBy(*order_by)
         return df.withColumn(position, F.row_number().over(order).cast("bigint") - 1)
-    spark = df.sparkSession
+    ranged = df.repartitionByRange(_partitions(df, partitions), *[F.col(c) for c in order_by]).sortWithinPartitions(*order_by)
+    return numbered(ranged, position)
+
+
+def numbered(ranged: DataFrame, position: str = "position", name: str = "ranged") -> DataFrame:
+    """Add the 0-based position of each row in the order of partitions, and of rows in them, that ``ranged``
+    has (range-partitioned and sorted). The rows are written once, whole, to the work table ``name``."""
+    spark = ranged.sparkSession
     mid = "__mid"
-    ranged = (
-        df.repartitionByRange(_partitions(df, partitions), *[F.col(c) for c in order_by])
-        .sortWithinPartitions(*order_by)
-        .withColumn(mid, F.monotonically_increasing_id())
-    )
-    ranged = staged(ranged, "ranged")
+    ranged = staged(ranged.withColumn(mid, F.monotonically_increasing_id()), name)
     pid = F.shiftright(F.col(mid), _LOCAL_BITS)
     sizes = ranged.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row a partition
     starts, total = [], 0

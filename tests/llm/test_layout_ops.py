@@ -91,6 +91,18 @@ def test_mixing_hard_cases(hard, clashing, empty):
     assert M.mixed(hard, {"a": 1.0}).select("source").distinct().count() <= 1
 
 
+def test_query_shuffles_whole_documents(spark, clashing, monkeypatch):
+    out = M.written_mixture(clashing)
+    rows = out.orderBy("__position").collect()
+    assert [r["__position"] for r in rows] == list(range(len(rows)))
+    assert [r["__order"] for r in rows] == sorted(r["__order"] for r in rows)
+    assert sorted(map(repr, out.select(*clashing.columns).collect())) == sorted(map(repr, M.mixed(clashing).collect()))
+    seen, shuffled = [], M.shuffled
+    monkeypatch.setattr(M, "shuffled", lambda docs, *a: seen.append(docs.columns) or shuffled(docs, *a))
+    QUERIES["op9_mixing"](spark, DATA)
+    assert seen == [spark.read.parquet(f"{DATA}/documents.parquet").columns]
+
+
 def test_pipeline_against_plain(spark, hard, tmp_path):
     from test_dedup import norm, plain_components, plain_fingerprint
 
