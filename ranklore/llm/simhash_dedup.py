@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklore.llm._batches import text_runs
@@ -106,13 +106,16 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             hashes = [shingle_hashes(t) for t in texts]
             parts.append(majority_bits(np.concatenate(hashes), np.array([len(h) for h in hashes])))
         fp = np.concatenate(parts).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(fp), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]]
+        )
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row; ``fp`` is the fingerprint as a signed 64-bit number."""
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_fingerprint_batches, "doc_id bigint, fp bigint")
+def fingerprints(docs: DataFrame, *keep: Column) -> DataFrame:
+    """(doc_id, fp) and the columns ``keep`` for every row; ``fp`` is the fingerprint as a signed 64-bit number."""
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in slim.schema[2:]]
+    return slim.mapInArrow(_fingerprint_batches, ", ".join(["doc_id bigint, fp bigint", *kept]))
 
 
 def _within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -241,19 +244,24 @@ def near_edges(distinct_fps: DataFrame, limit: int = BUCKET_LIMIT) -> DataFrame:
     return found
 
 
-def near_components(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp, component_id."""
-    rows = staged(fingerprints(docs), "fingerprints")
-    nodes = staged(
-        rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "fp-nodes"
-    )
+def _rooted(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (one row a different ``fp``) with the root of their component."""
     roots = components(near_edges(nodes.select("fp")))
-    rooted = staged(
+    return staged(
         nodes.join(roots.select(F.col("node").alias("fp"), "root").hint("merge"), "fp", "left").withColumn(
             "root", F.coalesce("root", "fp")
         ),
         "fp-roots",
     )
+
+
+def near_components(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp, component_id."""
+    rows = staged(fingerprints(docs), "fingerprints")
+    nodes = staged(
+        rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "fp-nodes"
+    )
+    rooted = _rooted(nodes)
     heads = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
     named = lookup_by_key(rooted, heads, "root", "nodes", nodes.count()).select("fp", "copies", "component_id")
     return lookup_by_key(rows, staged(named, "fp-components"), "fp", "copies", rows.count()).select(
@@ -262,14 +270,18 @@ def near_components(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id.
+    """One row of each group stays: the one with the smallest doc_id.
 
-    Rows that share the staying doc_id stay together; of a group whose ids are all
-    null every row stays.
+    Null ids come last; of rows that share the id the smallest digest of the text
+    decides, and of rows that share both any one stays.
     """
-    verdict = staged(near_components(docs), "near-verdict")
-    stay = verdict.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay.hint("merge"), docs["doc_id"].cast("bigint").eqNullSafe(stay["__id"]), "left_semi")
+    held = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("__digest")
+    rows = staged(fingerprints(held, digest, F.col("__row")), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__digest", "__row")
+    rooted = _rooted(staged(rows.groupBy("fp").agg(F.min(order).alias("first")), "fp-nodes"))
+    stay = staged(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.__row"), "near-stay")
+    return held.join(stay.hint("merge"), "__row", "left_semi").select(*docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

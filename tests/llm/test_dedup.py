@@ -151,6 +151,16 @@ def test_near_components_whole(hard, clashing, empty):
     assert N.drop_near_copies(empty).count() == 0
 
 
+def test_near_drop_keeps_one_row_of_each_group(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in ("river", "stone", "bread"))
+    rows = [(None, a, 1), (None, a.upper(), 2), (3, b, 3), (None, b, 4), (None, b, 5), (6, c, 6), (6, c, 7), (6, c.title(), 8), (9, c, 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n int")
+    for order in (docs, docs.repartition(3)):
+        out = N.drop_near_copies(order).collect()
+        assert sorted(str(r["doc_id"]) for r in out) == ["3", "6", "None"]
+        assert {norm(r["text"]) for r in out} == {a, b, c}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 60)] + [(300, 200), (200, 250)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
