@@ -192,7 +192,11 @@ def predict_languages(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), prof
 
 
 def drop_unidentified(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
-    """The rows whose language is identified with a score of at least ``least_score``; others go."""
+    """The rows whose language is identified with a score of at least ``least_score``; others go.
+
+    No score is below 0, so by default only ``und`` goes: null texts and texts without a letter.
+    If no language could be learned, the rows whose text has a letter stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(learn_profiles(docs))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,6 +204,9 @@ def drop_unidentified(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
         for batch in batches:
             flags = []
             for _, _, texts in text_runs(batch, _RUN):
+                if not profiles.names:
+                    flags += (ngram_places(texts)[1] > 0).tolist()
+                    continue
                 names, scores = profiles.predict(texts)
                 flags += [n != UNKNOWN and s >= least_score for n, s in zip(names, scores, strict=True)]
             yield batch.filter(pa.array(flags, pa.bool_()))

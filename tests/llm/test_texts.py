@@ -172,6 +172,14 @@ def test_language_id(spark, hard, clashing, empty):
     assert LID.predict_languages(empty).count() == 0 and LID.drop_unidentified(empty).count() == 0
 
 
+def test_unlearned_languages_keep_documents_with_letters(spark, hard):
+    docs = hard.withColumn("lang", F.lit(None).cast("string"))
+    assert LID.learn_profiles(docs) == {}
+    out = LID.drop_unidentified(docs)
+    assert out.columns == docs.columns
+    assert sorted(str(r["text"]) for r in out.collect()) == sorted(r["text"] for r in hard.collect() if any(c.isalpha() for c in r["text"] or ""))
+
+
 def test_rank_distance():
     places = LID.top_places(np.bincount([5, 5, 5, 9, 9, 2, 7], minlength=1 << 16), 3)
     assert places.tolist() == [5, 9, 2]
