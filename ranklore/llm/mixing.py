@@ -4,7 +4,8 @@ Each source has a target share of the mixture; its mean repetition rate is
 share * target rows / its rows. Every document turns its seeded hash into a uniform
 number and that, by inverting the Poisson distribution with the source's rate, into
 its own number of copies: no coordination, the same result on every attempt, and the
-expected share is met whatever the order or the partitioning. Copies are exploded and
+expected share is met, over different ids, whatever the order or the partitioning; rows
+that share an id or have none are drawn as one, so many of them can miss it. Copies are exploded and
 shuffled globally by a second hash (a range partitioning, so no key can be hot).
 
 Default weights: the square root of each source's rows, which lifts small sources.
