@@ -56,3 +56,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def write_marker(spark: SparkSession, folder: str, name: str, value: str) -> None:
+    """Note a short ``value`` beside the data of ``folder``: an empty file that Spark's readers pass over."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_{name}-{value}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True).close()
+
+
+def read_marker(spark: SparkSession, folder: str, name: str) -> str | None:
+    """The value noted in ``folder`` under ``name``, or None."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_{name}-*")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    names = [status.getPath().getName() for status in found or []]
+    if len(names) > 1:
+        raise ValueError(f"{folder} holds several notes of its {name}: {sorted(names)}")
+    return names[0].split("-", 1)[1] if names else None
