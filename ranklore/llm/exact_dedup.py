@@ -1,20 +1,33 @@
 """Exact dedup against a persistent digest index (DataFrame operations only).
 
-The index is a Parquet table ``(digest, keep_id, keep_row, batch)`` bucketed and
+The index is a Parquet table ``(digest, keep_id, keep_mark, batch)`` bucketed and
 sorted by ``digest``; it outlives the session that made it. A batch of new
 documents is hashed once, copies inside the batch are folded with a map-side
 combine, the remaining digests are anti-joined (sort-merge; the index side is
 read in bucket order without a shuffle) and only unseen ones are appended.
 
+Nothing in the index depends on how a batch was split into tasks: the survivor of a
+group is found by (doc_id, ``keep_mark``), a hash of all its columns. Rows that agree
+in every column are interchangeable, so the one of them that stays is picked anew,
+by its place, in each call. A batch can therefore be run again, over any layout and
+after a crash at any point, and gives the same rows.
+
+The number of buckets is part of the index: it is written beside the data when the
+index is made, taken from there when it is opened again, and opening it with another
+number is an error. It defaults to one bucket for ``ROWS_PER_BUCKET`` expected rows,
+and to the session's shuffle partitions at least. Each append adds a file a bucket;
+``rewritten`` makes a compacted copy, with another number of buckets if asked.
+
 Defined results
 * Equality: texts identical after lower-casing A-Z only; a null text counts as
   empty, so nulls and empty texts are copies of each other.
 * Inside a batch the largest ``doc_id`` stays (null ids are smaller than all
-  others); of rows that repeat both id and text exactly one stays.
+  others); of rows with that id the one with the largest mark; of rows that repeat
+  everything exactly one.
 * A text that an earlier batch has already put into the index is dropped whole:
   ``keep_id`` then names the document that stayed back then.
-* Empty input: empty result, index unchanged. Other columns are not read.
-* A batch that is appended twice changes nothing the second time.
+* A batch name stands for one set of rows; the same rows under it again change nothing.
+* Empty input: empty result, index unchanged. Input columns may have any names.
 """
 
 from __future__ import annotations
@@ -25,46 +38,75 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklore.plans.lookup import lookup_by_key
-from ranklore.plans.workspace import fresh_path, path_exists, staged
+from ranklore.plans.workspace import fresh_path, read_marker, staged, write_marker
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ROWS_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 100_000  # what Spark allows by default
 
 
 def text_digest(text: str = "text") -> Column:
     """SHA-256 (32 bytes) of the normalised text in UTF-8."""
-    folded = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, UPPER.lower())
+    folded = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), UPPER, UPPER.lower())
     return F.unhex(F.sha2(folded.cast("binary"), 256))
 
 
-class DigestIndex:
-    """The persistent index at ``path``; ``buckets`` is fixed when it is first made."""
+def row_mark(docs: DataFrame) -> Column:
+    """A hash of all columns of a row (of what cannot be hashed, of its JSON)."""
+    plain = [f.dataType.simpleString().find("map<") < 0 and f.dataType.typeName() != "variant" for f in docs.schema]
+    columns = [F.col("`" + f.name.replace("`", "``") + "`") for f in docs.schema]
+    return F.xxhash64(*[c if ok else F.to_json(F.struct(c)) for c, ok in zip(columns, plain, strict=True)])
 
-    COLUMNS = "digest BINARY, keep_id BIGINT, keep_row BIGINT, batch STRING"
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path or fresh_path(spark, "digest-index"), buckets
-        self.table = "digest_index_" + hashlib.md5(self.path.encode()).hexdigest()[:16]
+class DigestIndex:
+    """The persistent index at ``path``; ``buckets`` (unset: from ``expected_rows``) is fixed when it is first made."""
+
+    COLUMNS = "digest BINARY, keep_id BIGINT, keep_mark BIGINT, batch STRING"
+    _MARKER = "buckets"
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, expected_rows: int = 0):
+        self.spark, self.path = spark, path or fresh_path(spark, "digest-index")
+        made = read_marker(spark, self.path, self._MARKER)
+        if made is not None and buckets not in (None, int(made)):
+            raise ValueError(f"the index at {self.path} has {made} buckets, not {buckets}")
+        if made is None:
+            least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            made = buckets or min(MAX_BUCKETS, max(least, -(-expected_rows // ROWS_PER_BUCKET)))
+            write_marker(spark, self.path, self._MARKER, str(made))
+        self.buckets = int(made)
+        self.table = f"digest_index_{hashlib.md5(self.path.encode()).hexdigest()[:16]}_{self.buckets}"
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} ({self.COLUMNS}) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
     def read(self) -> DataFrame:
-        if not path_exists(self.spark, self.path):  # made by the first append
-            return self.spark.createDataFrame([], self.COLUMNS)
         self.spark.catalog.refreshTable(self.table)
         return self.spark.table(self.table)
 
+    def _append(self, rows: DataFrame) -> None:
+        # dealt as the buckets are: one file a bucket and append
+        rows.repartition(self.buckets, "digest").write.insertInto(self.table)
+
+    def rewritten(self, path: str, buckets: int | None = None) -> DigestIndex:
+        """A copy at the new ``path`` with one file a bucket, and ``buckets`` of them (unset: as many as now)."""
+        copy = DigestIndex(self.spark, path, buckets or self.buckets)
+        if not copy.read().isEmpty():
+            raise ValueError(f"there is an index at {path} already")
+        copy._append(self.read())
+        return copy
+
     def dedup(self, docs: DataFrame, batch: str) -> DataFrame:
         """Deduplicate ``docs`` against the index and append what is new.
 
-        Returns one row per row of ``docs``: doc_id, digest, keep_id, group_size
+        Returns one row per row of ``docs``: doc_id, digest, mark, keep_id, group_size
         (rows of this batch with the same text), kept.
         """
         rows = staged(
             docs.select(
                 F.col("doc_id").cast("bigint").alias("doc_id"),
                 text_digest().alias("digest"),
+                row_mark(docs).alias("mark"),
                 F.monotonically_increasing_id().alias("row_id"),
             ),
             "digests",
@@ -72,53 +114,44 @@ class DigestIndex:
         groups = staged(
             rows.groupBy("digest")
             .agg(
-                F.max(F.struct("doc_id", "row_id")).alias("top"),
+                F.max(F.struct("doc_id", "mark", "row_id")).alias("top"),
                 F.count(F.lit(1)).alias("group_size"),
             )
-            .select("digest", F.col("top.doc_id").alias("own_id"), F.col("top.row_id").alias("own_row"), "group_size"),
+            .select("digest", "top", "group_size"),
             "digest-groups",
         )
         fresh = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-        (
-            fresh.select("digest", F.col("own_id").alias("keep_id"), F.col("own_row").alias("keep_row"), F.lit(batch).alias("batch"))
-            .repartition(self.buckets, "digest")  # as the buckets are dealt: one file a bucket and batch
-            .write.insertInto(self.table)
-        )
+        self._append(fresh.select("digest", F.col("top.doc_id").alias("keep_id"), F.col("top.mark").alias("keep_mark"), F.lit(batch).alias("batch")))
         known = self.read().withColumnRenamed("batch", "first_batch").hint("merge")
-        decided = groups.join(known, "digest").select("digest", "keep_id", "keep_row", "first_batch", "group_size")
-        total = rows.count()
-        return lookup_by_key(rows, decided, "digest", "group_size", total).select(
-            "doc_id",
-            "digest",
-            "keep_id",
-            "group_size",
-            ((F.col("first_batch") == batch) & (F.col("row_id") == F.col("keep_row"))).alias("kept"),
+        own = (F.col("first_batch") == batch) & F.col("keep_id").eqNullSafe(F.col("top.doc_id")) & (F.col("keep_mark") == F.col("top.mark"))
+        decided = groups.join(known, "digest").select("digest", "keep_id", F.when(own, F.col("top.row_id")).alias("keep_row"), "group_size")
+        return lookup_by_key(rows, decided, "digest", "group_size", rows.count()).select(
+            "doc_id", "digest", "mark", "keep_id", "group_size", F.col("row_id").eqNullSafe(F.col("keep_row")).alias("kept")
         )
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str = "0") -> DataFrame:
-    """Deduplicate ``docs``; without an index a new, empty one is made in the shared folder."""
-    return (index or DigestIndex(docs.sparkSession)).dedup(docs, batch)
+    """Deduplicate ``docs``; without an index a new, empty one, sized by them, is made in the shared folder."""
+    return (index or DigestIndex(docs.sparkSession, expected_rows=docs.count())).dedup(docs, batch)
 
 
 def drop_exact_copies(docs: DataFrame, index: DigestIndex | None = None, batch: str = "0") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
 
-    Rows leave by (doc_id, text), so documents that share an id but not a text
-    are decided one by one.
+    Rows leave by (doc_id, text, mark), so documents that share an id are decided one by
+    one; of rows that agree in every column one stays.
     """
     verdict = staged(exact_dedup(docs, index, batch), "dedup-verdict")
-    stay = verdict.filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    keyed = docs.withColumn("__own", text_digest())
-    out = keyed.join(
-        stay.hint("merge"),
-        keyed["__own"].eqNullSafe(stay["__digest"]) & keyed["doc_id"].cast("bigint").eqNullSafe(stay["__id"]),
-        "left_semi",
+    stay = verdict.filter("kept").select(F.col("doc_id").alias("stay_id"), F.col("digest").alias("stay_digest"), F.col("mark").alias("stay_mark"))
+    keyed = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("id"), text_digest().alias("digest"), row_mark(docs).alias("mark")
     )
-    twins = verdict.filter("not kept and doc_id <=> keep_id")
-    if not twins.isEmpty():  # rows that repeat both id and text pass the join together
-        out = out.dropDuplicates(["doc_id", "__own"])
-    return out.drop("__own")
+    same = (F.col("digest") == F.col("stay_digest")) & (F.col("mark") == F.col("stay_mark")) & F.col("id").eqNullSafe(F.col("stay_id"))
+    out = keyed.join(stay.hint("merge"), same, "left_semi")
+    twins = verdict.filter("NOT kept AND doc_id <=> keep_id")
+    if not twins.isEmpty():  # rows that repeat everything pass the join together
+        out = out.dropDuplicates(["id", "digest", "mark"])
+    return out.select("row.*")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,45 @@ def test_index_persists_and_is_idempotent(spark, hard, tmp_path):
     assert again.read().count() == n == again.read().select("digest").distinct().count()
 
 
+def test_replay_keeps_one_row_of_each_text(spark, tmp_path):
+    """The same batch over other splits, and after a crash between append and answer."""
+    rows = [(i // 2 if i % 10 else None, f"Text {i % 50}" if i % 3 else f"text {i % 50}", i % 4) for i in range(200)] + [(7, "twice", 0)] * 5
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, other int")
+    index = X.DigestIndex(spark, f"file://{tmp_path}/replayed", buckets=4)
+    answers = []
+    for layout in (docs, docs.repartition(1), docs.repartition(7), docs.orderBy(F.desc("text")), docs.repartition(3, "other")):
+        kept = X.exact_dedup(layout, index, "one").filter("kept")
+        answers.append(sorted((r["doc_id"] or -1, bytes(r["digest"]), r["mark"]) for r in kept.collect()))
+        dropped = X.drop_exact_copies(layout, index, "one").collect()
+        assert sorted(norm(r["text"]) for r in dropped) == sorted({norm(r[1]) for r in rows})
+    assert all(a == answers[0] for a in answers) and len(answers[0]) == 51
+    assert index.read().count() == 51
+    fresh = spark.createDataFrame([(500, "TEXT 3", 0), (501, "unseen", 0)], docs.schema)
+    told = {r["doc_id"]: r for r in X.exact_dedup(fresh, index, "two").collect()}
+    assert not told[500]["kept"] and told[500]["keep_id"] < 200 and told[501]["kept"]
+
+
+def test_index_knows_its_buckets(spark, tmp_path):
+    path = f"file://{tmp_path}/counted"
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id bigint, text string")
+    X.exact_dedup(docs, X.DigestIndex(spark, path, buckets=4), "one").collect()
+    with pytest.raises(ValueError, match="4 buckets"):
+        X.DigestIndex(spark, path, buckets=8)
+    again = X.DigestIndex(spark, path)
+    assert again.buckets == 4 and X.exact_dedup(docs, again, "two").filter("kept").count() == 0
+    wide = again.rewritten(f"file://{tmp_path}/wide", 9)
+    assert X.DigestIndex(spark, wide.path).buckets == 9 and wide.read().count() == 50
+    assert X.exact_dedup(docs, wide, "two").filter("kept").count() == 0 and wide.read().count() == 50
+    assert X.DigestIndex(spark, f"file://{tmp_path}/large", expected_rows=40_000_000).buckets == 40
+
+
+def test_exact_drop_with_any_column_names(spark):
+    names = [*"row id digest mark stay_id stay_digest stay_mark kept top keep_id keep_mark keep_row batch first_batch row_id group_size own __own __id __digest".split(), "a b", "dot.ted"]
+    docs = spark.createDataFrame([(1, "One", *names), (2, "one", *names), (2, "one", *names)], ["doc_id", "text", *names])
+    out = X.drop_exact_copies(docs)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(2, "one", *names)]
+
+
 def test_hot_keys_are_looked_up_whole(spark):
     rows = spark.range(3000).select((F.when(F.col("id") < 1500, 0).otherwise(F.col("id"))).alias("k"), "id")
     keyed = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
