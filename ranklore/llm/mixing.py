@@ -10,9 +10,15 @@ shuffled globally by a second hash (a range partitioning, so no key can be hot).
 
 Default weights: the square root of each source's rows, which lifts small sources.
 
+The distribution tables are cut to the counts that a double can tell from 0 and 1, so a
+rate of r takes about 17 sqrt(r) numbers, less than one for each copy it makes. Rates over
+``MAX_RATE`` and more than ``MAX_NUMBERS`` numbers in all (16 MB, broadcast) are errors.
+
 Defined results: a null source counts as the empty one; a source that ``weights``
 does not name has weight 0 and leaves; rows that share a doc_id draw the same number;
-null doc_ids draw that of the empty id; empty table: empty result.
+null doc_ids draw that of the empty id; a null or empty text is a row like any other;
+empty table: empty result. Input columns may have any names: columns that are added get
+leading underscores until their name is free.
 """
 
 from __future__ import annotations
@@ -26,12 +32,18 @@ from ranklore.plans.ranking import numbered
 
 SEED = 11
 MAX_SOURCES = 10_000  # the rate table is broadcast; more sources than that are an error
+MAX_RATE, MAX_NUMBERS = 1_000_000.0, 2_000_000
 _UNIT = 1 << 52
 
 
-def poisson_cdf(rate: float) -> list[float]:
-    """P(X <= k) for k = 0, 1, ... until it is 1 to double precision."""
-    out, total, k = [], 0.0, 0
+def least_copies(rate: float) -> int:
+    """A count that is reached in all draws but one in 10^17: counts below need no entry."""
+    return max(0, int(rate - 8.7 * math.sqrt(rate) - 30))
+
+
+def poisson_cdf(rate: float, start: int = 0) -> list[float]:
+    """P(X <= k) for k = ``start``, ... until it is 1 to double precision; what lies below ``start`` counts as 0."""
+    out, total, k = [], 0.0, start
     while k <= rate or total < 1.0 - 1e-15:
         total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if rate > 0 else float(k == 0)
         out.append(min(total, 1.0))
@@ -41,6 +53,18 @@ def poisson_cdf(rate: float) -> list[float]:
     return out
 
 
+def _distributions(rates: dict[str, float]) -> list[tuple[str, float, int, list[float]]]:
+    if max(rates.values(), default=0.0) > MAX_RATE:
+        raise ValueError(f"a source would be repeated over {MAX_RATE:.0f} times: lower its weight or the target")
+    table = []
+    for source, rate in rates.items():
+        start = least_copies(rate)
+        table.append((source, rate, start, poisson_cdf(rate, start)))
+    if sum(len(row[3]) for row in table) > MAX_NUMBERS:
+        raise ValueError(f"the distributions take more than {MAX_NUMBERS} numbers")
+    return table
+
+
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, target_rows: int | None = None) -> dict[str, float]:
     """Mean copies of a document, by source. One count a source comes to the driver, at most ``MAX_SOURCES``."""
     counts = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
@@ -54,51 +78,68 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, targe
     return {s: share[s] / total * target / n if total else 0.0 for s, n in rows.items()}
 
 
+def _drawn(docs: DataFrame, weights: dict[str, float] | None, target_rows: int | None, seed: int) -> DataFrame:
+    """row (a document with all its columns), source, copies, copy, rate and order: each row as often as it is drawn."""
+    table = _distributions(source_rates(docs, weights, target_rows))
+    lookup = docs.sparkSession.createDataFrame(table, "source string, rate double, least int, cdf array<double>")
+    own = F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))
+    head = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), own).cast("binary")), 1, 13)
+    uniform = (F.conv(head, 16, 10).cast("double") + 0.5) / _UNIT
+    order = F.md5(F.concat(F.lit(f"{seed + 1}:"), own, F.lit(":"), F.col("copy").cast("string")).cast("binary"))
+    return (
+        docs.select(F.struct("*").alias("row"))
+        .withColumn("source", F.coalesce("row.source", F.lit("")))
+        .join(F.broadcast(lookup), "source")
+        .withColumn("u", uniform)
+        .withColumn("copies", F.expr("least + size(filter(cdf, c -> c < u))"))
+        .filter("copies > 0")
+        .withColumn("copy", F.explode(F.expr("sequence(0, copies - 1)")))
+        .select("row", "source", "copies", "copy", "rate", order.alias("order"))
+    )
+
+
+def _unpacked(drawn: DataFrame) -> DataFrame:
+    """The columns of ``row`` and then the others, each with two underscores before its name, more where that is taken."""
+    taken = {f.name.lower() for f in drawn.schema["row"].dataType}
+    added = []
+    for name in drawn.columns[1:]:
+        free = f"__{name}"
+        while free in taken:
+            free = f"_{free}"
+        taken.add(free)
+        added.append(F.col(name).alias(free))
+    return drawn.select("row.*", *added)
+
+
 def replicated(
     docs: DataFrame, weights: dict[str, float] | None = None, target_rows: int | None = None, seed: int = SEED
 ) -> DataFrame:
     """``docs`` with each row as often as it is drawn, not yet shuffled, and with the columns
     __source, __copies, __copy (from 0), __rate and __order (the global shuffle's key)."""
-    spark = docs.sparkSession
-    rates = source_rates(docs, weights, target_rows)
-    table = [(source, rate, poisson_cdf(rate)) for source, rate in rates.items()]
-    lookup = spark.createDataFrame(table, "__source string, __rate double, __cdf array<double>")
-    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    head = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), own).cast("binary")), 1, 13)
-    uniform = (F.conv(head, 16, 10).cast("double") + 0.5) / _UNIT
-    drawn = (
-        docs.withColumn("__source", F.coalesce("source", F.lit("")))
-        .join(F.broadcast(lookup), "__source")
-        .withColumn("__u", uniform)
-        .withColumn("__copies", F.expr("size(filter(__cdf, c -> c < __u))"))
-        .filter("__copies > 0")
-        .withColumn("__copy", F.explode(F.expr("sequence(0, __copies - 1)")))
-    )
-    order = F.md5(F.concat(F.lit(f"{seed + 1}:"), own, F.lit(":"), F.col("__copy").cast("string")).cast("binary"))
-    return drawn.withColumn("__order", order).drop("__cdf", "__u")
+    return _unpacked(_drawn(docs, weights, target_rows, seed))
 
 
 def shuffled(
     docs: DataFrame, weights: dict[str, float] | None = None, target_rows: int | None = None, seed: int = SEED
 ) -> DataFrame:
-    """``replicated`` rows, whole, in globally shuffled order."""
-    drawn = replicated(docs, weights, target_rows, seed)
+    """The drawn rows, whole and packed as ``row``, in globally shuffled order."""
+    drawn = _drawn(docs, weights, target_rows, seed)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return drawn.repartitionByRange(parts, "__order", "__copy").sortWithinPartitions("__order", "__copy")
+    return drawn.repartitionByRange(parts, "order", "copy").sortWithinPartitions("order", "copy")
 
 
 def mixed(
     docs: DataFrame, weights: dict[str, float] | None = None, target_rows: int | None = None, seed: int = SEED
 ) -> DataFrame:
     """The mixture: copies of the rows of ``docs``, all columns kept, in globally shuffled order."""
-    return shuffled(docs, weights, target_rows, seed).select(*docs.columns)
+    return shuffled(docs, weights, target_rows, seed).select("row.*")
 
 
 def written_mixture(
     docs: DataFrame, weights: dict[str, float] | None = None, target_rows: int | None = None, seed: int = SEED
 ) -> DataFrame:
     """The rows of ``mixed``, written to a work table, with the columns of ``replicated`` and their __position."""
-    return numbered(shuffled(docs, weights, target_rows, seed), "__position", "mixture")
+    return _unpacked(numbered(shuffled(docs, weights, target_rows, seed), "position", "mixture"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,33 @@ def test_mixing_hard_cases(hard, clashing, empty):
     assert M.mixed(hard, {"a": 1.0}).select("source").distinct().count() <= 1
 
 
+def test_mixing_with_any_column_names(hard):
+    names = "row __source __copies __copy __rate __order __position ___copy rate copies copy order position least cdf u __u __cdf __mid __pid __start".split() + ["a b", "dot.ted"]
+    docs = hard.select("*", *[F.lit(n).alias(n) for n in names])
+    plain = Counter(str(r["doc_id"]) for r in M.mixed(hard).collect())
+    for out, columns in ((M.mixed(docs), docs.columns), (M.replicated(docs), docs.columns), (M.written_mixture(docs), docs.columns)):
+        assert out.columns[: len(columns)] == columns and len({c.lower() for c in out.columns}) == len(out.columns)
+        rows = out.collect()
+        assert Counter(str(r["doc_id"]) for r in rows) == plain
+        assert all(tuple(r)[len(hard.columns) : len(columns)] == tuple(names) for r in rows)
+    assert {"____copy", "___order"} <= set(M.replicated(docs).columns)
+
+
+def test_poisson_tables_are_cut_and_bounded(spark):
+    for rate in (3.0, 150.0, 5000.0, 250_000.0):
+        start = M.least_copies(rate)
+        cut = M.poisson_cdf(rate, start)
+        assert len(cut) < 20 * math.sqrt(rate) + 90 and cut[0] < 1e-15 and cut[-1] == pytest.approx(1.0, abs=1e-9)
+        if rate < 1e4:
+            whole = M.poisson_cdf(rate)
+            for u in (0.5 / 2**52, 1e-9, 0.1, 0.5, 0.9, 1 - 1e-9):
+                assert start + sum(c < u for c in cut) == sum(c < u for c in whole)
+    one = spark.createDataFrame([(1, "x", "a")], "doc_id bigint, text string, source string")
+    assert 4000 < M.mixed(one, {"a": 1.0}, 5000).count() < 6000
+    with pytest.raises(ValueError, match="repeated over"):
+        M.mixed(one, {"a": 1.0}, 10**9)
+
+
 def test_query_shuffles_whole_documents(spark, clashing, monkeypatch):
     out = M.written_mixture(clashing)
     rows = out.orderBy("__position").collect()
