@@ -9,8 +9,14 @@ non-overlapping places at once, drops the symbols that went, looks up only the
 pairs that changed, and lets finished words leave, until no pair remains.
 
 Merging all places at once gives what the library's one-by-one queue gives as long
-as no piece that starts or ends with the merged piece has an equal or better score;
-where one has, only the leftmost place of the word is merged in that round.
+as none of the pairs that a merge makes ranks as well or better. Where one does, the
+places behind it wait, up to a gap that no piece is long enough to bridge; what such a
+merge sets off stays within one piece's length.
+
+A merge always makes a piece, so two characters that no piece of the vocabulary holds
+side by side at that place of the text are never merged across. Words of more than
+``LONG`` characters are cut there: text without blanks costs time in proportion to its
+length.
 
 Defined results: null and empty texts have no ids and decode to the empty text;
 U+2581 in a text counts as a blank, as in the library; characters outside the
@@ -33,6 +39,7 @@ from ranklore.llm._batches import text_runs
 BLANK = "▁"
 _NONE = np.iinfo(np.int32).max
 _PROBES = ("", " ", "a", "  a b", "été\n\t▁x", "﻿中文 \U0001f600", " " * 40 + "end ")
+LONG = 64
 _UNKNOWN = 1 << 24  # symbols from here on are characters outside the vocabulary
 
 
@@ -61,6 +68,8 @@ class PieceTable:
         order = {s: r for r, s in enumerate(sorted(set(scores.values()), reverse=True))}
         shared = np.bincount([order[s] for s in scores.values()]) > 1
         unsafe = np.zeros(size, bool)
+        self.reach = max((len(p) for p in pieces if not p.startswith(BLANK)), default=1)
+        self._hash_spans(pieces)
         lefts, rights, results = [], [], []
         for p, i in pieces.items():
             for cut in range(1, len(p)):
@@ -83,6 +92,42 @@ class PieceTable:
             if self.encode_text(text) != sp.encode(text) or self.decode(sp.encode(text)) != sp.decode(sp.encode(text)):
                 raise ValueError(f"the model does not encode {text!r} by plain merges")
 
+    # which runs of characters are pieces: a bit for each hash, so that a clash only hides a cut
+
+    _SPAN_BITS = 22
+    _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+    def _hash_spans(self, pieces: dict[str, int]) -> None:
+        by_length: dict[int, list[str]] = {}
+        for p in pieces:
+            if len(p) > 1:
+                by_length.setdefault(len(p), []).append(p)
+        self._spans = {}
+        for n, own in sorted(by_length.items()):
+            points = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).reshape(-1, n)
+            value = np.zeros(len(points), np.uint64)
+            for j in range(n):
+                value = (value ^ points[:, j]) * self._FACTOR
+            held = np.zeros(1 << self._SPAN_BITS, bool)
+            held[(value >> np.uint64(64 - self._SPAN_BITS)).astype(np.int64)] = True
+            self._spans[n] = held
+
+    def cuts(self, word: str) -> list[str]:
+        """``word`` in parts that no merge joins: no piece of the vocabulary spans a cut."""
+        points = np.frombuffer(word.encode("utf-32-le"), np.uint32)
+        spans = np.zeros(len(points) + 1, np.int64)  # of cut i (before character i), by differences
+        value = points.astype(np.uint64) * self._FACTOR
+        for n in range(2, min(len(points), max(self._spans, default=0)) + 1):
+            size = len(points) - n + 1
+            value = (value[:size] ^ points[n - 1 :]) * self._FACTOR
+            if n in self._spans:
+                at = np.flatnonzero(self._spans[n][(value >> np.uint64(64 - self._SPAN_BITS)).astype(np.int64)])
+                np.add.at(spans, at + 1, 1)
+                np.add.at(spans, at + n, -1)
+        free = np.flatnonzero(np.cumsum(spans[:-1])[1:] == 0) + 1
+        edges = [0, *free.tolist(), len(points)]
+        return [word[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
     # pair -> merged piece, open addressing in flat arrays
 
     _BITS = 19
@@ -140,8 +185,9 @@ class PieceTable:
             at = np.flatnonzero(rank == np.repeat(best, sizes))
             run = np.concatenate(([True], at[1:] != at[:-1] + 1))  # neighbours overlap: every other one
             nth = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-            first = np.concatenate(([True], word[at[1:]] != word[at[:-1]]))
-            at = at[np.where(self.unsafe[made[at]], first, nth % 2 == 0)]
+            at = at[nth % 2 == 0]
+            if self.unsafe[made[at]].any():
+                at = at[self._may_merge(sym, word, made, rank, at)]
             sym = sym.copy()
             sym[at] = made[at]
             changed = np.zeros(len(sym), bool)
@@ -163,6 +209,29 @@ class PieceTable:
         order = np.argsort(words, kind="stable")
         return symbols[order], words[order]
 
+    def _may_merge(self, sym: np.ndarray, word: np.ndarray, made: np.ndarray, rank: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which of the places ``at`` (the best of their words, not overlapping) can be merged at once.
+
+        A place is noisy if a pair that its merge makes, with what then stands left and right of
+        it, ranks as well as itself or better. Behind a noisy place others of its word wait,
+        as far as they follow each other closely enough for pieces to meet."""
+        new, last = made[at], len(sym) - 1
+        left, right = np.maximum(at - 1, 0), np.minimum(at + 2, last)
+        before = sym[left]
+        close = np.concatenate(([False], at[1:] == at[:-1] + 2))  # the one before has merged by then
+        before = np.where(close, np.concatenate((new[:1], new[:-1])), before)
+        has_left = (at > 0) & (word[left] == word[at])
+        has_right = (at + 2 <= last) & (word[right] == word[at])
+        pair_left, pair_right = self.merge(before, new), self.merge(new, sym[right])
+        own = rank[at]
+        noisy = has_left & (pair_left >= 0) & (self.rank[pair_left] <= own)
+        noisy |= has_right & (pair_right >= 0) & (self.rank[pair_right] <= own)
+        if not noisy.any():
+            return np.ones(len(at), bool)
+        apart = np.concatenate(([True], (word[at[1:]] != word[at[:-1]]) | (at[1:] - at[:-1] > 2 * self.reach + 2)))
+        heard = np.cumsum(noisy) - noisy  # noisy places before this one, in all
+        return heard == np.repeat(heard[apart], np.diff(np.append(np.flatnonzero(apart), len(at))))
+
     def _find_blank_period(self) -> int:
         """Blank runs: with every prefix merge tied, the left end settles in pieces of one
         length before the right end is reached. Found by encoding a run, 0 if it isn't so."""
@@ -178,14 +247,16 @@ class PieceTable:
         joined, cut = BLANK + BLANK.join(keys), self.blank_period
         lengths = np.fromiter(map(len, keys), np.int64, len(keys)) + 1
         owner = None
-        if cut and BLANK * (4 * cut) in joined:  # the settled part of a long blank run goes piece by piece
+        if (cut and BLANK * (4 * cut) in joined) or lengths.max(initial=0) > LONG:
             segments, owner = [], []
             for k, key in enumerate(keys):
                 word = BLANK + key
                 run = len(word) - len(word.lstrip(BLANK))
-                whole = (run - 2 * cut) // cut if run > 4 * cut else 0
-                segments += [BLANK * cut] * whole + [word[whole * cut :]]
-                owner += [k] * (whole + 1)
+                whole = (run - 2 * cut) // cut if cut and run > 4 * cut else 0  # the settled part of a long blank run goes piece by piece
+                rest = word[whole * cut :]
+                parts = [BLANK * cut] * whole + (self.cuts(rest) if len(rest) > LONG else [rest])
+                segments += parts
+                owner += [k] * len(parts)
             joined = "".join(segments)
             lengths = np.fromiter(map(len, segments), np.int64, len(segments))
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
@@ -245,7 +316,7 @@ def piece_table(model: bytes) -> PieceTable:
 
 
 class WordStore:
-    """Ids of the words met so far, in flat arrays; emptied when it holds ``cap`` words."""
+    """Ids of the words met so far, in flat arrays; emptied when it holds ``cap`` words or 40 times as many characters."""
 
     def __init__(self, table: PieceTable, cap: int = 300_000):
         self.table, self.cap = table, cap
@@ -253,6 +324,7 @@ class WordStore:
 
     def _empty(self) -> None:
         self.index: dict[str, int] = {}
+        self.held = 0
         self.flat, self.counts = np.empty(0, np.int32), np.empty(0, np.int64)
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -261,10 +333,12 @@ class WordStore:
         missing = np.flatnonzero(at < 0)
         if len(missing):
             fresh = list(dict.fromkeys(map(words.__getitem__, missing.tolist())))
-            if self.index and len(self.index) + len(fresh) > self.cap:
+            size = sum(map(len, fresh))
+            if self.index and (len(self.index) + len(fresh) > self.cap or self.held + size > 40 * self.cap):
                 self._empty()
                 return self.encode(words)
             flat, counts = self.table.encode_words(fresh)
+            self.held += size
             self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh)), strict=True))
             self.flat, self.counts = np.concatenate((self.flat, flat)), np.concatenate((self.counts, counts))
             at[missing] = np.fromiter(map(self.index.__getitem__, map(words.__getitem__, missing.tolist())), np.int64, len(missing))
