@@ -1,7 +1,8 @@
 """Language identification by rank-order n-gram profiles.
 
 A text is lower-cased, cut at everything that is not a letter, and its words padded
-with a boundary mark. Its 1- to 4-grams are hashed into 2^16 places; the ``PROFILE``
+with a boundary mark (combining marks belong to the letter before them and are nothing
+without one). Its 1- to 4-grams are hashed into 2^16 places; the ``PROFILE``
 most frequent ones, in order, are its profile. A language's profile is made the same
 way from the counts of a sample of its texts (``SAMPLE`` documents a language, the
 first in seeded order). Out-of-place distance: for each n-gram of the text the
@@ -36,12 +37,13 @@ PROFILE, SAMPLE, FOLDS, HELD_OUT = 400, 400, 3, 1
 UNKNOWN = "und"
 MAX_LANGUAGES = 500  # each worker holds a rank table per language; more are an error
 _ORDERS, _BITS = 4, 16
+_MARK = 1 << 24  # above all code points
 _RUN = 256 << 10
 
 
 @lru_cache(1)
 def _folding() -> np.ndarray:
-    """For each code point its lower-case letter, or 0 for what is not a letter."""
+    """For each code point its lower-case letter, a combining mark plus ``_MARK``, or 0 for what is neither."""
     table = np.zeros(0x110000, np.uint32)
     for point in range(0x110000):
         char = chr(point)
@@ -49,14 +51,24 @@ def _folding() -> np.ndarray:
             low = char.lower()
             table[point] = ord(low) if len(low) == 1 else point
         elif unicodedata.combining(char) and point < 0x3100:
-            table[point] = point  # marks belong to the letter before them
+            table[point] = point | _MARK
     return table
 
 
+def _letters(points: np.ndarray) -> np.ndarray:
+    """Folded code points, 0 for what is not part of a word: a mark is one only behind a letter or its marks."""
+    folded = _folding()[points]
+    mark = folded >= _MARK
+    if not mark.any():
+        return folded
+    bearer = np.maximum.accumulate(np.where(mark, 0, np.arange(len(folded))))  # the last place before that is no mark
+    return np.where(mark & ((folded[bearer] == 0) | mark[bearer]), 0, folded & (_MARK - 1))
+
+
 def ngram_places(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hash places of all n-grams of ``texts``, text by text, and the number of each text."""
     joined = "".join([f"\0{t}\0" for t in texts])  # each text brings its own marks, whatever stands beside it
-    points = _folding()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    points = _letters(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32))
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
     owner = np.repeat(np.arange(len(texts)), sizes)
     letter = points > 0
@@ -120,16 +132,17 @@ def learn_profiles(docs: DataFrame, per_language: int = SAMPLE) -> dict[str, lis
     eligible = docs.filter(
         (fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()
     )
-    counts = eligible.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    counts = eligible.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
     spark = docs.sparkSession
     shares = spark.createDataFrame([(r["lang"], (2.0 * per_language + 100) / r["n"]) for r in counts], "lang string, share double")
     # each language is thinned to about twice the sample first, so the ranking moves few rows however common it is
-    thin = eligible.select("doc_id", "lang").join(F.broadcast(shares), "lang").filter(drawn_share(F.col("share")))
+    thin = eligible.select("doc_id", "lang").join(F.broadcast(shares), "lang").filter(drawn_share(F.col("share"))).select("doc_id", "lang").distinct()
     ranked = Window.partitionBy("lang").orderBy(draw(), "doc_id")
     chosen = thin.withColumn("__n", F.row_number().over(ranked)).filter(F.col("__n") <= per_language)
-    texts = eligible.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).select("lang", "text")
+    found = eligible.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"])
+    texts = found.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")  # one text of an id that repeats
     places = texts.mapInArrow(_count_batches, "lang string, place int, n bigint").groupBy("lang", "place").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "place")
     top = places.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PROFILE)

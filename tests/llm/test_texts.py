@@ -1,6 +1,9 @@
 import hashlib
 import random
+import time
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -41,6 +44,34 @@ def test_merge_rounds_against_library(pieces, library):
             assert pieces.encode_text(text) == library.encode(text), (n, text[-4:])
 
 
+def test_long_words_against_library(pieces, library):
+    """Texts without blanks: cuts that no piece spans, noisy merges, and time in proportion to the length."""
+    rnd = random.Random(11)
+    alphabets = ("etaoinsr", "abcdefghijklmnopqrstuvwxyz", "=-_*#", "aeiou0123456789", "AbC+/=中é😀")
+    for n in (65, 200, 3000):
+        for letters in alphabets:
+            for _ in range(12):
+                text = "".join(rnd.choice(letters) for _ in range(n))
+                assert pieces.encode_text(text) == library.encode(text), text[:80]
+                assert "".join(pieces.cuts(text)) == text
+    sly = [library.id_to_piece(int(i)) for i in np.flatnonzero(pieces.unsafe[: len(pieces.rank)])]
+    sly = [p for p in sly if P.BLANK not in p]
+    for _ in range(150):
+        text = "".join(rnd.choice(sly) for _ in range(rnd.randint(2, 120)))
+        assert pieces.encode_text(text) == library.encode(text), text[:80]
+    for unit in ("x", "the", "ab", "=", "-", "ing", "0", "中", "erin"):
+        text = unit * 3333
+        assert pieces.encode_text(text) == library.encode(text), unit
+    seconds = {}
+    for n in (100_000, 400_000):
+        text = "".join(rnd.choice(alphabets[1] + alphabets[4]) for _ in range(n))
+        begun = time.perf_counter()
+        mine = pieces.encode_text(text)
+        seconds[n] = time.perf_counter() - begun
+        assert mine == library.encode(text)
+    assert seconds[400_000] < 12 * seconds[100_000] + 1  # a quadratic one would take 16 times as long
+
+
 def test_store_is_bounded_and_right(pieces):
     store, small = P.WordStore(pieces, 1000), P.WordStore(pieces, 5)
     words = [f"w{i % 37}" for i in range(500)]
@@ -131,7 +162,13 @@ def test_png_is_checked():
 
 def plain_places(text):
     """n-grams of padded words, by slices."""
-    folded = "".join(chr(LID._folding()[ord(c)]) if LID._folding()[ord(c)] else " " for c in text)
+    folded = ""
+    for c in text:
+        low = c.lower() if len(c.lower()) == 1 else c
+        if c.isalpha():
+            folded += low
+        else:
+            folded += c if unicodedata.combining(c) and ord(c) < 0x3100 and folded[-1:] not in ("", " ") else " "
     out = []
     for word in folded.split():
         padded = f"\0{word}\0"
@@ -140,22 +177,67 @@ def plain_places(text):
                 gram = padded[i : i + n]
                 if gram.strip("\0") == "" or (n > 2 and "\0" in gram[1:-1]):
                     continue
-                h = np.uint32(2166136261)
-                with np.errstate(over="ignore"):
-                    for c in gram:
-                        h = (h ^ np.uint32(ord(c))) * np.uint32(16777619)
-                        h ^= h >> np.uint32(15)
-                out.append(int((h ^ (h >> np.uint32(16))) & np.uint32(0xFFFF)))
+                h = 2166136261
+                for c in gram:
+                    h = (h ^ ord(c)) * 16777619 % 2**32
+                    h ^= h >> 15
+                out.append((h ^ (h >> 16)) & 0xFFFF)
     return sorted(out)
 
 
 def test_ngrams_against_plain():
-    texts = [" The cat, and 3 Ärzte!", "", "a", "x-y z", "!!!", "Éa b"]
+    texts = [" The cat, and 3 Ärzte!", "", "a", "x-y z", "!!!", "Éa b", "\u0301", "5\u0301 !\u0300", "\u0301"]
     places, sizes = LID.ngram_places(texts)
     for text, part in zip(texts, np.split(places, np.cumsum(sizes)[:-1]), strict=True):
         assert sorted(part.tolist()) == plain_places(text), text
 
 
+def test_marks_are_no_letters(spark):
+    """Combining marks belong to the letter before them; without one they are nothing."""
+    assert LID.ngram_places(["\u0301", "3\u0301\u0300", " \u0301", "", "e\u0301", "\u0301e"])[1].astype(bool).tolist() == [False, False, False, False, True, True]
+    one, other = LID.ngram_places(["e\u0301a", "ea"])[0], LID.ngram_places(["\u0301ea"])[0]
+    assert len(one) > 2 * len(other) and sorted(LID.ngram_places(["\u0301ea"])[0]) == sorted(LID.ngram_places(["ea"])[0])
+    docs = spark.createDataFrame([(1, "\u0301", "en"), (2, "12", "en"), *[(i, "some words", "en") for i in range(3, 9)]], "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in LID.predict_languages(docs).collect()}
+    assert got[1] == got[2] == ("und", 0.0) and {got[i][0] for i in range(3, 9)} == {"en"}
+    assert {r["doc_id"] for r in LID.drop_unidentified(docs).collect()} == set(range(3, 9))
+
+
+def plain_profile(texts):
+    counts = Counter(p for t in texts for p in plain_places(t))
+    return [p for p, _ in sorted(counts.items(), key=lambda c: (-c[1], c[0]))][: LID.PROFILE]
+
+
+def test_language_predictions_against_plain(spark):
+    """Sample, profiles, distances, ties and scores by hand."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = [r for r in docs.collect() if len(r["text"] or "") < 3000]
+    few = 3
+    docs = spark.createDataFrame(rows, docs.schema)
+    order = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit("sample-1")).alias("h")).collect()}
+    learn = {}
+    for r in sorted(rows, key=lambda r: order[r["doc_id"]]):
+        if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1:
+            learn.setdefault(r["lang"], []).append(r["text"])
+    profiles = LID.learn_profiles(docs, few)
+    assert profiles == {lang: plain_profile(texts[:few]) for lang, texts in sorted(learn.items())}
+    got = {r["doc_id"]: r for r in LID.predict_languages(docs, profiles=profiles).collect()}
+    for r in rows:
+        own = plain_profile([r["text"] or ""])
+        if not own:
+            assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        far = {lang: sum(abs(p.index(g) - i) if g in p else LID.PROFILE for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[r["doc_id"]]["lang_pred"] == best and got[r["doc_id"]]["score"] == pytest.approx(1 - far[best] / (LID.PROFILE * len(own)))
+
+
+def test_repeated_ids_do_not_fill_the_sample(spark):
+    rows = [(7, f"word{i} again", "en") for i in range(300)] + [(i, "some other words here", "en") for i in range(10, 40)]
+    profiles = LID.learn_profiles(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), 5)
+    assert list(profiles) == ["en"] and len(profiles["en"]) < 120
+
+
 def test_language_id(spark, hard, clashing, empty):
     en, de = "the people walk along with their children and they think that this is good", "die leute gehen und denken nicht dass der weg sich für das kind lohnt"
     rows = [(i, (en if i % 2 else de) + f" {'and' if i % 2 else 'und'} " * (i % 5), "en" if i % 2 else "de") for i in range(120)]
