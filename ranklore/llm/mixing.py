@@ -11,7 +11,7 @@ shuffled globally by a second hash (a range partitioning, so no key can be hot).
 Default weights: the square root of each source's rows, which lifts small sources.
 
 The distribution tables are cut to the counts that a double can tell from 0 and 1, so a
-rate of r takes about 17 sqrt(r) numbers, less than one for each copy it makes. Rates over
+rate of r takes about 18 sqrt(r) numbers and some 60 more. Rates over
 ``MAX_RATE`` and more than ``MAX_NUMBERS`` numbers in all (16 MB, broadcast) are errors.
 
 Defined results: a null source counts as the empty one; a source that ``weights``
@@ -45,10 +45,11 @@ def poisson_cdf(rate: float, start: int = 0) -> list[float]:
     """P(X <= k) for k = ``start``, ... until it is 1 to double precision; what lies below ``start`` counts as 0."""
     out, total, k = [], 0.0, start
     while k <= rate or total < 1.0 - 1e-15:
-        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if rate > 0 else float(k == 0)
+        term = math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if rate > 0 else float(k == 0)
+        total += term
         out.append(min(total, 1.0))
         k += 1
-        if k > rate + 40 * math.sqrt(rate) + 60:
+        if k > rate + 1 and term < 1e-17:  # rounding may keep the sum from 1; no further term would change it
             break
     return out
 
