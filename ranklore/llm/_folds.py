@@ -38,3 +38,10 @@ def sampled_labels(labels: DataFrame, label: str, folds: int, held_out: int, lim
         .orderBy(draw(), "doc_id")
         .limit(limit)
     )
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, label, text of the documents that ``chosen`` (doc_id, label) names: one row an id,
+    with the least text where the id repeats, so never more rows than ``chosen`` has."""
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "label", "text")

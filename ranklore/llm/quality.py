@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklore.llm._batches import Memo, text_runs
-from ranklore.llm._folds import fold, sampled_labels
+from ranklore.llm._folds import fold, sampled_labels, texts_of
 
 BITS, SAMPLE, STEPS = 18, 6000, 24_000
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
@@ -113,9 +113,9 @@ def _vector_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights learned from at most ``sample`` labelled documents outside the held-out fold."""
     chosen = sampled_labels(labels, "quality", FOLDS, HELD_OUT, sample)
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.col("text").cast("string").alias("text"))
+    texts = texts_of(docs, chosen)
     found = texts.mapInArrow(_vector_batches, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, label int, slots array<int>, vals array<float>")
-    table = found.limit(2 * sample).toArrow().sort_by("doc_id")  # the second factor is for repeated ids
+    table = found.toArrow().sort_by("doc_id")  # at most ``sample`` rows
     order = np.random.default_rng(1).permutation(table.num_rows)
     slots, values = table["slots"].combine_chunks(), table["vals"].combine_chunks()
     label = table["label"].to_pylist()

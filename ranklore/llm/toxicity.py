@@ -10,6 +10,9 @@ sentence scores then locate the offending sentences.
 
 Features of the sample are made on the executors; the driver sees at most that many
 documents as slot numbers and sends back 2^18 weights (2 MB). Scores use text alone.
+An offending sentence is given by its place in the text (characters from 0, end
+exclusive; of a sentence cut by ``WINDOW``, from its first word to its last), and the
+query carries the number and the places of the offending sentences of each document.
 
 Defined results: a text without words (null, empty, blank) scores 0; without any label
 the model is empty, sentences score as little as the bias lets them; repeated ids are
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklore.llm._batches import Memo, text_runs
-from ranklore.llm._folds import fold, sampled_labels
+from ranklore.llm._folds import fold, sampled_labels, texts_of
 
 BITS, SAMPLE, UPDATES, BATCH, WINDOW = 18, 12_000, 300_000, 128, 40
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
@@ -60,6 +63,16 @@ def sentences(text: str) -> list[list[str]]:
     return out
 
 
+def sentence_spans(text: str) -> list[tuple[int, int]]:
+    """Where each of ``sentences(text)`` stands: (start, stop), from its first word to its last."""
+    out, at = [], 0
+    for part in _END.split(text):
+        words = [m.span() for m in _WORD.finditer(part)]
+        out += [(at + words[i][0], at + words[min(i + WINDOW, len(words)) - 1][1]) for i in range(0, len(words), WINDOW)]
+        at += len(part) + 1
+    return out
+
+
 def _noisy_or(logits: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     """ln of the chance that no sentence of a document is toxic."""
     return -np.bincount(doc, np.logaddexp(0.0, logits), minlength=docs)
@@ -110,14 +123,28 @@ class SentenceScorer:
         w = weights.tolist()
         self.words = Memo(lambda word: sum(w[s] for s in _slots(word)), 200_000)
 
+    def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The logit of every sentence of ``texts``, text by text, and the number of sentences of each text."""
+        found = [sentences(t) for t in texts]
+        flat = [s for own in found for s in own]
+        sizes = np.fromiter(map(len, flat), np.int64, len(flat))
+        value = self.words.__getitem__
+        weights = np.fromiter((value(word) for s in flat for word in s), np.float64, int(sizes.sum()))
+        sums = np.add.reduceat(weights, np.cumsum(sizes) - sizes) if len(flat) else np.empty(0)
+        return sums + self.bias, np.fromiter(map(len, found), np.int64, len(found))
+
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, list[list[tuple[int, float]]]]:
+        """The score of each text, and (sentence, score) of its sentences."""
+        logits, counts = self.logits(texts)
+        clean = _noisy_or(logits, np.repeat(np.arange(len(texts)), counts), len(texts))
+        own = 1.0 / (1.0 + np.exp(-np.clip(logits, -35, 35)))
+        return -np.expm1(clean), [list(enumerate(part.tolist())) for part in np.split(own, np.cumsum(counts)[:-1])]
+
     def sentence_scores(self, text: str) -> list[float]:
-        logits = [self.bias + sum(map(self.words.__getitem__, s)) for s in sentences(text)]
-        return [float(1.0 / (1.0 + np.exp(-min(max(x, -35.0), 35.0)))) for x in logits]
+        return [s for _, s in self.scores([text])[1][0]]
 
     def score(self, text: str) -> float:
-        value = self.words.__getitem__
-        logits = np.array([sum(map(value, s)) for s in sentences(text)], np.float64)
-        return float(-np.expm1(-np.logaddexp(0.0, logits + self.bias).sum()))
+        return float(self.scores([text])[0][0])
 
 
 def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,10 +165,10 @@ def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights learned from at most ``sample`` labelled documents outside the held-out fold."""
     chosen = sampled_labels(labels, "toxic", FOLDS, HELD_OUT, sample)
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.col("text").cast("string").alias("text"))
+    texts = texts_of(docs, chosen)
     kind = texts.schema["doc_id"].dataType.simpleString()
     found = texts.mapInArrow(_sample_batches, f"doc_id {kind}, label int, slots array<int>, sizes array<int>")
-    table = found.limit(2 * sample).toArrow().sort_by("doc_id")  # the second factor is for repeated ids
+    table = found.toArrow().sort_by("doc_id")  # at most ``sample`` rows
     table = table.take(np.random.default_rng(1).permutation(table.num_rows))
     slots = np.asarray(table["slots"].combine_chunks().flatten()).reshape(-1, PARTS)
     sizes = table["sizes"].combine_chunks()
@@ -155,45 +182,44 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np
     )
 
 
-def _score_batches(shared):
+_SPANS = pa.list_(pa.struct([("sentence", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64())]))
+_SPAN_COLUMN = "offending array<struct<sentence:int,start:bigint,stop:bigint,score:double>>"
+
+
+def _score_batches(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = SentenceScorer(shared.value)
         for batch in batches:
-            scores = [scorer.score(t) for _, _, texts in text_runs(batch) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "score"])
+            scores, found = [np.empty(0)], []
+            for _, _, texts in text_runs(batch):
+                own, sentence_scores = scorer.scores(texts)
+                scores.append(own)
+                for text, told in zip(texts, sentence_scores, strict=True):
+                    hits = [(k, s) for k, s in told if s >= threshold]
+                    spans = sentence_spans(text) if hits else []
+                    found.append([{"sentence": k, "start": spans[k][0], "stop": spans[k][1], "score": s} for k, s in hits])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(np.concatenate(scores)), pa.array(found, _SPANS)], [*batch.schema.names[:-1], "score", "offending"]
+            )
 
     return run
 
 
-def score_toxicity(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and the noisy-or score of every row."""
+def score_toxicity(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
+    """``keep`` columns, the noisy-or score of every row, and ``offending``: sentence (from 0),
+    start, stop and score of its sentences that score at least ``threshold``."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     slim = docs.select(*keep, F.col("text").cast("string").alias("text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "text"]
-    return slim.mapInArrow(_score_batches(shared), ", ".join([*fields, "score double"]))
+    return slim.mapInArrow(_score_batches(shared, threshold), ", ".join([*fields, "score double", _SPAN_COLUMN]))
 
 
 def offending_sentences(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, sentence (from 0), score, words of every sentence that scores at least ``threshold``."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
-
-    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = SentenceScorer(shared.value)
-        for batch in batches:
-            ids, found = batch.column(0).to_pylist(), []
-            for start, _, texts in text_runs(batch):
-                for i, text in enumerate(texts):
-                    own = zip(scorer.sentence_scores(text), sentences(text), strict=True)
-                    found += [(ids[start + i], k, s, " ".join(words)) for k, (s, words) in enumerate(own) if s >= threshold]
-            columns = list(zip(*found, strict=True)) or [()] * 4
-            kinds = [batch.schema.field(0).type, pa.int32(), pa.float64(), pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "sentence", "score", "words"]
-            )
-
-    return slim.mapInArrow(locate, f"doc_id {kind}, sentence int, score double, words string")
+    """doc_id, sentence (from 0), score, start, stop, words (the text there) of every sentence that scores at least ``threshold``."""
+    found = score_toxicity(docs, weights, ("doc_id", F.col("text").cast("string").alias("__text")), threshold)
+    one = found.select("doc_id", "__text", F.explode("offending").alias("one"))
+    words = F.expr("substring(__text, CAST(one.start AS INT) + 1, CAST(one.stop - one.start AS INT))")
+    return one.select("doc_id", "one.sentence", "one.score", "one.start", "one.stop", words.alias("words"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,4 +230,5 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"),
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+        "offending",
     )

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import time
 import unicodedata
@@ -7,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from ranklore.llm import language_id as LID
@@ -15,7 +17,7 @@ from ranklore.llm import piece_bpe as P
 from ranklore.llm import quality as QL
 from ranklore.llm import token_counts as T
 from ranklore.llm import toxicity as TX
-from ranklore.llm._folds import fold
+from ranklore.llm._folds import fold, texts_of
 from tests_paths import tokenizer_path
 
 
@@ -324,6 +326,135 @@ def test_toxicity_finds_documents_and_sentences(spark, hard, clashing, empty):
     assert TX.SentenceScorer(none).score("some words") < 0.01
 
 
+def test_offending_places(spark):
+    """Places against the text itself, also in sentences cut by the window, and the words of each."""
+    text = "One two.  Three -- 4 four!\n\n" + "w1 " * 45 + "\nÄh, so? " + "😀 last"
+    spans, words = TX.sentence_spans(text), TX.sentences(text)
+    assert len(spans) == len(words) == 6
+    for (a, b), own in zip(spans, words, strict=True):
+        assert list(dict.fromkeys(TX._WORD.findall(text[a:b]))) == own
+    assert text[slice(*spans[1])] == "Three -- 4 four" and text[slice(*spans[-1])] == "last"
+    weights = np.zeros((1 << TX.BITS) + 1)
+    weights[-1] = -7.0
+    for slot in TX._slots("four"):
+        weights[slot] = 12.0
+    docs = spark.createDataFrame([(1, text), (2, "nothing here"), (3, None)], "doc_id bigint, text string")
+    (hit,) = TX.offending_sentences(docs, weights).collect()
+    assert (hit["doc_id"], hit["sentence"], hit["words"]) == (1, 1, "Three -- 4 four") and text[hit["start"] : hit["stop"]] == hit["words"]
+    told = {r["doc_id"]: r["offending"] for r in TX.score_toxicity(docs, weights).collect()}
+    assert told[2] == told[3] == [] and told[1][0]["start"] == hit["start"]
+
+
+def plain_noisy_or(rows, passes, batch):
+    """Adaptive steps on the noisy-or likelihood, document by document, slot by slot; rows of (sentences, label)."""
+    bias, none = 1 << TX.BITS, (1 << TX.BITS) - 1
+    w, power = {bias: TX.PRIOR}, {}
+    for _ in range(passes):
+        for first in range(0, len(rows), batch):
+            part = rows[first : first + batch]
+            g = {}
+            for own, label in part:
+                slots = [[x for word in s for x in TX._slots(word)] for s in own]
+                p = [1 / (1 + math.exp(-(w[bias] + sum(w.get(x, 0.0) for x in s)))) for s in slots]
+                clean = math.prod(1 - q for q in p)
+                for s, q in zip(slots, p, strict=True):
+                    pull = -q * clean / (1 - clean) if label else q
+                    for x in [*s, bias]:
+                        g[x] = g.get(x, 0.0) + pull
+            g.pop(none, None)
+            for x, value in w.items():
+                if x != bias:
+                    g[x] = g.get(x, 0.0) + TX.DECAY * len(part) * value
+            for x, value in g.items():
+                power[x] = power.get(x, TX.START) + value * value
+                w[x] = w.get(x, 0.0) - TX.RATE * value / math.sqrt(power[x])
+    return w
+
+
+def test_toxicity_training_and_scores_against_plain():
+    texts = ["good day. nasty you! calm", "calm good day", "some nasty words. here", "words here. and there.", "one", "nasty"] * 3
+    rows = [(TX.sentences(t), int("nasty" in t)) for t in texts]
+    flat = [s for own, _ in rows for s in own]
+    slots = np.array([TX._slots(w) for s in flat for w in s])
+    got = TX.train(
+        slots,
+        np.repeat(np.arange(len(flat)), [len(s) for s in flat]),
+        np.repeat(np.arange(len(rows)), [len(own) for own, _ in rows]),
+        np.array([label for _, label in rows]),
+        passes=4,
+        batch=5,
+    )
+    want = plain_noisy_or(rows, 4, 5)
+    dense = np.zeros_like(got)
+    dense[list(want)] = list(want.values())
+    assert np.allclose(got, dense, atol=1e-9)
+    scorer = TX.SentenceScorer(got)
+    for own, t in zip((own for own, _ in rows), texts, strict=True):
+        logits = [want[1 << TX.BITS] + sum(want.get(x, 0.0) for w in s for x in TX._slots(w)) for s in own]
+        assert scorer.score(t) == pytest.approx(1 - math.prod(1 - 1 / (1 + math.exp(-x)) for x in logits))
+    assert scorer.scores(texts)[0] == pytest.approx([scorer.score(t) for t in texts])
+
+
+def plain_features(text):
+    """slot -> value, token by token."""
+    tokens = [xxhash.xxh64_intdigest(t) for t in QL.TOKEN.findall(text)]
+    counts = Counter(tokens)
+    for a, b in zip(tokens, tokens[1:], strict=False):
+        counts[int(QL._SAME) if a == b else (a * 0x9E3779B97F4A7C15 + b) * 0xC2B2AE3D27D4EB4F % 2**64] += 1
+    counts[int(QL._AGAIN)] += sum(a == b for a, b in zip(tokens, tokens[2:], strict=False))
+    slots = Counter()
+    for h, n in counts.items():
+        slots[h >> (64 - QL.BITS)] += n
+    values = {s: 1 + math.log(n) for s, n in slots.items() if n}
+    norm = math.sqrt(sum(v * v for v in values.values()))
+    return {s: v / norm for s, v in values.items()}
+
+
+def plain_ftrl(rows, passes):
+    bias = 1 << QL.BITS
+    z, n = Counter(), Counter()
+
+    def weight(s):
+        if abs(z[s]) <= QL.L1:
+            return 0.0
+        return -(z[s] - math.copysign(QL.L1, z[s])) / ((QL.BETA + math.sqrt(n[s])) / QL.ALPHA + QL.L2)
+
+    for _ in range(passes):
+        for x, label in rows:
+            x = {**x, bias: 1.0}
+            w = {s: weight(s) for s in x}
+            error = 1 / (1 + math.exp(-sum(w[s] * v for s, v in x.items()))) - label
+            for s, v in x.items():
+                g = error * v
+                z[s] += g - (math.sqrt(n[s] + g * g) - math.sqrt(n[s])) / QL.ALPHA * w[s]
+                n[s] += g * g
+    return {s: weight(s) for s in z}
+
+
+def test_quality_training_and_scores_against_plain():
+    texts = ["a clean text, nothing else.", "!!! buy buy buy !!!", "a b a b", "", "one_two  Three\nthree", "Ärger 3.5 😀 -- x x"] * 4
+    labels = [int("!" not in t) for t in texts]
+    rows, weights = [], None
+    for t, label in zip(texts, labels, strict=True):
+        slots, values, counts = QL.features([t])
+        want = plain_features(t)
+        assert dict(zip(slots.tolist(), values.tolist(), strict=True)) == pytest.approx(want, rel=1e-6) and counts.tolist() == [len(want)]
+        rows.append((slots, values, label))
+    weights = QL.train(rows, steps=4 * len(rows))
+    plain = plain_ftrl([(dict(zip(s.tolist(), v.tolist(), strict=True)), y) for s, v, y in rows], 4)
+    dense = np.zeros_like(weights)
+    dense[list(plain)] = list(plain.values())
+    assert np.allclose(weights, dense, atol=1e-5)
+    want = [1 / (1 + math.exp(-(plain[1 << QL.BITS] + sum(plain.get(s, 0.0) * v for s, v in plain_features(t).items())))) for t in texts]
+    assert QL.score(texts, weights) == pytest.approx(want, abs=1e-4)
+
+
+def test_repeated_ids_give_one_row_to_learn_from(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(40)] + [(i, "other text") for i in range(2, 30)], "doc_id bigint, text string")
+    chosen = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (99, 0)], "doc_id bigint, label int")
+    assert sorted(map(tuple, texts_of(docs, chosen).collect())) == [(1, 1, "text 0"), (2, 0, "other text"), (3, 1, "other text")]
+
+
 def test_noisy_or():
     logits, doc = np.array([0.0, 1.0, -2.0]), np.array([0, 0, 1])
     p = 1 / (1 + np.exp(-logits))
