@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ranklore.plans.lookup import lookup_by_key
 from ranklore.plans.workspace import staged
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
@@ -70,27 +71,23 @@ def with_group_rank(
 ) -> DataFrame:
     """0-based rank inside each group, for groups of any size.
 
-    The rows are ordered once by (group, order); a group's first position is
-    subtracted. A group that holds a third of all rows is split between tasks.
+    The rows are ordered once by (group, order); a group's first position, which hot
+    groups get by a broadcast, is subtracted. A group that holds a third of all rows is
+    split between tasks. Null is a group value like others.
     Also adds ``<rank>_of``, the number of rows in the group.
     """
-    placed = staged(with_position(df, [*group, *order_by], "__pos", partitions), "placed")
-    firsts = placed.groupBy(*group).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias(f"{rank}_of"))
+    placed = staged(with_position(df, [*group, *order_by], "__pos", partitions).withColumn("__group", F.struct(*group)), "placed")
+    firsts = staged(
+        placed.groupBy("__group").agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias(f"{rank}_of")), "group-firsts"
+    )
+    total = firsts.agg(F.sum(f"{rank}_of")).first()[0] or 0
     return (
-        _null_safe_join(placed, firsts, group)
+        lookup_by_key(placed, firsts, "__group", f"{rank}_of", total)
         .withColumn(rank, F.col("__pos") - F.col("__first"))
-        .drop("__pos", "__first")
+        .drop("__pos", "__first", "__group")
     )
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    on: Column = F.lit(True)
-    for k in keys:
-        on = on & left[k].eqNullSafe(renamed[f"__r_{k}"])
-    return left.join(renamed, on).drop(*[f"__r_{k}" for k in keys])
-
-
 def with_neighbours(
     df: DataFrame, order_by: list[str], marked: Column, fields: list[str], block: int = 100_000, partitions: int | None = None
 ) -> DataFrame:
