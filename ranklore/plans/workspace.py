@@ -72,3 +72,10 @@ def read_marker(spark: SparkSession, folder: str, name: str) -> str | None:
     if len(names) > 1:
         raise ValueError(f"{folder} holds several notes of its {name}: {sorted(names)}")
     return names[0].split("-", 1)[1] if names else None
+
+
+def child_paths(spark: SparkSession, folder: str, pattern: str) -> list[str]:
+    """Paths below ``folder`` whose name matches ``pattern``, in order of name."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f"{folder}/{status.getPath().getName()}" for status in found or [])
