@@ -4,8 +4,11 @@ A payload is a run of 8-bit samples; it is stored losslessly as a greyscale PNG
 width 192 (``PngCodec``) inside a tar shard, under its SHA-256. Rows carry digest,
 shard, offset and length, never the payload. Each task writes shards of its own with
 unbuffered appends and stores a payload that it has already stored once more only as
-a reference, so a text that a third of all rows share costs one member a task. Files of failed
-attempts are never referred to: the index is written only by tasks that ended.
+a reference, so a text that a third of all rows share costs one member a task. Digests
+(not payloads) are then shuffled: of the members of one digest, from whatever task or
+earlier call, the first by shard name and offset is the one that all rows refer to, and
+the others are waste that ``compacted`` leaves out. Files of failed attempts are never
+referred to: the index is written only by tasks that ended.
 
 Metadata columns (width, height, bit depth, colour type) come from range reads of the
 33 header bytes; payloads are read only by those who ask for them.
@@ -33,7 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklore.llm._batches import text_runs
-from ranklore.plans.workspace import fresh_path
+from ranklore.plans.lookup import lookup_by_key
+from ranklore.plans.workspace import child_paths, drop_path, fresh_path, staged
 
 WIDTH, SHARD_BYTES = 192, 256 << 20
 HEADER_BYTES = 33
@@ -171,6 +175,25 @@ def _store_batches(folder: str, limit: int):
     return store
 
 
+def _move_batches(source: str, target: str, limit: int):
+    """A batch function that copies members into new shards and returns their new places."""
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, shards = TarReader(source), TarShards(target, limit)
+        for batch in batches:
+            digests, lengths = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            places = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), lengths, strict=True)
+            new = [shards.add(digest, reader.read(*place)) for digest, place in zip(digests, places, strict=True)]
+            names, offsets = [n for n, _ in new], [o for _, o in new]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(names, pa.string()), pa.array(offsets, pa.int64()), batch.column(3)], ["digest", "shard", "offset", "length"]
+            )
+        shards.close()
+        reader.close()
+
+    return move
+
+
 def _scan(folder: str, names: list[str], kinds: list, one):
     """A batch function that appends to each row what ``one(reader, shard, offset, length)`` returns."""
 
@@ -225,10 +248,52 @@ class MediaStore:
     def store(self, docs: DataFrame) -> DataFrame:
         """Store the texts of ``docs`` and return the index: one row per row of ``docs``."""
         slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        made = f"{self.folder}/made-{uuid.uuid4().hex}"
+        slim.mapInArrow(_store_batches(f"{self.folder}/shards", self.shard_bytes), INDEX_SCHEMA).write.parquet(made)
+        rows = self.spark.read.schema(INDEX_SCHEMA).parquet(made)
         index = f"{self.folder}/index-{uuid.uuid4().hex}"
-        slim.mapInArrow(_store_batches(f"{self.folder}/shards", self.shard_bytes), INDEX_SCHEMA).write.parquet(index)
+        self._referred(rows).write.parquet(index)
+        drop_path(self.spark, made)
         return self.spark.read.schema(INDEX_SCHEMA).parquet(index)
 
+    def members(self) -> DataFrame:
+        """digest, shard, offset, length of every payload that an index of this store refers to."""
+        return self._indexes().select("digest", "shard", "offset", "length").distinct()
+
+    def _indexes(self) -> DataFrame:
+        paths = child_paths(self.spark, self.folder, "index-*")
+        if not paths:
+            return self.spark.createDataFrame([], INDEX_SCHEMA)
+        return self.spark.read.schema(INDEX_SCHEMA).parquet(*paths)
+
+    def _referred(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the one place of their digest, ordered by place so that range reads follow each other."""
+        place = F.struct("shard", "offset", "length")
+        own = rows.groupBy("digest").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"))
+        earlier = self.members().select("digest", place.alias("known"))
+        one = staged(
+            own.join(earlier.hint("merge"), "digest", "left").select("digest", F.coalesce("known", "place").alias("place"), "n"), "media-places"
+        )
+        found = lookup_by_key(rows.select("doc_id", "n_bytes", "digest"), one, "digest", "n", rows.count())
+        placed = found.select("doc_id", "n_bytes", "digest", "place.*")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        order = ["shard", "offset", "doc_id"]  # the id splits a payload that very many rows share
+        return placed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+    def compacted(self, folder: str) -> MediaStore:
+        """A new store in ``folder`` with the same index rows and each payload once."""
+        copy = MediaStore(self.spark, folder, self.shard_bytes)
+        schema = "digest string, shard string, offset bigint, length bigint"
+        moved = staged(
+            self.members().sort("shard", "offset").mapInArrow(_move_batches(f"{self.folder}/shards", f"{folder}/shards", self.shard_bytes), schema), "media-moved"
+        )
+        rows = self._indexes()
+        sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+        one = staged(moved.join(sizes.hint("merge"), "digest").select("digest", "shard", "offset", "length", "n"), "media-places")
+        found = lookup_by_key(rows.select("doc_id", "n_bytes", "digest"), one, "digest", "n", rows.count())
+        found.select(*rows.columns).write.parquet(f"{folder}/index-{uuid.uuid4().hex}")
+        return copy
+
     def with_metadata(self, index: DataFrame) -> DataFrame:
         """Add width, height, bit_depth, colour_type from the members' headers alone."""
         names, kinds = ["width", "height", "bit_depth", "colour_type"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]

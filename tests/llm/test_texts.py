@@ -154,6 +154,43 @@ def test_media_round_trip(spark, hard, clashing, empty, tmp_path):
     assert none.with_features(none.with_metadata(none.store(empty))).count() == 0
 
 
+def test_media_is_addressed_by_content(spark, tmp_path):
+    """One place a digest over tasks and calls; a compacted store holds each payload once."""
+    rows = [(i, f"payload {i % 7} " * (i % 7 + 1)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    store = MS.MediaStore(spark, f"file://{tmp_path}/store", shard_bytes=4000)
+    first = store.store(docs).collect()
+    more = store.store(spark.createDataFrame([(900, rows[3][1]), (901, "new")], docs.schema)).collect()
+    places = {}
+    for r in [*first, *more]:
+        places.setdefault(r["digest"], set()).add((r["shard"], r["offset"], r["length"]))
+    assert len(places) == 8 and all(len(p) == 1 for p in places.values()) and len(first) == 200
+    slim = store.compacted(f"file://{tmp_path}/slim")
+    index = slim._indexes()
+    told = {r["doc_id"]: r for r in slim.with_features(index).collect()}
+    assert set(told) == {i for i, _ in rows} | {900, 901}
+    for i, text in [*rows, (901, "new")]:
+        assert told[i]["payload_sha256"] == hashlib.sha256(MS.padded(text.encode())).hexdigest()
+    members = [m for f in (tmp_path / "slim" / "shards").iterdir() if f.suffix == ".tar" for m, _ in MS.read_member(f.read_bytes())]
+    assert len(members) == len(set(members)) == 8
+
+
+def test_media_features_against_plain(spark, hard, tmp_path):
+    """Header values and features, sample by sample."""
+    store = MS.MediaStore(spark, f"file://{tmp_path}/features")
+    told = store.with_features(store.with_metadata(store.store(hard))).collect()
+    rows = sorted((str(r["doc_id"]), r["text"] or "") for r in hard.collect())
+    want = []
+    for i, text in rows:
+        payload = MS.padded(text.encode())
+        mean = sum(payload) / len(payload)
+        spread = math.sqrt(max(sum(b * b for b in payload) / len(payload) - mean * mean, 0.0))
+        bands = [sum(b >> 5 == k for b in payload) for k in range(8)]
+        feature = f"mean={mean:.4f};sd={spread:.4f};min={min(payload)};max={max(payload)};bands={','.join(map(str, bands))}"
+        want.append((i, len(text.encode()), 192, len(payload) // 192, 8, 0, feature))
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["width"], r["height"], r["bit_depth"], r["colour_type"], r["feature"]) for r in told) == sorted(want)
+
+
 def test_png_is_checked():
     png = MS.PngCodec.encode(bytes(range(192)) * 2)
     assert MS.PngCodec.header(png[: MS.HEADER_BYTES]) == (192, 2, 8, 0)
