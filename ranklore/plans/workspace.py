@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,9 +33,35 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Paths given out by this process and not yet deleted, in order.
+_MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no earlier call has returned."""
-    return f"{shared_dir(spark)}/ranklore/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/ranklore/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: Callable[[str], bool] = lambda path: False) -> Iterator[None]:
+    """Work tables made inside are deleted at the end, those that ``keep`` holds for excepted.
+
+    What is computed from them must have been consumed, or written to a table that is kept.
+    After an error they stay, to look at."""
+    first = len(_MADE)
+    yield
+    done = [path for path in _MADE[first:] if not keep(path)]
+    for path in done:
+        drop_path(spark, path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``staged`` has made and that nothing reads any more."""
+    for table in tables:
+        if path := getattr(table, "_work_path", None):
+            drop_path(table.sparkSession, path)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -41,7 +69,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._work_path = path
+    return table
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -50,6 +80,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.delete(target, True)
+    if path in _MADE:
+        _MADE.remove(path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
