@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklore.plans.lookup import lookup_by_key
-from ranklore.plans.workspace import fresh_path, read_marker, staged, write_marker
+from ranklore.plans.workspace import drop_path, fresh_path, read_marker, staged, write_marker
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROWS_PER_BUCKET = 1_000_000
@@ -88,6 +88,11 @@ class DigestIndex:
         # dealt as the buckets are: one file a bucket and append
         rows.repartition(self.buckets, "digest").write.insertInto(self.table)
 
+    def drop(self) -> None:
+        """Delete the index and its entry in the catalog."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        drop_path(self.spark, self.path)
+
     def rewritten(self, path: str, buckets: int | None = None) -> DigestIndex:
         """A copy at the new ``path`` with one file a bucket, and ``buckets`` of them (unset: as many as now)."""
         copy = DigestIndex(self.spark, path, buckets or self.buckets)
@@ -141,7 +146,10 @@ def drop_exact_copies(docs: DataFrame, index: DigestIndex | None = None, batch:
     Rows leave by (doc_id, text, mark), so documents that share an id are decided one by
     one; of rows that agree in every column one stays.
     """
-    verdict = staged(exact_dedup(docs, index, batch), "dedup-verdict")
+    used = index or DigestIndex(docs.sparkSession, expected_rows=docs.count())
+    verdict = staged(exact_dedup(docs, used, batch), "dedup-verdict")
+    if index is None:
+        used.drop()
     stay = verdict.filter("kept").select(F.col("doc_id").alias("stay_id"), F.col("digest").alias("stay_digest"), F.col("mark").alias("stay_mark"))
     keyed = docs.select(
         F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("id"), text_digest().alias("digest"), row_mark(docs).alias("mark")

@@ -275,13 +275,14 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     Null ids come last; of rows that share the id the smallest digest of the text
     decides, and of rows that share both any one stays.
     """
-    held = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
-    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("__digest")
-    rows = staged(fingerprints(held, digest, F.col("__row")), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__digest", "__row")
+    held = staged(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("place")), "near-rows")
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("digest")
+    slim = held.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").cast("string").alias("text"), "place")
+    rows = staged(fingerprints(slim, digest, F.col("place")), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "place")
     rooted = _rooted(staged(rows.groupBy("fp").agg(F.min(order).alias("first")), "fp-nodes"))
-    stay = staged(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.__row"), "near-stay")
-    return held.join(stay.hint("merge"), "__row", "left_semi").select(*docs.columns)
+    stay = staged(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.place"), "near-stay")
+    return held.join(stay.hint("merge"), "place", "left_semi").select("row.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,6 +167,32 @@ def test_pipeline_against_plain(spark, hard, tmp_path):
         assert stage(spark, docs, str(folder)).columns == docs.columns
 
 
+def test_pipeline_of_no_documents_and_its_work_tables(spark, hard, empty, tmp_path):
+    import os
+
+    folder = tmp_path / "none"
+    empty.write.parquet(f"{folder}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(folder))
+    assert out.count() == 0 and {"doc_id", "n_tokens", "ids"} <= set(out.columns)
+    work = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/ranklore"
+    hard.write.parquet(f"{tmp_path}/some/documents.parquet")
+    before = set(os.listdir(work))
+    out = corpus_pipeline.run(spark, f"{tmp_path}/some")
+    left = [f.split("-")[:2] for f in set(os.listdir(work)) - before]
+    assert left == [["pipeline", "mixing"]] and out.count() > 0
+
+
+def test_pipeline_with_any_column_names(spark, hard, tmp_path):
+    names = "row fp __row __digest __own digest mark kept source_ u u_ copies least cdf __u order __order lang_pred score a_b".split() + ["a b"]
+    docs = hard.select("*", *[F.lit(n).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert all(tuple(r)[len(hard.columns) :] == tuple(names) for r in out.collect())
+    plain = [sorted(map(repr, (tuple(r)[: len(hard.columns)] for r in stage(spark, d, str(tmp_path)).collect()))) for _, stage in corpus_pipeline.STAGES[:-1] for d in (docs, hard)]
+    assert plain[0::2] == plain[1::2]
+
+
 def test_queries_against_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
