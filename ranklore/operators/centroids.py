@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ranklore.functions.wide import WIDE, check_bits, divided
+from ranklore.plans.ranking import hashed_first
 
 MODEL_BYTES = 256 << 20
 #: Fixed values of the order graph: discount per unit of affinity, least factor, cap of graph edges, kept row length.
@@ -199,7 +200,7 @@ def kmeans(
         raise ValueError(f"{n} rows cannot make {k} centroids")
     drawn = df.withColumn("__h", F.xxhash64(F.col(vec_id), F.lit(seed)))
     if init is None:
-        rows = drawn.orderBy("__h", vec_id).limit(k).select(vector).collect()
+        rows = hashed_first(df, k, vec_id, seed).select(vector).collect()
         init = np.array([r[0] for r in rows], np.float64)
     c = checked(init)
     bad = df.filter(F.exists(vector, lambda x: F.isnan(x.cast("double")) | (F.abs(x) == float("inf"))))

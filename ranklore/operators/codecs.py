@@ -257,6 +257,19 @@ class RotatedSigns:
         scale = extra[:, :1] / np.where(extra[:, 1:] > 0, extra[:, 1:], 1) / np.sqrt(dim)
         return bits * scale @ self.matrix + self.mean
 
+    def _estimate(self, rotated: np.ndarray, inner: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Squared distances from the rotated queries' products with the signs: the two factors make
+        the product with the vector itself unbiased, and both lengths are known exactly."""
+        extra = np.ascontiguousarray(codes[:, :8]).view(np.float32).astype(np.float64)
+        length, along = extra[:, 0], np.where(extra[:, 1] > 0, extra[:, 1], 1)
+        product = inner * (length / along / np.sqrt(rotated.shape[1]))[None, :]
+        return np.maximum((rotated * rotated).sum(1)[:, None] + (length * length)[None, :] - 2 * product, 0.0)
+
+    def distances(self, queries, codes):
+        r = (queries - self.mean) @ self.matrix.T
+        bits = np.unpackbits(codes[:, 8:], axis=1, count=r.shape[1], bitorder="little") * 2.0 - 1.0
+        return self._estimate(r, r @ bits.T, codes)
+
 
 class SignHash:
     """Bits of (rotated) projections against zero or their medians; compared by Hamming distance."""
@@ -277,9 +290,15 @@ class SignHash:
     def encode(self, x):
         return np.packbits(self._project(np.asarray(x, np.float64)) >= self.cut, axis=1, bitorder="little")
 
+    def distances(self, queries, codes):
+        """Hamming distances of the queries' bits to the rows'."""
+        a = np.unpackbits(self.encode(queries), axis=1, bitorder="little").astype(np.float32)
+        b = np.unpackbits(codes, axis=1, bitorder="little").astype(np.float32)
+        return (a.sum(1)[:, None] + b.sum(1)[None, :] - 2 * a @ b.T).astype(np.float64)
+
 
 class SpectralHash(SignHash):
-    """Bits that alternate along each projection with a period, after centring."""
+    """Bits that alternate along each projection with a period, after centring; compared by Hamming distance."""
 
     def __init__(self, bits: int = 64, period: float = 1.0, seed: int = 0):
         super().__init__(bits, True, False, seed)
@@ -343,3 +362,169 @@ class TwoLayer:
     def decode(self, codes):
         near = np.ascontiguousarray(codes[:, :4]).view(np.uint32)[:, 0]
         return self.fine.decode(codes[:, 4:]) + self.centroids[near]
+
+
+# distances from codes
+
+
+def code_distances(codec, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """(queries, rows) squared distances as the codec estimates them; by decoding where it has no way of its own."""
+    own = getattr(codec, "distances", None)
+    if own is not None:
+        return own(queries, codes)
+    x = codec.decode(codes)
+    d = (queries * queries).sum(1)[:, None] - 2 * queries @ x.T + (x * x).sum(1)[None, :]
+    return np.maximum(d, 0.0)
+
+
+class Refining:
+    """A second code for what the first leaves over; distances are those of the sum of both."""
+
+    def __init__(self, first, second):
+        self.first, self.second, self.width = first, second, 0
+
+    def fit(self, x):
+        self.first.fit(x)
+        codes = self.first.encode(x)
+        self.width = codes.shape[1]
+        self.second.fit(x - self.first.decode(codes))
+        return self
+
+    def encode(self, x):
+        codes = self.first.encode(x)
+        return np.concatenate([codes, self.second.encode(x - self.first.decode(codes))], 1)
+
+    def decode(self, codes):
+        return self.first.decode(codes[:, : self.width]) + self.second.decode(codes[:, self.width :])
+
+
+def _nibbles(codes: np.ndarray) -> np.ndarray:
+    """Two 4-bit codes a byte, the first in the low half."""
+    if codes.shape[1] % 2:
+        codes = np.concatenate([codes, np.zeros((len(codes), 1), codes.dtype)], 1)
+    return (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8)
+
+
+def _from_nibbles(packed: np.ndarray, count: int) -> np.ndarray:
+    out = np.empty((len(packed), packed.shape[1] * 2), np.uint8)
+    out[:, ::2], out[:, 1::2] = packed & 15, packed >> 4
+    return out[:, :count]
+
+
+def scanned(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Sums of table entries, (queries, rows), of ``tables`` (queries, places, 16) at ``codes`` (rows, places).
+
+    Entries are brought to 8 bits a query, from the least of each place, with one scale for
+    all places; sums run in 16 bits and are scaled back, as in 4-bit scans."""
+    low = tables.min(2, keepdims=True)
+    span = (tables - low).max((1, 2), keepdims=True)
+    step = np.where(span > 0, span / 255, 1.0)
+    small = np.floor((tables - low) / step + 0.5).astype(np.uint16)
+    total = np.zeros((len(tables), len(codes)), np.uint16 if tables.shape[1] <= 256 else np.uint32)
+    for place in range(tables.shape[1]):
+        total += small[:, place][:, codes[:, place]]
+    return total * step[:, 0] + low.sum(1)
+
+
+class FastProduct(Product):
+    """Product codes of 4 bits, two a byte, compared through small 8-bit tables."""
+
+    def __init__(self, m: int = 8):
+        super().__init__(m, 4)
+
+    def encode(self, x):
+        return _nibbles(super().encode(x))
+
+    def decode(self, codes):
+        return super().decode(_from_nibbles(codes, self.m))
+
+    def distances(self, queries, codes):
+        parts = self._parts(np.asarray(queries, np.float64))
+        tables = ((parts[:, :, None, :] - self.codebooks[None]) ** 2).sum(-1)
+        return np.maximum(scanned(tables, _from_nibbles(codes, self.m)), 0.0)
+
+
+class FastAdditive:
+    """An additive codec with codebooks of 16 words, two codes a byte, and the squared length of the
+    decoded vector; inner products come from small 8-bit tables."""
+
+    def __init__(self, inner):
+        self.inner = inner
+
+    def fit(self, x):
+        self.inner.fit(x)
+        return self
+
+    def _books(self) -> list[tuple[int, int, np.ndarray]]:
+        """First and last dimension and words of each codebook."""
+        parts = getattr(self.inner, "parts", None)
+        if parts is None:
+            return [(0, self.inner.codebooks[0].shape[1], b) for b in self.inner.codebooks]
+        out, at = [], 0
+        for part in parts:
+            wide = part.codebooks[0].shape[1]
+            out += [(at, at + wide, b) for b in part.codebooks]
+            at += wide
+        return out
+
+    def encode(self, x):
+        codes = self.inner.encode(x)
+        decoded = self.inner.decode(codes)
+        lengths = (decoded * decoded).sum(1).astype(np.float32)[:, None].view(np.uint8)
+        return np.concatenate([lengths, _nibbles(codes)], 1)
+
+    def decode(self, codes):
+        return self.inner.decode(_from_nibbles(codes[:, 4:], len(self._books())))
+
+    def distances(self, queries, codes):
+        books = self._books()
+        tables = np.stack([queries[:, a:b] @ words.T for a, b, words in books], 1)
+        lengths = np.ascontiguousarray(codes[:, :4]).view(np.float32)[:, 0].astype(np.float64)
+        inner = scanned(tables, _from_nibbles(codes[:, 4:], len(books)))
+        return np.maximum((queries * queries).sum(1)[:, None] - 2 * inner + lengths[None, :], 0.0)
+
+
+class FastRotatedSigns(RotatedSigns):
+    """Rotated sign bits compared four at a time: a table of 16 sign patterns for each run of four."""
+
+    def distances(self, queries, codes):
+        r = (queries - self.mean) @ self.matrix.T
+        dim = r.shape[1]
+        wide = np.concatenate([r, np.zeros((len(r), -dim % 8))], 1)
+        signs = np.where(np.arange(16)[:, None] >> np.arange(4) & 1, 1.0, -1.0)
+        tables = wide.reshape(len(r), -1, 4) @ signs.T
+        inner = scanned(tables, _from_nibbles(codes[:, 8:], tables.shape[1]))
+        return self._estimate(r, inner, codes)
+
+
+class MinMaxHalf(RowwiseMinMax):
+    """Row-wise scaling with the two ends kept in 16 bits."""
+
+    def encode(self, x):
+        low = np.floor(x.min(1, keepdims=True).astype(np.float64) * 1024) / 1024
+        high = np.ceil(x.max(1, keepdims=True).astype(np.float64) * 1024) / 1024
+        ends = np.concatenate([low, high], 1).astype(np.float16)
+        low, high = ends[:, :1].astype(np.float64), ends[:, 1:].astype(np.float64)
+        codes = np.clip(np.floor((x - low) / np.where(high > low, high - low, 1) * 255 + 0.5), 0, 255).astype(np.uint8)
+        return np.concatenate([ends.view(np.uint8).reshape(len(x), -1), codes], 1)
+
+    def decode(self, codes):
+        ends = np.ascontiguousarray(codes[:, :4]).view(np.float16).astype(np.float64)
+        low, high = ends[:, :1], ends[:, 1:]
+        return codes[:, 4:] / 255.0 * np.where(high > low, high - low, 1) + low
+
+
+class SignBits:
+    """Vectors of -1 and 1 as bits."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+
+    def fit(self, x):
+        return self
+
+    def encode(self, x):
+        return np.packbits(np.asarray(x) >= 0, axis=1, bitorder="little")
+
+    def decode(self, codes):
+        return np.unpackbits(codes, axis=1, count=self.bits, bitorder="little") * 2.0 - 1.0

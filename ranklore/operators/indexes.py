@@ -3,14 +3,15 @@
 An index is a Parquet-backed table of (vec_id, code[, list_id]) and a small trained
 model. Adding appends rows, removing is an anti-join, merging a union, a shard a
 filter. A search broadcasts blocks of the stated query set, scans the code table once
-per block and merges partial top-k lists; an inverted file scans only the lists that
-the block's queries probe.
+per block and merges partial top-k lists. An inverted file is laid out by list, so a
+block reads only the folders of the lists that its queries probe. ``store.save_index``
+and ``store.load_index`` keep any of them.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 from ranklore.operators import centroids as C
 from ranklore.operators import codecs as Q
+from ranklore.operators import coarse as K
+from ranklore.operators import inverted_lists as L
 from ranklore.operators import search as S
 from ranklore.operators import transforms as TR
 from ranklore.operators.vector_stats import hamming_range
@@ -32,6 +35,10 @@ def _codes_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
+def _vectors(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+
 def _keep_best(ids, order_by, d, q_ids, k, radius) -> pa.RecordBatch:
     ranked = np.where(np.isnan(order_by), np.inf, order_by)
     if radius is not None:
@@ -46,12 +53,40 @@ def _keep_best(ids, order_by, d, q_ids, k, radius) -> pa.RecordBatch:
 
 
 class VectorIndex:
-    """Codec index with optional inverted lists and transform; L2 distance to decoded vectors."""
+    """Codec index with optional inverted lists and transform; the codec's own distances, or L2 to decoded vectors.
+
+    ``coarse`` decides on lists (unset: ``lists`` trained centroids); with ``coarse_transform`` it
+    works on images of the vectors while codes stay in the index's own space.
+    """
 
-    def __init__(self, codec=None, lists: int = 0, residual: bool = False, transform: TR.Transform | None = None, iterations: int = 8):
-        self.codec, self.lists, self.residual, self.transform, self.iterations = codec or Q.Flat(), lists, residual, transform, iterations
-        self.centroids: np.ndarray | None = None
+    def __init__(
+        self,
+        codec=None,
+        lists: int = 0,
+        residual: bool = False,
+        transform: TR.Transform | None = None,
+        iterations: int = 8,
+        coarse: K.FlatCoarse | None = None,
+        coarse_transform: TR.Transform | None = None,
+    ):
+        self.codec, self.residual, self.transform = codec or Q.Flat(), residual, transform
+        self.coarse = coarse or (K.FlatCoarse(lists, iterations) if lists else None)
+        self.coarse_transform = coarse_transform
         self.table: DataFrame | None = None
+        if residual and coarse_transform is not None:
+            raise ValueError("codes of residuals need lists in the index's own space")
+
+    @property
+    def lists(self) -> int:
+        return self.coarse.lists if self.coarse else 0
+
+    @property
+    def centroids(self) -> np.ndarray | None:
+        return self.coarse.centroids if self.coarse else None
+
+    @property
+    def partitions(self) -> list[str]:
+        return ["list_block"] if self.coarse else []
 
     # training and maintenance
 
@@ -68,27 +103,34 @@ class VectorIndex:
         if not len(sample):
             raise ValueError("cannot train on an empty table")
         if centroids is not None:
-            self.centroids = C.checked(centroids)
-            self.lists = len(self.centroids)
-        elif self.lists:
-            self.centroids = Q.lloyd(sample, self.lists, self.iterations)
+            self.coarse = K.FlatCoarse(centroids=C.checked(centroids))
+        if self.coarse_transform is not None:
+            self.coarse_transform.fit(view)
+        if self.coarse is not None:
+            self.coarse.fit(self._coarse_view(sample))
         if self.residual:
-            sample = sample - self.centroids[Q.nearest(sample, self.centroids)]
+            sample = sample - self.centroids[self.coarse.top(sample, 1)[:, 0]]
         self.codec.fit(sample)
         return self
 
+    def _coarse_view(self, x: np.ndarray) -> np.ndarray:
+        return x if self.coarse_transform is None else self.coarse_transform.apply(x)
+
+    def _model(self):
+        return self.codec, self.coarse, self.residual, self.coarse_transform
+
     def encode(self, df: DataFrame) -> DataFrame:
         """vec_id, code binary, list_id (0 without lists)."""
-        shared = df.sparkSession.sparkContext.broadcast((self.codec, self.centroids, self.residual))
+        shared = df.sparkSession.sparkContext.broadcast(self._model())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            codec, centroids, residual = shared.value
+            codec, coarse, residual, image = shared.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
-                near = np.zeros(len(x), np.int64) if centroids is None else C.squared_distances(x, centroids).argmin(1)
-                codes = codec.encode(x - centroids[near] if residual else x)
+                x = _vectors(batch.column(1))
+                near = np.zeros(len(x), np.int64) if coarse is None else coarse.top(x if image is None else image.apply(x), 1)[:, 0]
+                codes = codec.encode(x - coarse.centroids[near] if residual else x)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(near)], ["vec_id", "code", "list_id"]
                 )
@@ -96,7 +138,8 @@ class VectorIndex:
         return self._view(df).mapInArrow(run, "vec_id bigint, code binary, list_id bigint")
 
     def add(self, df: DataFrame) -> VectorIndex:
-        rows = staged(self.encode(df), "index-codes")
+        made = self.encode(df)
+        rows = L.laid_out(made, self.lists, "index-lists") if self.coarse else staged(made, "index-codes")
         self.table = rows if self.table is None else self.table.unionByName(rows)
         return self
 
@@ -120,51 +163,61 @@ class VectorIndex:
         self.table = None
         return self
 
+    def shard(self, shards: int) -> list[VectorIndex]:
+        """Indexes over hash parts of the rows that share this one's model and coarse quantizer."""
+        out = []
+        for i in range(shards):
+            part = VectorIndex.__new__(VectorIndex)
+            vars(part).update(vars(self))
+            part.table = self.table.filter(F.pmod(F.xxhash64("vec_id"), F.lit(shards)) == i)
+            out.append(part)
+        return out
+
     # reading
 
     def decode(self) -> DataFrame:
         """vec_id, embedding as the index sees it (in the transformed space)."""
-        shared = self.table.sparkSession.sparkContext.broadcast((self.codec, self.centroids, self.residual))
+        shared = self.table.sparkSession.sparkContext.broadcast(self._model())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            codec, centroids, residual = shared.value
+            codec, coarse, residual, _ = shared.value
             for batch in batches:
                 if batch.num_rows:
                     x = codec.decode(_codes_of(batch.column(1)))
-                    x = x + centroids[np.asarray(batch.column(2))] if residual else x
+                    x = x + coarse.centroids[np.asarray(batch.column(2))] if residual else x
                     offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], ["vec_id", "embedding"])
 
         return self.table.select("vec_id", "code", "list_id").mapInArrow(run, "vec_id bigint, embedding array<double>")
 
+    def probed(self, lists: list[int]) -> DataFrame:
+        """The rows of some lists; only their folders are read."""
+        return L.probed(self.table, self.lists, lists)
+
     def _search(self, queries: DataFrame, k: int | None, radius: float | None, probes: int) -> DataFrame:
         spark, parts = self.table.sparkSession, []
         for q_ids, q in S._blocks(self._view(queries), "vec_id", "embedding"):
-            lists = None
-            if self.centroids is not None:
-                d = C.squared_distances(q, self.centroids)
-                lists = np.argsort(d, axis=1, kind="stable")[:, :probes]
-            shared = spark.sparkContext.broadcast((self.codec, self.centroids, self.residual, q_ids, q, lists))
+            asked_lists = None if self.coarse is None else self.coarse.top(self._coarse_view(q), probes)
+            shared = spark.sparkContext.broadcast((*self._model()[:3], q_ids, q, asked_lists))
 
             def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-                codec, centroids, residual, ids, vectors, probed = shared.value
+                codec, coarse, residual, ids, vectors, probed = shared.value
                 for batch in batches:
                     if not batch.num_rows:
                         continue
                     base_ids, where = np.asarray(batch.column(0)), np.asarray(batch.column(2))
-                    x = codec.decode(_codes_of(batch.column(1)))
-                    x = x + centroids[where] if residual else x
-                    groups = [(slice(None), np.arange(len(ids)))] if probed is None else [
-                        (np.flatnonzero(where == g), np.flatnonzero((probed == g).any(1))) for g in np.unique(where)
-                    ]
-                    for rows, asked in groups:
-                        if len(asked):
-                            d = C.squared_distances(vectors[asked], x[rows])
+                    codes = _codes_of(batch.column(1))
+                    if probed is None:
+                        groups = [(None, slice(None), slice(None))]
+                    else:
+                        groups = [(g, np.flatnonzero(where == g), np.flatnonzero((probed == g).any(1))) for g in np.unique(where)]
+                    for g, rows, asked in groups:
+                        if g is None or len(asked):
+                            q = vectors[asked] - coarse.centroids[g] if residual else vectors[asked]
+                            d = Q.code_distances(codec, q, codes[rows])
                             yield _keep_best(base_ids[rows], d, d, ids[asked], k, radius)
 
-            table = self.table
-            if lists is not None:
-                table = table.filter(F.col("list_id").isin([int(g) for g in np.unique(lists)]))
+            table = self.table if asked_lists is None else self.probed([int(g) for g in np.unique(asked_lists)])
             parts.append(table.select("vec_id", "code", "list_id").mapInArrow(scan, _RESULT))
         return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], _RESULT)
 
@@ -182,6 +235,8 @@ class VectorIndex:
 class Refined:
     """Take k * factor candidates from an index and order them by the exact distance."""
 
+    partitions: tuple[str, ...] = ()
+
     def __init__(self, index, factor: int = 4):
         self.index, self.factor, self.base = index, factor, None
 
@@ -191,18 +246,56 @@ class Refined:
 
     def add(self, df):
         self.index.add(df)
-        self.base = df if self.base is None else self.base.unionByName(df)
+        slim = df.select("vec_id", "embedding")
+        self.base = slim if self.base is None else self.base.unionByName(slim)
+        return self
+
+    def search(self, queries: DataFrame, k: int, **kw) -> DataFrame:
+        """The candidates, at most k * factor a query of the stated set, are broadcast in checked blocks
+        and one scan of the base ranks them, so vectors are not shuffled."""
+        found = self.index.search(queries, k * self.factor, **kw).select("query_id", "base_id")
+        return S.rank_candidates(queries, self.base, found, k)
+
+
+class Deduplicated:
+    """One entry for each different vector, and the ids that share it; results name them all."""
+
+    partitions: tuple[str, ...] = ()
+
+    def __init__(self, index):
+        self.index, self.copies = index, None
+
+    def fit(self, df):
+        self.index.fit(df)
+        return self
+
+    def add(self, df):
+        """Vectors that ``df`` repeats are stored once; those of an earlier call are not looked for."""
+        from ranklore.plans.lookup import lookup_by_key
+
+        rows = staged(df.select("vec_id", "embedding"), "dedup-rows")
+        firsts = staged(rows.groupBy("embedding").agg(F.min("vec_id").alias("entry"), F.count(F.lit(1)).alias("n")), "dedup-firsts")
+        told = lookup_by_key(rows, firsts, "embedding", "n", rows.count()).select("vec_id", "entry")
+        self.index.add(firsts.select(F.col("entry").alias("vec_id"), "embedding"))
+        copies = staged(told, "dedup-copies")
+        self.copies = copies if self.copies is None else self.copies.unionByName(copies)
         return self
 
     def search(self, queries: DataFrame, k: int, **kw) -> DataFrame:
-        found = self.index.search(queries, k * self.factor, **kw).select(F.col("query_id").alias("left_id"), F.col("base_id").alias("right_id"))
-        exact = S.distances_by_pairs(found, queries, self.base)
-        return S.top_k(exact.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("base_id"), "distance"), k)
+        """Every entry stands for one id at least, so k entries are enough; the first k ids of each are."""
+        from pyspark.sql import Window
+
+        nth = F.row_number().over(Window.partitionBy("entry").orderBy("vec_id"))
+        first = self.copies.withColumn("__n", nth).filter(F.col("__n") <= k).select(F.col("entry").alias("base_id"), "vec_id")
+        found = self.index.search(queries, k, **kw).select("query_id", "base_id", "distance")
+        return S.top_k(found.join(first, "base_id").select("query_id", F.col("vec_id").alias("base_id"), "distance"), k)
 
 
 class IdMap:
     """External ids: (vec_id, external_id) joined to the results."""
 
+    partitions: tuple[str, ...] = ()
+
     def __init__(self, index, ids: DataFrame):
         self.index, self.ids = index, ids
 
@@ -214,6 +307,8 @@ class IdMap:
 class Shards:
     """Indexes over parts of a base; results are merged. Replicas are shards that hold the same rows."""
 
+    partitions: tuple[str, ...] = ()
+
     def __init__(self, indexes: list, replicas: bool = False):
         self.indexes, self.replicas = indexes, replicas
 
@@ -234,12 +329,80 @@ class SplitVectors:
         self.parts = parts
 
     def search(self, queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
-        def cut(df, low, high):
-            return df.withColumn("embedding", F.slice("embedding", low + 1, high - low))
+        """One scan of the base: the parts' distances are added inside a batch, which keeps its best k."""
+        spark, found, parts = base.sparkSession, [], list(self.parts)
+        for q_ids, q in S._blocks(queries, "vec_id", "embedding"):
+            shared = spark.sparkContext.broadcast((q_ids, q))
+
+            def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                ids, vectors = shared.value
+                for batch in batches:
+                    if batch.num_rows:
+                        x = _vectors(batch.column(1))
+                        d = sum(C.squared_distances(vectors[:, a:b], x[:, a:b]) for a, b in parts)
+                        yield _keep_best(np.asarray(batch.column(0)), d, d, ids, k, None)
 
-        found = [S.range_search(cut(queries, a, b), cut(base, a, b), float("inf")) for a, b in self.parts]
-        summed = reduce(DataFrame.unionByName, found).groupBy("query_id", "base_id").agg(F.sum("distance").alias("distance"))
-        return S.top_k(summed, k)
+            found.append(base.select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(scan, _RESULT))
+        return S.top_k(reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _RESULT), k)
+
+
+def progressive_knn(queries: DataFrame, base: DataFrame, k: int, levels: int = 4) -> DataFrame:
+    """Exact kNN that compares the dimensions in ``levels`` runs and drops, after each, the rows that
+    cannot be among the k nearest any more.
+
+    What is left of a distance lies between the squared difference and the squared sum of the
+    lengths of the two remainders (Cauchy-Schwarz). Same rows as ``search.knn``.
+    """
+    spark, found = base.sparkSession, []
+    for q_ids, q in S._blocks(queries, "vec_id", "embedding"):
+        shared = spark.sparkContext.broadcast((q_ids, q))
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, vectors = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                base_ids, x = np.asarray(batch.column(0)), _vectors(batch.column(1))
+                cuts = np.linspace(0, x.shape[1], min(levels, x.shape[1]) + 1).astype(int)
+                alive, kept = np.arange(len(x)), min(k, len(x))
+                told = np.zeros((len(vectors), len(x)))
+                possible = np.ones((len(vectors), len(x)), bool)
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    part = vectors[:, a:b]
+                    told += ((part[:, None, :] - x[None, alive, a:b]) ** 2).sum(-1) if len(alive) * part.size < 1 << 24 else C.squared_distances(part, x[alive, a:b])
+                    rest_q = np.sqrt((vectors[:, b:] ** 2).sum(1))[:, None]
+                    rest_x = np.sqrt((x[alive, b:] ** 2).sum(1))[None, :]
+                    most = np.where(possible, told + (rest_q + rest_x) ** 2, np.inf)
+                    bound = np.partition(most, kept - 1, axis=1)[:, kept - 1 : kept]
+                    possible &= told + (rest_q - rest_x) ** 2 <= bound * (1 + 1e-9) + 1e-12
+                    useful = possible.any(0)
+                    if useful.sum() >= kept:
+                        alive, told, possible = alive[useful], told[:, useful], possible[:, useful]
+                d = np.where(possible, told, np.inf)
+                yield _keep_best(base_ids[alive], d, d, ids, k, None)
+
+        found.append(base.select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(scan, _RESULT))
+    return S.top_k(reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _RESULT), k)
+
+
+class Progressive:
+    """A flat index searched by ``progressive_knn``."""
+
+    partitions: tuple[str, ...] = ()
+
+    def __init__(self, levels: int = 4):
+        self.levels, self.base = levels, None
+
+    def fit(self, df):
+        return self
+
+    def add(self, df):
+        rows = staged(df.select("vec_id", "embedding"), "flat-rows")
+        self.base = rows if self.base is None else self.base.unionByName(rows)
+        return self
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        return progressive_knn(queries, self.base, k, self.levels)
 
 
 def flat_1d(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
@@ -303,16 +466,22 @@ def binary_hash_search(queries: DataFrame, base: DataFrame, bits: int, flips: in
 
 
 def binary_ivf_search(queries: DataFrame, base: DataFrame, heads: DataFrame, probes: int, k: int) -> DataFrame:
-    """Lists are the nearest head codes (``heads``: vec_id, code, few); the ``probes`` nearest lists are searched."""
+    """Lists are the nearest head codes (``heads``: vec_id, code, few); the ``probes`` nearest lists are searched.
+
+    The queries with their lists are broadcast in checked blocks, so a list that many rows share is
+    scanned by all tasks that hold some of it."""
     def lists(df, width):
         near = S.top_k(hamming_range(df, heads, 1 << 20), width)
         return near.select(F.col("query_id").alias("vec_id"), F.col("base_id").alias("list_id"))
 
     from ranklore.functions.bits import hamming
 
+    n = queries.count()
+    if n * (probes * 16 + 64) > S.BLOCK_BYTES:
+        raise ValueError("too many queries for one block: search them in parts")
     b = base.join(lists(base, 1), "vec_id").select(F.col("vec_id").alias("base_id"), F.col("code").alias("__b"), "list_id")
     q = queries.join(lists(queries, probes), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("code").alias("__q"), "list_id")
-    return S.top_k(q.join(b, "list_id").select("query_id", "base_id", hamming(F.col("__q"), F.col("__b")).alias("distance")), k)
+    return S.top_k(b.join(F.broadcast(q), "list_id").select("query_id", "base_id", hamming(F.col("__q"), F.col("__b")).alias("distance")), k)
 
 
 # sliding window of slices
@@ -338,64 +507,96 @@ class SlidingIndex:
 # construction from a string
 
 
-def index_factory(description: str):
-    """``[transform,...]code`` or ``[transform,...]IVFn,code``, ``Refine(...)``, ``IDMap`` excepted (needs a table).
+def _codec(part: str):
+    """The codec that a part of a description names, or None."""
+    rules: list[tuple[str, Callable]] = [
+        (r"Flat", lambda m: Q.Flat()),
+        (r"SQ(4|6|8)", lambda m: Q.Scalar(int(m[1]))),
+        (r"SQ(fp16|bf16)", lambda m: Q.HalfFloat(m[1] == "bf16")),
+        (r"PQ(\d+)x4fs", lambda m: Q.FastProduct(int(m[1]))),
+        (r"PQ(\d+)(?:x(\d+))?", lambda m: Q.Product(int(m[1]), int(m[2] or 8))),
+        (r"(?:RQ|LSQ|PRQ|PLSQ)[\dx]+x4fs", lambda m: Q.FastAdditive(_codec(m[0][:-2]))),
+        (r"(RQ|LSQ)(\d+)x(\d+)", lambda m: (Q.Residual if m[1] == "RQ" else Q.LocalSearch)(int(m[2]), int(m[3]))),
+        (r"(PRQ|PLSQ)(\d+)x(\d+)x(\d+)", lambda m: Q.ProductAdditive(int(m[2]), int(m[3]), int(m[4]), m[1] == "PLSQ")),
+        (r"RaBitQfs", lambda m: Q.FastRotatedSigns()),
+        (r"RaBitQ", lambda m: Q.RotatedSigns()),
+        (r"LSH(\d+)", lambda m: Q.SignHash(int(m[1]), medians=True)),
+        (r"SH(\d+)", lambda m: Q.SpectralHash(int(m[1]), 2.0)),
+        (r"MinMaxFP16", lambda m: Q.MinMaxHalf()),
+        (r"MinMax", lambda m: Q.RowwiseMinMax()),
+        (r"ZnLattice(\d+)", lambda m: Q.Lattice(int(m[1]))),
+        (r"2Layer(\d+)_(.+)", lambda m: Q.TwoLayer(int(m[1]), _codec(m[2]))),
+        (r"(.+)\+(.+)", lambda m: Q.Refining(_codec(m[1]), _codec(m[2]))),
+    ]
+    for pattern, make in rules:
+        if m := re.fullmatch(pattern, part):
+            return make(m)
+    return None
+
+
+def _coarse(part: str) -> tuple[K.FlatCoarse, bool] | None:
+    """The coarse quantizer that a part names and whether codes are of residuals, or None."""
+    if m := re.fullmatch(r"IVF(\d+)(r)?", part):
+        return K.FlatCoarse(int(m[1])), bool(m[2])
+    if m := re.fullmatch(r"IVF\((RCQ|LSCQ)(\d+)x(\d+)(?:,beam(\d+))?\)(r)?", part):
+        codec = (Q.Residual if m[1] == "RCQ" else Q.LocalSearch)(int(m[2]), int(m[3]))
+        return K.AdditiveCoarse(codec, int(m[4] or 0)), bool(m[5])
+    if m := re.fullmatch(r"IMI(\d+)x(\d+)(r)?", part):
+        return K.MultiIndexCoarse(int(m[1]), int(m[2])), bool(m[3])
+    return None
+
+
+def _transform(part: str) -> TR.Transform | None:
+    if m := re.fullmatch(r"PCA(R|W)?(\d+)", part):
+        return TR.Pca(int(m[2]), power=-0.5 if m[1] == "W" else 0.0, rotate=m[1] == "R")
+    if m := re.fullmatch(r"RR(\d+)", part):
+        return TR.RandomRotation(int(m[1]))
+    if m := re.fullmatch(r"OPQ(\d+)", part):
+        return TR.Opq(int(m[1]))
+    return {"ITQ": TR.Itq, "L2norm": TR.Normalize, "Center": TR.Center}.get(part, lambda: None)()
+
 
-    Transforms: PCA<n>, PCAR<n>, PCAW<n>, RR<n>, ITQ, OPQ<m>, L2norm, Center. Codes: Flat, SQ4, SQ6, SQ8, SQfp16,
-    SQbf16, PQ<m>x<bits>, RQ<m>x<bits>, LSQ<m>x<bits>, PRQ<s>x<m>x<bits>, PLSQ<s>x<m>x<bits>, RaBitQ, MinMax,
-    ZnLattice<r2>, HNSW<m>, NSG<m>.
+def index_factory(description: str):
+    """``[transform,...]code`` or ``[transform,...]lists,code``, around them ``Refine<factor>(...)`` or ``Dedup(...)``.
+
+    Transforms: PCA<n>, PCAR<n>, PCAW<n>, RR<n>, ITQ, OPQ<m>, L2norm, Center. Lists: IVF<n>, IVF(RCQ<m>x<bits>[,beam<b>]),
+    IVF(LSCQ<m>x<bits>), IMI<parts>x<bits>, each with r behind it for codes of residuals; Coarse(<transform>) before them
+    for lists in another space. Codes: Flat, SQ4, SQ6, SQ8, SQfp16, SQbf16, PQ<m>x<bits>, RQ<m>x<bits>, LSQ<m>x<bits>,
+    PRQ<s>x<m>x<bits>, PLSQ<s>x<m>x<bits>, RaBitQ, MinMax, MinMaxFP16, ZnLattice<r2>, LSH<bits>, SH<bits>,
+    2Layer<n>_<code>, <code>+<code> for a second code of what the first leaves over; PQ, the additive codes with 4 bits and
+    RaBitQ also with fs behind them, for scans of small tables. Graphs: HNSW<m>, NSG<m>, NND<m>, alone or with _<code>.
+    Panorama<levels> is a flat index that drops rows level by level.
     """
-    if m := re.fullmatch(r"Refine\((.+)\)", description):
-        return Refined(index_factory(m[1]))
+    if m := re.fullmatch(r"Refine(\d*)\((.+)\)", description):
+        return Refined(index_factory(m[2]), int(m[1] or 4))
+    if m := re.fullmatch(r"Dedup\((.+)\)", description):
+        return Deduplicated(index_factory(m[1]))
+    if m := re.fullmatch(r"Panorama(\d+)", description):
+        return Progressive(int(m[1]))
+    if m := re.fullmatch(r"(HNSW|NSG|NND)(\d+)(?:_(.+))?", description):
+        from ranklore.operators.graphs import GraphIndex
+
+        codec = _codec(m[3]) if m[3] else None
+        if m[3] and codec is None:
+            raise ValueError(f"unknown index part {m[3]!r}")
+        return GraphIndex(int(m[2]), levels=m[1] == "HNSW", descent=m[1] == "NND", codec=codec)
     transforms: list[TR.Transform] = []
-    lists, codec, residual, graph = 0, None, False, None
-    for part in (p.strip() for p in description.split(",")):
-        if m := re.fullmatch(r"PCA(R|W)?(\d+)", part):
-            transforms.append(TR.Pca(int(m[2]), power=-0.5 if m[1] == "W" else 0.0, rotate=m[1] == "R"))
-        elif m := re.fullmatch(r"RR(\d+)", part):
-            transforms.append(TR.RandomRotation(int(m[1])))
-        elif m := re.fullmatch(r"OPQ(\d+)", part):
-            transforms.append(TR.Opq(int(m[1])))
-        elif part == "ITQ":
-            transforms.append(TR.Itq())
-        elif part == "L2norm":
-            transforms.append(TR.Normalize())
-        elif part == "Center":
-            transforms.append(TR.Center())
-        elif m := re.fullmatch(r"IVF(\d+)(r)?", part):
-            lists, residual = int(m[1]), bool(m[2])
-        elif part == "Flat":
-            codec = Q.Flat()
-        elif m := re.fullmatch(r"SQ(4|6|8)", part):
-            codec = Q.Scalar(int(m[1]))
-        elif m := re.fullmatch(r"SQ(fp16|bf16)", part):
-            codec = Q.HalfFloat(m[1] == "bf16")
-        elif m := re.fullmatch(r"PQ(\d+)(?:x(\d+))?", part):
-            codec = Q.Product(int(m[1]), int(m[2] or 8))
-        elif m := re.fullmatch(r"(RQ|LSQ)(\d+)x(\d+)", part):
-            codec = (Q.Residual if m[1] == "RQ" else Q.LocalSearch)(int(m[2]), int(m[3]))
-        elif m := re.fullmatch(r"(PRQ|PLSQ)(\d+)x(\d+)x(\d+)", part):
-            codec = Q.ProductAdditive(int(m[2]), int(m[3]), int(m[4]), m[1] == "PLSQ")
-        elif part == "RaBitQ":
-            codec = Q.RotatedSigns()
-        elif part == "MinMax":
-            codec = Q.RowwiseMinMax()
-        elif m := re.fullmatch(r"ZnLattice(\d+)", part):
-            codec = Q.Lattice(int(m[1]))
-        elif m := re.fullmatch(r"(HNSW|NSG)(\d+)", part):
-            from ranklore.operators.graphs import GraphIndex
-
-            graph = GraphIndex(int(m[2]), levels=m[1] == "HNSW")
+    coarse, codec, residual, image = None, None, False, None
+    for part in (p.strip() for p in re.split(r",(?![^(]*\))", description)):
+        if (made := _transform(part)) is not None:
+            transforms.append(made)
+        elif m := re.fullmatch(r"Coarse\((.+)\)", part):
+            image = _transform(m[1])
+        elif lists := _coarse(part):
+            coarse, residual = lists
+        elif (made := _codec(part)) is not None:
+            codec = made
         else:
             raise ValueError(f"unknown index part {part!r}")
-    if graph is not None:
-        if transforms or lists or codec:
-            raise ValueError("a graph index stands alone")
-        return graph
     if codec is None:
         raise ValueError("an index needs a code")
     transform = None if not transforms else transforms[0] if len(transforms) == 1 else TR.Chain(transforms)
-    return VectorIndex(codec, lists, residual, transform)
+    return VectorIndex(codec, residual=residual, transform=transform, coarse=coarse, coarse_transform=image)
 
 
 # exploration of parameters

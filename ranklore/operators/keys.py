@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ranklore.plans.ranking import with_position
+from ranklore.plans.ranking import hashed_first, with_position
 from ranklore.plans.workspace import staged
 
 #: Up to so many different keys one task adds up the counts; beyond, range partitions and blocks do.
@@ -76,8 +76,7 @@ def prefix(df: DataFrame, id_column: str, n: int) -> DataFrame:
 
 def hashed_sample(df: DataFrame, id_column: str, n: int, seed: int = 0) -> DataFrame:
     """n rows without replacement, the same on every run, in id order."""
-    drawn = df.withColumn("__h", F.xxhash64(F.col(id_column), F.lit(seed))).orderBy("__h", id_column).limit(n)
-    return drawn.drop("__h").orderBy(id_column)
+    return hashed_first(df, n, id_column, seed).orderBy(id_column)
 
 
 def even_sample(df: DataFrame, position: str, m: int) -> DataFrame:

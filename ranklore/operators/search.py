@@ -139,6 +139,57 @@ def distances_by_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, metr
     return joined.withColumn("distance", METRICS[metric].column(F.col("__a"), F.col("__b"))).drop("__a", "__b")
 
 
+def rank_candidates(queries: DataFrame, base: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query's own candidates (query_id, base_id), by exact squared distance.
+
+    The queries and their candidates, a stated set and a few each, are broadcast in blocks of at
+    most BLOCK_BYTES; a scan of the base picks out the candidates. Base vectors are not shuffled.
+    """
+    own = candidates.groupBy("query_id").agg(F.sort_array(F.collect_set("base_id")).alias("wanted"))  # a few a query
+    asked = queries.select(F.col("vec_id").alias("query_id"), "embedding").join(own, "query_id").select("query_id", "embedding", "wanted")
+    spark, parts = base.sparkSession, []
+    slim = base.select(F.col("vec_id").cast("bigint").alias("base_id"), "embedding")
+
+    def block(rows: list) -> DataFrame:
+        ids, q = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+        wanted = np.concatenate([np.array(r[2], np.int64) for r in rows])
+        owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+        order = np.argsort(wanted, kind="stable")
+        shared = spark.sparkContext.broadcast((ids, q, wanted[order], owner[order]))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q, wanted, owner = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                held = np.asarray(batch.column(0))
+                first, last = np.searchsorted(wanted, held, "left"), np.searchsorted(wanted, held, "right")
+                counts = last - first
+                if not counts.any():
+                    continue
+                row = np.repeat(np.arange(len(held)), counts)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
+                x = _matrix(batch.column(1))
+                d = ((q[owner[place]] - x[row]) ** 2).sum(1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[owner[place]], pa.int64()), pa.array(held[row], pa.int64()), pa.array(d)], ["query_id", "base_id", "distance"]
+                )
+
+        return slim.mapInArrow(scan, "query_id bigint, base_id bigint, distance double")
+
+    rows, size = [], 0
+    for row in asked.toLocalIterator():
+        rows.append(row)
+        size += 8 * (len(row[1]) + 2 * len(row[2]))
+        if size >= BLOCK_BYTES:
+            parts.append(block(rows))
+            rows, size = [], 0
+    if rows:
+        parts.append(block(rows))
+    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "query_id bigint, base_id bigint, distance double")
+    return top_k(found, k)
+
+
 def knn_by_lists(queries: DataFrame, base: DataFrame, lists: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """kNN of each query among its own candidate ids (``lists``: query_id, candidates array)."""
     pairs = lists.select(F.col("query_id").alias("left_id"), F.explode("candidates").alias("right_id")).distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranklore.operators.codecs import Product, rotation
+from ranklore.plans.ranking import hashed_first
 
 #: Rows of a training sample, the first in hash order.
 SAMPLE_ROWS = 20_000
@@ -17,8 +18,7 @@ SAMPLE_ROWS = 20_000
 
 def sample_matrix(df: DataFrame, rows: int = SAMPLE_ROWS, vec_id: str = "vec_id", vector: str = "embedding") -> np.ndarray:
     """At most ``rows`` vectors on the driver."""
-    drawn = df.orderBy(F.xxhash64(F.col(vec_id)), vec_id).limit(rows).select(vector).collect()
-    return np.array([r[0] for r in drawn], np.float64)
+    return np.array([r[0] for r in hashed_first(df, rows, vec_id).select(vector).collect()], np.float64)
 
 
 class Transform:
