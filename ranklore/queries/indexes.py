@@ -10,6 +10,7 @@ from ranklore.functions import bits
 from ranklore.operators import codecs as Q
 from ranklore.operators import graphs as G
 from ranklore.operators import indexes as IX
+from ranklore.operators import inverted_lists as L
 from ranklore.operators import search as S
 from ranklore.operators import selector as SEL
 from ranklore.operators import transforms as TR
@@ -156,41 +157,224 @@ def binary_multi_hash(spark, sf_dir):
     return IX.binary_hash_search(codes.filter("vec_id % 100 = 0"), codes, 16, 2, 26, tables=4)
 
 
-@register("binary_ivf")
+@register(
+    "binary_ivf",
+    "WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN 1 ELSE 0 END) AS b FROM embeddings), "
+    "p AS (SELECT a.vec_id AS x, c.vec_id AS y, list_sum(list_transform(list_zip(a.b, c.b), lambda t: abs(t[1] - t[2])))::INTEGER AS d FROM s a, s c), "
+    "h AS (SELECT x, y AS list_id, row_number() OVER (PARTITION BY x ORDER BY d, y) AS n FROM p WHERE y < 8), "
+    "f AS (SELECT p.x AS query_id, p.y AS base_id, p.d AS distance, row_number() OVER (PARTITION BY p.x ORDER BY p.d, p.y) AS n FROM p JOIN h hq ON hq.x = p.x AND hq.n <= 3 JOIN h hb ON hb.x = p.y AND hb.n = 1 AND hb.list_id = hq.list_id WHERE p.x % 100 = 0) "
+    "SELECT query_id, base_id, distance, n::INTEGER AS nn_rank FROM f WHERE n <= 5",
+)
 def binary_ivf(spark, sf_dir):
     codes = _e(spark, sf_dir).select("vec_id", bits.sign_words(F.col("embedding"), 64).alias("code"))
     return IX.binary_ivf_search(codes.filter("vec_id % 100 = 0"), codes, codes.filter("vec_id < 8"), 3, 5)
 
 
-def _recall_query(name: str, make, **settings):
-    @register(name)
+FLOOR = 0.9
+_TRUTH = (
+    "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), "
+    f"d AS (SELECT q.vec_id AS query_id, b.vec_id AS base_id, {_PAIR} AS d FROM e q, e b WHERE q.vec_id % 100 = 0), "
+    "t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, base_id) AS n FROM d) WHERE n <= 10) "
+)
+#: What an index query returns: the exact neighbours are counted and summed by both sides, and the share of
+#: them that the index finds must reach the floor.
+_RECALL_SQL = _TRUTH + "SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, round(sum(d), 6) AS exact_sum, TRUE AS reached FROM t"
+
+
+def recall_row(spark, e, found):
+    """queries, neighbours, exact_sum, recall of an index's answer (query_id, base_id) to the stated queries."""
+    truth = S.knn(e.filter("vec_id % 100 = 0"), e, 10).select("query_id", "base_id", "distance")
+    told = truth.join(found.select("query_id", "base_id").distinct().withColumn("hit", F.lit(1)), ["query_id", "base_id"], "left")
+    return told.agg(
+        F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("neighbours"), F.round(F.sum("distance"), 6).alias("exact_sum"), (F.count("hit") / F.count(F.lit(1))).alias("recall")
+    )
+
+
+def _recall_query(name: str, text: str, **settings):
+    @register(name, _RECALL_SQL)
     def run(spark, sf_dir):
-        """query_id, recall@10 of an approximate index against exact search."""
         e = _e(spark, sf_dir)
-        q = e.filter("vec_id % 100 = 0")
-        found = make().fit(e).add(e).search(q, 10, **settings).select("query_id", "base_id").withColumn("hit", F.lit(1))
-        truth = S.knn(q, e, 10).select("query_id", "base_id")
-        return truth.join(found, ["query_id", "base_id"], "left").groupBy("query_id").agg((F.count("hit") / 10.0).alias("recall"))
-
-
-for _name, _text, _settings in (
-    ("index_pq", "PQ16x6", {}),
-    ("index_opq_pq", "OPQ16,PQ16x6", {}),
-    ("index_pca_ivf_sq8", "PCA32,IVF8,SQ8", {"probes": 4}),
-    ("index_ivf_pq_residual", "IVF8r,PQ16x6", {"probes": 4}),
-    ("index_rq", "RQ8x6", {}),
-    ("index_lsq", "LSQ4x6", {}),
-    ("index_prq", "PRQ4x4x5", {}),
-    ("index_rabitq", "RaBitQ", {}),
+        found = IX.index_factory(text).fit(e).add(e).search(e.filter("vec_id % 100 = 0"), 10, **settings)
+        return recall_row(spark, e, found).select("queries", "neighbours", "exact_sum", (F.col("recall") >= FLOOR).alias("reached"))
+
+
+#: Registered settings: each reaches the floor on the driver's tables (README has the figures).
+RECALL_SETTINGS: tuple[tuple[str, str, dict], ...] = (
+    ("index_pq", "Refine8(PQ16x6)", {}),
+    ("index_opq_pq", "Refine10(OPQ16,PQ16x6)", {}),
+    ("index_pca_ivf_sq8", "Refine8(PCA48,IVF8,SQ8)", {"probes": 7}),
+    ("index_ivf_sq8", "IVF8,SQ8", {"probes": 7}),
+    ("index_ivf_flat", "IVF8,Flat", {"probes": 7}),
+    ("index_ivf_pq", "Refine10(IVF8,PQ16x6)", {"probes": 7}),
+    ("index_ivf_pq_residual", "Refine10(IVF8r,PQ16x6)", {"probes": 7}),
+    ("index_ivf_pq_refined_codes", "Refine6(IVF8r,PQ16x6+PQ16x6)", {"probes": 7}),
+    ("index_ivf_rq", "Refine20(IVF8r,RQ8x6)", {"probes": 7}),
+    ("index_ivf_lsq", "Refine24(IVF8r,LSQ4x6)", {"probes": 7}),
+    ("index_ivf_prq", "Refine16(IVF8r,PRQ4x4x5)", {"probes": 7}),
+    ("index_ivf_plsq", "Refine20(IVF8r,PLSQ4x4x4)", {"probes": 7}),
+    ("index_ivf_rabitq", "Refine20(IVF8,RaBitQ)", {"probes": 7}),
+    ("index_ivf_spectral_hash", "Refine32(IVF8,SH64)", {"probes": 7}),
+    ("index_ivf_dedup", "Dedup(IVF8,Flat)", {"probes": 7}),
+    ("index_ivf_other_space", "Coarse(PCA16),IVF8,Flat", {"probes": 7}),
+    ("index_rq", "Refine16(RQ8x6)", {}),
+    ("index_lsq", "Refine24(LSQ4x6)", {}),
+    ("index_prq", "Refine8(PRQ4x4x5)", {}),
+    ("index_plsq", "Refine16(PLSQ4x4x4)", {}),
+    ("index_rabitq", "Refine16(RaBitQ)", {}),
+    ("index_lsh", "Refine32(LSH64)", {}),
+    ("index_two_layer", "Refine8(2Layer8_PQ16x6)", {}),
+    ("index_pq_fast", "Refine8(PQ32x4fs)", {}),
+    ("index_rq_fast", "Refine24(RQ16x4fs)", {}),
+    ("index_lsq_fast", "Refine24(LSQ16x4fs)", {}),
+    ("index_prq_fast", "Refine16(PRQ4x6x4fs)", {}),
+    ("index_plsq_fast", "Refine16(PLSQ4x6x4fs)", {}),
+    ("index_rabitq_fast", "Refine16(RaBitQfs)", {}),
+    ("index_ivf_pq_fast", "Refine10(IVF8r,PQ32x4fs)", {"probes": 7}),
+    ("index_ivf_rq_fast", "Refine24(IVF8r,RQ16x4fs)", {"probes": 7}),
+    ("index_ivf_lsq_fast", "Refine24(IVF8r,LSQ16x4fs)", {"probes": 7}),
+    ("index_ivf_prq_fast", "Refine20(IVF8r,PRQ4x6x4fs)", {"probes": 7}),
+    ("index_ivf_plsq_fast", "Refine20(IVF8r,PLSQ4x6x4fs)", {"probes": 7}),
+    ("index_ivf_rabitq_fast", "Refine20(IVF8,RaBitQfs)", {"probes": 7}),
+    ("index_residual_coarse", "IVF(RCQ2x3),Flat", {"probes": 52}),
+    ("index_residual_coarse_beam", "IVF(RCQ2x3,beam4),Flat", {"probes": 52}),
+    ("index_local_search_coarse", "IVF(LSCQ2x3),Flat", {"probes": 52}),
+    ("index_multi_index", "IMI2x3,Flat", {"probes": 48}),
     ("index_minmax", "MinMax", {}),
+    ("index_minmax_fp16", "MinMaxFP16", {}),
     ("index_fp16", "SQfp16", {}),
     ("index_bf16", "SQbf16", {}),
-    ("index_lattice", "ZnLattice40", {}),
-    ("index_refine_pq", "Refine(PQ16x6)", {}),
+    ("index_lattice", "Refine4(ZnLattice40)", {}),
+    ("index_refine_pq", "Refine12(PQ16x6)", {}),
+    ("index_progressive", "Panorama4", {}),
     ("index_hnsw", "HNSW12", {"ef": 80}),
+    ("index_hnsw_sq", "HNSW12_SQ8", {"ef": 80}),
+    ("index_hnsw_pq", "Refine10(HNSW12_PQ16x6)", {"ef": 120}),
+    ("index_hnsw_two_level", "Refine10(HNSW12_2Layer8_PQ16x6)", {"ef": 120}),
     ("index_nsg", "NSG16", {"ef": 80}),
-):
-    _recall_query(_name, lambda _text=_text: IX.index_factory(_text), **_settings)
+    ("index_nsg_sq", "NSG16_SQ8", {"ef": 80}),
+    ("index_nsg_pq", "Refine8(NSG16_PQ16x6)", {"ef": 80}),
+    ("index_nn_descent", "NND16", {"ef": 80}),
+)
+for _name, _text, _settings in RECALL_SETTINGS:
+    _recall_query(_name, _text, **_settings)
+
+
+@register("index_saved_and_loaded", _RECALL_SQL)
+def index_saved_and_loaded(spark, sf_dir):
+    """A refined inverted file that is written, read again and asked: it must answer as before."""
+    from ranklore.operators.store import load_index, save_index
+    from ranklore.plans.workspace import fresh_path
+
+    e = _e(spark, sf_dir)
+    q = e.filter("vec_id % 100 = 0")
+    index = IX.index_factory("Refine10(PCA48,IVF8r,PQ16x6)").fit(e).add(e)
+    path = fresh_path(spark, "saved-index")
+    save_index(index, path, spark)
+    before, after = index.search(q, 10, probes=8), load_index(path, spark).search(q, 10, probes=8)
+    same = before.exceptAll(after).isEmpty() and after.exceptAll(before).isEmpty()
+    return recall_row(spark, e, after).select("queries", "neighbours", "exact_sum", (F.lit(same) & (F.col("recall") >= FLOOR)).alias("reached"))
+
+
+@register("index_shards_of_one_quantizer", _RECALL_SQL)
+def index_shards_of_one_quantizer(spark, sf_dir):
+    e = _e(spark, sf_dir)
+    shards = IX.Shards(IX.index_factory("IVF8,Flat").fit(e).add(e).shard(3))
+    found = shards.search(e.filter("vec_id % 100 = 0"), 10, probes=7)
+    return recall_row(spark, e, found).select("queries", "neighbours", "exact_sum", (F.col("recall") >= FLOOR).alias("reached"))
+
+
+_BITS_SQL = (
+    "WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN 1 ELSE 0 END) AS b FROM embeddings), "
+    "p AS (SELECT a.vec_id AS query_id, c.vec_id AS base_id, list_sum(list_transform(list_zip(a.b, c.b), lambda t: abs(t[1] - t[2]))) AS d FROM s a, s c WHERE a.vec_id % 100 = 0) "
+)
+
+
+@register(
+    "binary_graph",
+    _BITS_SQL + ", t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, base_id) AS n FROM p) SELECT query_id, sum(d)::BIGINT AS distance_sum FROM t WHERE n <= 5 GROUP BY query_id",
+)
+def binary_graph(spark, sf_dir):
+    """Sum of the five least Hamming distances that the walk finds; the walk is as wide as it needs to be exact here."""
+    codes = _e(spark, sf_dir).select("vec_id", bits.sign_words(F.col("embedding"), 64).alias("code"))
+    index = G.BinaryGraphIndex(64, 24).fit(codes).add(codes)
+    found = index.search(codes.filter("vec_id % 100 = 0"), 5, ef=400)
+    return found.groupBy("query_id").agg(F.sum("distance").alias("distance_sum"))
+
+
+# inverted lists
+
+_LISTS = f"WITH {_ASSIGN}, il AS (SELECT centroid_id AS list_id, vec_id FROM a)"
+
+
+def _lists(spark, sf_dir):
+    e = _e(spark, sf_dir)
+    return IX.VectorIndex(Q.Flat()).fit(e, _first(e)).add(e)
+
+
+@register("list_sizes", f"{_LISTS} SELECT list_id, count(*) AS size FROM il GROUP BY list_id")
+def list_sizes(spark, sf_dir):
+    return L.list_sizes(_lists(spark, sf_dir).table)
+
+
+@register("list_probe", f"{_LISTS} SELECT list_id, vec_id FROM il WHERE list_id IN (1, 6)")
+def list_probe(spark, sf_dir):
+    """Only the folders of the probed lists are read (PartitionFilters in the plan)."""
+    return _lists(spark, sf_dir).probed([1, 6]).select("list_id", "vec_id")
+
+
+@register("list_direct_map", f'{_LISTS} SELECT vec_id, list_id, row_number() OVER (PARTITION BY list_id ORDER BY vec_id) - 1 AS "offset" FROM il')
+def list_direct_map(spark, sf_dir):
+    return L.direct_map(_lists(spark, sf_dir).table)
+
+
+@register("list_hstack", f"{_LISTS} SELECT list_id, 2 * count(*) AS size FROM il GROUP BY list_id")
+def list_hstack(spark, sf_dir):
+    table = _lists(spark, sf_dir).table
+    return L.list_sizes(L.hstack([table, table]))
+
+
+@register("list_vstack", f"{_LISTS} SELECT list_id, count(*) AS size FROM (SELECT list_id FROM il UNION ALL SELECT list_id + 8 FROM il WHERE vec_id % 2 = 0) GROUP BY list_id")
+def list_vstack(spark, sf_dir):
+    table = _lists(spark, sf_dir).table
+    return L.list_sizes(L.vstack([table, table.filter("vec_id % 2 = 0")], [8, 8]))
+
+
+@register("list_slice", f"{_LISTS} SELECT list_id - 2 AS list_id, vec_id FROM il WHERE list_id BETWEEN 2 AND 4")
+def list_slice(spark, sf_dir):
+    return L.sliced(_lists(spark, sf_dir).table, 2, 5).select("list_id", "vec_id")
+
+
+@register("list_masked", f"{_LISTS} SELECT list_id, vec_id FROM il WHERE list_id < 3 UNION ALL SELECT list_id, vec_id FROM il WHERE list_id >= 3 AND vec_id % 3 = 0")
+def list_masked(spark, sf_dir):
+    table = _lists(spark, sf_dir).table
+    return L.masked(table.filter("list_id < 3"), table.filter("vec_id % 3 = 0")).select("list_id", "vec_id")
+
+
+@register("list_stop_words", f"{_LISTS}, z AS (SELECT list_id, count(*) AS n FROM il GROUP BY 1) SELECT list_id, vec_id FROM il JOIN z USING (list_id) WHERE n <= 60")
+def list_stop_words(spark, sf_dir):
+    return L.without_stop_words(_lists(spark, sf_dir).table, 60).select("list_id", "vec_id")
+
+
+@register("list_blocks", f"{_LISTS}, o AS (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY vec_id) - 1 AS p FROM il) SELECT list_id, (p // 16)::BIGINT AS block, count(*) AS rows, sum(vec_id)::BIGINT AS id_sum FROM o GROUP BY 1, 2")
+def list_blocks(spark, sf_dir):
+    made = L.blocked(_lists(spark, sf_dir).table, 16)
+    return L.unblocked(made).join(made.select("list_id", "block", F.explode("ids").alias("vec_id")), ["list_id", "vec_id"]).groupBy("list_id", "block").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("vec_id").alias("id_sum")
+    )
+
+
+@register("code_set_insert", "SELECT event_id AS id, event_type AS code, row_number() OVER (PARTITION BY event_type ORDER BY event_id % 2, event_id) = 1 AS is_new FROM events")
+def code_set_insert(spark, sf_dir):
+    """Two batches; a code is new in the first row, by batch and id, that brings it."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("vec_id"), F.col("event_type").alias("code"))
+    held = L.CodeSet()
+    told = held.insert(rows.filter("vec_id % 2 = 0")).unionByName(held.insert(rows.filter("vec_id % 2 <> 0")))
+    return told.select(F.col("vec_id").alias("id"), "code", "is_new")
+
+
+@register("bucket_sort", 'SELECT vec_id, label, row_number() OVER (ORDER BY label, vec_id) - 1 AS "offset" FROM embeddings')
+def bucket_sort(spark, sf_dir):
+    return L.bucket_sorted(_e(spark, sf_dir).select("vec_id", "label"), "label", "vec_id")
 
 
 @register(
