@@ -2,8 +2,10 @@
 
 A fit takes rows (group columns, ``x`` double, ``k`` bigint, ``y`` bigint) and gives one
 row per group with ``p`` array<double>, the parameters in the order of ``predict``.
-``x`` is the key as a double, ``k`` as an integer, ``y`` the target position. All fits
-are aggregates (with a partial step before the shuffle) and equi joins on the group.
+``x`` is the key as a double, ``k`` as an integer, ``y`` the target position. A column
+``copies``, where there is one, says how many rows a row stands for: sums and ranks are
+weighted, nothing is repeated. All fits are aggregates (with a partial step before the
+shuffle) and equi joins on the group.
 """
 
 from __future__ import annotations
@@ -84,28 +86,69 @@ def _line(x: str, y: Column | str) -> tuple[Column, Column]:
     return significant(alpha), beta
 
 
+def _weighted(df: DataFrame) -> bool:
+    return "copies" in df.columns
+
+
+def _weighted_line(df: DataFrame, group: list[str], y: Column) -> DataFrame:
+    """``_line`` over rows with ``copies``: means first, then sums about them, so nothing cancels."""
+    w = F.col("copies").cast("double")
+    shaped = df.select(*group, "x", y.cast("double").alias("__y"), w.alias("__w"))
+    means = _groups(
+        shaped,
+        group,
+        (F.sum(F.col("__w") * F.col("x")) / F.sum("__w")).alias("__mx"),
+        (F.sum(F.col("__w") * F.col("__y")) / F.sum("__w")).alias("__my"),
+        (F.min("x") == F.max("x")).alias("__flat"),
+    )
+    dx, dy = F.col("x") - F.col("__mx"), F.col("__y") - F.col("__my")
+    sums = _groups(
+        _join(shaped, means, group),
+        group,
+        F.sum(F.col("__w") * dx * dy).alias("__xy"),
+        F.sum(F.col("__w") * dx * dx).alias("__xx"),
+        F.first("__mx").alias("__mx"),
+        F.first("__my").alias("__my"),
+        F.first("__flat").alias("__flat"),
+    )
+    flat = F.coalesce(F.col("__flat") | (F.col("__xx") == 0), F.lit(True))
+    zero = F.lit(0.0)
+    beta = significant(F.when(flat, zero).otherwise(F.col("__xy") / F.col("__xx")))
+    alpha = significant(F.coalesce("__my", zero)) - beta * significant(F.coalesce("__mx", zero))
+    return sums.select(*group, F.array(significant(alpha), beta).alias("p"))
+
+
 def fit_linear(df: DataFrame, group: list[str]) -> DataFrame:
+    if _weighted(df):
+        return _weighted_line(df, group, F.col("y"))
     alpha, beta = _line("x", "y")
     return _groups(df, group, F.array(alpha, beta).alias("p"))
 
 
+def _rows_before(df: DataFrame, group: list[str]) -> DataFrame:
+    """``df`` with ``copies``, ``__n`` (rows of the group) and ``__before`` (rows before it in the group's
+    order of x and y). One global order, cut into ranges: no group is sorted by one task."""
+    from ranklore.plans.ranking import ONE_TASK_ROWS, one_task_limit, with_running_sum
+
+    df = df if _weighted(df) else df.withColumn("copies", F.lit(1).cast("bigint"))
+    running = with_running_sum(df, [*group, "x", *[c for c in ("y",) if c in df.columns]], "copies", "__run", df.count() <= one_task_limit(df.sparkSession, ONE_TASK_ROWS))
+    firsts = _groups(running, group, F.min("__run").alias("__first"), F.sum("copies").alias("__n"))
+    return _join(running, firsts, group).withColumn("__before", F.col("__run") - F.col("__first")).drop("__run", "__first")
+
+
 def fit_robust_linear(df: DataFrame, group: list[str]) -> DataFrame:
     """Without the first and last max(1, n/10000) points of each group; at least three must be left."""
-    order = Window.partitionBy(*group).orderBy("x", "y")
-    sized = _join(df, _groups(df, group, F.count(F.lit(1)).alias("__n")), group)
-    cut = F.greatest(F.lit(1), F.floor(F.col("__n") * 0.0001))
-    nth = F.row_number().over(order) - 1
-    if not group:  # one group of any size: positions without a single-partition window
-        from ranklore.plans.ranking import with_position
-
-        sized = with_position(sized, ["x", "y"], "__nth")
-    else:
-        sized = sized.withColumn("__nth", nth)
-    kept = sized.filter((F.col("__nth") >= cut) & (F.col("__nth") < F.col("__n") - cut) & (2 * cut + 1 < F.col("__n")))
-    return fit_linear(kept, group)
+    placed = _rows_before(df, group)
+    n, first = F.col("__n"), F.col("__before")
+    cut = F.greatest(F.lit(1), F.floor(n * 0.0001))
+    left = F.least(first + F.col("copies"), n - cut) - F.greatest(first, cut)  # copies that are not cut off
+    kept = placed.withColumn("copies", left).filter((F.col("copies") > 0) & (2 * cut + 1 < n))
+    return fit_linear(kept.drop("__n", "__before"), group)
 
 
 def fit_log_linear(df: DataFrame, group: list[str]) -> DataFrame:
+    if _weighted(df):
+        return _weighted_line(df.filter("y > 0"), group, F.ln(F.col("y").cast("double")))
     alpha, beta = _line("x", F.ln(F.col("y").cast("double")))
     return _groups(df.filter("y > 0"), group, F.array(alpha, beta).alias("p"))
 
@@ -154,12 +197,13 @@ def fit_cubic(df: DataFrame, group: list[str]) -> DataFrame:
         F.when(flat, None).otherwise(F.array(a, b, c, d)).alias("__cubic"),
         F.when(flat, None).otherwise(F.array(F.col("y0") - line * lo, line)).alias("__line"),
     )
-    predicted = _join(df, made, group)
+    predicted = _join(df, made.drop("y0"), group)
+    w = F.col("copies") if _weighted(df) else F.lit(1)
     errors = _groups(
         predicted,
         group,
-        F.sum(F.abs(predict_cubic(F.col("__cubic"), F.col("x")) - F.col("y"))).alias("__ce"),
-        F.sum(F.abs(predict_linear(F.col("__line"), F.col("x")) - F.col("y"))).alias("__le"),
+        F.sum(w * F.abs(predict_cubic(F.col("__cubic"), F.col("x")) - F.col("y"))).alias("__ce"),
+        F.sum(w * F.abs(predict_linear(F.col("__line"), F.col("x")) - F.col("y"))).alias("__le"),
     )
     zero = F.lit(0.0)
     return _join(made, errors, group).select(
@@ -172,6 +216,16 @@ def fit_cubic(df: DataFrame, group: list[str]) -> DataFrame:
 
 
 def _normal(df: DataFrame, group: list[str], x: Column) -> DataFrame:
+    if _weighted(df):
+        w = F.col("copies").cast("double")
+        shaped = df.select(*group, x.alias("__v"), "y", w.alias("__w"))
+        means = _groups(shaped, group, (F.sum(F.col("__w") * F.col("__v")) / F.sum("__w")).alias("__m"))
+        off = F.col("__v") - F.col("__m")
+        spread = F.sqrt(F.sum(F.col("__w") * off * off) / F.sum("__w"))
+        joined = _join(shaped, means, group)
+        return _groups(
+            joined, group, F.array(significant(F.first("__m")), significant(spread), F.max("y").cast("double")).alias("p")
+        )
     return _groups(
         df, group, F.array(significant(F.avg(x)), significant(F.stddev_pop(x)), F.max("y").cast("double")).alias("p")
     )
@@ -241,7 +295,9 @@ def radix_table(df: DataFrame, bits: int) -> DataFrame:
 
 def balanced_radix(df: DataFrame, max_output: int) -> DataFrame:
     """bits, high, clamp, score of each tried setup: chi-square of the bucket counts against even ones."""
-    spark, n, bits = df.sparkSession, df.count(), bit_length(max_output)
+    spark, bits = df.sparkSession, bit_length(max_output)
+    number = F.sum("copies") if _weighted(df) else F.count(F.lit(1))
+    n = df.agg(number).first()[0] or 0
     prefix = _prefix(df, []).first()["prefix"]
     tried = []
     for test in range(bits, min(bits + 2, 64)):
@@ -250,7 +306,7 @@ def balanced_radix(df: DataFrame, max_output: int) -> DataFrame:
     setups = spark.createDataFrame(tried, "bits int, high boolean, clamp bigint")
     raw = _shifted(F.col("k"), F.lit(prefix), F.col("bits"))
     clamped = predict_balanced_radix(raw, F.col("high"), F.col("clamp"))
-    counts = df.crossJoin(F.broadcast(setups)).groupBy("bits", "high", "clamp", clamped.alias("bucket")).agg(F.count(F.lit(1)).alias("c"))
+    counts = df.crossJoin(F.broadcast(setups)).groupBy("bits", "high", "clamp", clamped.alias("bucket")).agg(number.alias("c"))
     expected = n / max_output
     held = counts.groupBy("bits", "high", "clamp").agg(
         F.sum((F.col("c") - expected) * (F.col("c") - expected) / expected).alias("some"), F.count(F.lit(1)).alias("buckets")
@@ -278,21 +334,15 @@ def histogram_splits(df: DataFrame) -> DataFrame:
 
 def quantile_knots(df: DataFrame, group: list[str], knots: int = KNOTS) -> DataFrame:
     """p: up to ``knots`` order statistics, at round(i (n - 1) / (knots - 1))."""
-    sized = _join(df.select(*group, "x"), _groups(df, group, F.count(F.lit(1)).alias("__n")), group)
-    if group:
-        placed = sized.withColumn("__row", F.row_number().over(Window.partitionBy(*group).orderBy("x")) - 1)
-    else:
-        from ranklore.plans.ranking import with_position
-
-        placed = with_position(sized, ["x"], "__row")
+    slim = df.select(*group, "x", *[c for c in ("copies",) if c in df.columns])
+    placed = _rows_before(slim, group)
     count = F.least(F.lit(knots), F.col("__n"))
     at = F.transform(
         F.sequence(F.lit(0), (count - 1).cast("int")),
         lambda i: F.floor(i * (F.col("__n") - 1) / F.greatest(count - 1, F.lit(1)) + 0.5).cast("bigint"),
     )
-    chosen = placed.withColumn("__i", F.explode(at)).filter(
-        F.col("__i") == F.col("__row")
-    )
+    held = F.filter(at, lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("copies")))
+    chosen = placed.withColumn("__i", F.explode(held))
     return _groups(chosen, group, F.array_sort(F.collect_list("x")).alias("p"))  # at most `knots` values a group
 
 

@@ -37,11 +37,23 @@ def node_ladder(counts: list[int]) -> list[int]:
     return sorted({c for c in counts if c > 0}) or list(NODE_COUNTS)
 
 
+def hash_gap(a: Column, b: Column, text: bool) -> Column:
+    """Distance of two hashes as a double. Hashes of more than 64 bits are fixed-width hex text, which
+    sorts like the numbers; their distance is taken from the first 16 digits, exact to 2^-53 or so."""
+    if not text:
+        return F.abs(a - b).cast("double")
+    top = [F.conv(F.substring(h, 1, 16), 16, 10).cast("decimal(20,0)") for h in (a, b)]
+    below = F.greatest(F.length(a) - 16, F.lit(0)) * 4
+    return F.abs(top[0] - top[1]).cast("double") * F.pow(F.lit(2.0), below.cast("double"))
+
+
 def neighbour_table(base_hashed: DataFrame, query_hashed: DataFrame, truth: DataFrame, hash_column: str = "hash") -> DataFrame:
     """query_id, nn_rank, base_id, rank, pos, n, weight, hash_gap: one row per true neighbour.
 
     ``truth`` is (query_id, base_id, nn_rank from 1); weights are 1 / log2(nn_rank + 1).
+    Hashes are numbers or, beyond 64 bits, hex text of one width.
     """
+    text = base_hashed.schema[hash_column].dataType.typeName() == "string"
     base_hashed = staged(base_hashed.select("vec_id", hash_column), "base-hashes")
     query_hashed = staged(query_hashed.select("vec_id", hash_column), "query-hashes")
     ranks = staged(base_ranks(base_hashed, hash_column), "base-ranks")
@@ -64,7 +76,7 @@ def neighbour_table(base_hashed: DataFrame, query_hashed: DataFrame, truth: Data
             F.lit(n).cast("bigint").alias("n"),
             (F.lit(1.0) / F.log2(F.col("nn_rank") + 1.0)).alias("weight"),
             F.abs(F.col("rank") - F.col("pos")).alias("rank_gap"),
-            F.abs(F.col("hash") - F.col("__qh")).cast("double").alias("hash_gap"),
+            hash_gap(F.col("hash"), F.col("__qh"), text).alias("hash_gap"),
         )
     )
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ranklore.plans.ranking import hashed_first, with_position
+from ranklore.plans.ranking import hashed_first, one_task_limit, with_running_sum
 from ranklore.plans.workspace import staged
 
 #: Up to so many different keys one task adds up the counts; beyond, range partitions and blocks do.
-ONE_TASK_KEYS = 500_000
+ONE_TASK_KEYS = 10_000
 KEY_TYPES = {"uint64": T.LongType(), "uint32": T.LongType(), "f64": T.DoubleType()}
 
 
@@ -22,46 +22,30 @@ def key_type(name: str) -> T.DataType:
     raise ValueError(f"no key type in {name!r}: expected one of {sorted(KEY_TYPES)}")
 
 
-def unique_keys(df: DataFrame, key: str) -> DataFrame:
+def unique_keys(df: DataFrame, key: str, copies: str | None = None) -> DataFrame:
     """key, pos, copies: every different key with the sorted position of its first occurrence.
 
     Rows are counted per key first (partial sums before the shuffle), so a key that a
     third of all rows hold is one row here; positions are running sums of the counts
-    over a range-partitioned order.
+    over a range-partitioned order. ``copies``: a column of counts, where ``df`` has one.
     """
-    counts = staged(
-        df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("copies")), "key-counts"
-    )
-    if counts.count() <= ONE_TASK_KEYS:
-        before = Window.partitionBy(F.lit(1)).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-        return counts.select("key", F.coalesce(F.sum("copies").over(before), F.lit(0)).alias("pos"), "copies")
-    placed = staged(with_position(counts, ["key"], "__nth"), "key-order")
-    # blocks of equal size: sums within a block locally, sums of whole blocks in between
-    block = F.floor(F.col("__nth") / 100_000)
-    sums = placed.groupBy(block.alias("__block")).agg(F.sum("copies").alias("__rows"))
-    before = sums.withColumn(
-        "__before",
-        F.coalesce(F.sum("__rows").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).drop("__rows")  # one row per 100 000 keys
-    inner = Window.partitionBy("__block").orderBy("__nth").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        placed.withColumn("__block", block)
-        .join(F.broadcast(before), "__block")
-        .select("key", (F.col("__before") + F.coalesce(F.sum("copies").over(inner), F.lit(0))).alias("pos"), "copies")
-    )
-
-
-def key_view(df: DataFrame, key: str) -> DataFrame:
+    number = F.count(F.lit(1)) if copies is None else F.sum(copies)
+    held = df.filter(F.col(key).isNotNull())
+    counts = staged(held.groupBy(F.col(key).alias("key")).agg(number.cast("bigint").alias("copies")), "key-counts")
+    few = counts.count() <= one_task_limit(df.sparkSession, ONE_TASK_KEYS)
+    return with_running_sum(counts, ["key"], "copies", "pos", few).select("key", "pos", "copies")
+
+
+def key_view(df: DataFrame, key: str, copies: str | None = None) -> DataFrame:
     """x, k, y, copies of each different key: as double, as integer, first position."""
-    u = unique_keys(df, key)
+    u = unique_keys(df, key, copies)
     return u.select(F.col("key").cast("double").alias("x"), F.col("key").cast("bigint").alias("k"), F.col("pos").alias("y"), "copies")
 
 
 def training_view(df: DataFrame, key: str) -> DataFrame:
-    """x, k, y of every row: duplicates share the first position."""
-    return key_view(df, key).select(
-        "x", "k", "y", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
-    ).drop("copy")
+    """x, k, y of every row: duplicates share the first position. Fits take ``key_view`` instead."""
+    one = F.lit(1).cast("bigint")
+    return key_view(df, key).select("x", "k", "y", F.explode(F.sequence(one, F.col("copies"))).alias("copy")).drop("copy")
 
 
 def scaled(y: Column, factor: float) -> Column:

@@ -1,12 +1,13 @@
 """Learned indexes over sorted keys: two-layer and multi-layer training, errors, search.
 
-Training works on the different keys with their multiplicities where the model kind
-allows it (lines: weighted sums), so duplicates cost nothing; every layer is a grouped
-fit and an equi join on the group, whatever the number of models.
+Training works on the different keys and their multiplicities, so a key that a third of
+all rows hold is one row with a large weight; every layer is a grouped fit and an equi
+join on the group, whatever the number of models.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranklore.functions.models import KINDS, parse_spec, to_position
-from ranklore.operators.keys import key_view, scaled, training_view
+from ranklore.operators.keys import key_view, scaled
 from ranklore.plans.ranking import with_neighbours, with_position
 from ranklore.plans.workspace import staged
 
@@ -186,26 +187,44 @@ def _finish(spec, widths, n, layers, keys: DataFrame, around: _Around, integer_k
     return LearnedIndex(spec, widths[-1], n, layers, errors, metrics, widths)
 
 
-def fit_two_layer(df: DataFrame, key: str, spec: str = "linear,linear", leaves: int = 64) -> LearnedIndex:
+@dataclass
+class Keys:
+    """The different keys of a table (x, k, y, copies), written once and shared by all fits over them."""
+
+    frame: DataFrame
+    rows: int
+    integer: bool
+
+    @classmethod
+    def of(cls, df: DataFrame, key: str, copies: str | None = None) -> Keys:
+        """``copies``: a column that says how many rows a row of ``df`` stands for."""
+        frame = staged(key_view(df, key, copies), "keys")
+        n = frame.agg(F.sum("copies")).first()[0]
+        if not n:
+            raise ValueError("cannot train on an empty table")
+        return cls(frame, n, df.schema[key].dataType.typeName() != "double")
+
+    def predicted(self, index: LearnedIndex) -> DataFrame:
+        """The keys with leaf, raw and pred."""
+        return _walk(self.frame.withColumn("__x", F.col("x")).withColumn("__k", F.col("k")), index.spec, index.layers, index.widths)
+
+
+def fit_two_layer(df: DataFrame, key: str, spec: str = "linear,linear", leaves: int = 64, held: Keys | None = None) -> LearnedIndex:
     """Root model over trunc(y leaves / n), then one model a leaf over y.
 
     A leaf also sees the last point of the previous and the first point of the next
     non-empty leaf, but not across the middle, where training is split. An empty leaf
     predicts the next leaf's first position (the very last leaf is left as it is).
+    ``held``: the keys of ``df``, where they have been made already.
     """
     names = parse_spec(spec)
     if len(names) != 2:
         raise ValueError("a two-layer index needs two model kinds")
     if leaves < 2:
         raise ValueError("the branching factor must be at least 2")
-    integer_keys = df.schema[key].dataType.typeName() != "double"
-    keys = staged(key_view(df, key), "keys")
-    n = keys.agg(F.sum("copies")).first()[0]
-    if not n:
-        raise ValueError("cannot train on an empty table")
-    every = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    rows = keys.withColumn("__copy", every).drop("__copy", "copies")
-    root = _fit_one(rows.withColumn("y", scaled(F.col("y"), leaves / n)), names[0], []).first()  # one row
+    held = held or Keys.of(df, key)
+    keys, n, integer_keys = held.frame, held.rows, held.integer
+    root = _fit_one(keys.withColumn("y", scaled(F.col("y"), leaves / n)), names[0], []).first()  # one row
     top = df.sparkSession.createDataFrame([(0, list(root["p"]))], "leaf bigint, p array<double>")
     raw = KINDS[names[0]].predict(F.col("p"), F.col("k") if KINDS[names[0]].integer_keys else F.col("x"))
     placed = (
@@ -215,22 +234,22 @@ def fit_two_layer(df: DataFrame, key: str, spec: str = "linear,linear", leaves:
     )
     around = _Around(leaf_stats(placed).toPandas(), leaves, n)  # one row a leaf
     _require_monotone(around.stats)
-    spark, held = df.sparkSession, around.stats["leaf"].to_numpy()
-    upper_half = held[held >= leaves // 2]
-    split = upper_half[0] if len(upper_half) and len(upper_half) < len(held) else leaves
-    lend = np.flatnonzero((held[:-1] < split) == (held[1:] < split))  # neighbours in the same pass
+    spark, full = df.sparkSession, around.stats["leaf"].to_numpy()
+    upper_half = full[full >= leaves // 2]
+    split = upper_half[0] if len(upper_half) and len(upper_half) < len(full) else leaves
+    lend = np.flatnonzero((full[:-1] < split) == (full[1:] < split))  # neighbours in the same pass
     ends = {c: around.stats[c].to_numpy() for c in ("first_key", "last_key", "first_pos", "last_pos")}
     shared = _local(
         spark,
         {
-            "leaf": np.concatenate((held[lend + 1], held[lend])),
+            "leaf": np.concatenate((full[lend + 1], full[lend])),
             "x": np.concatenate((ends["last_key"][lend], ends["first_key"][lend + 1])),
             "y": np.concatenate((ends["last_pos"][lend], ends["first_pos"][lend + 1])),
         },
         "leaf bigint, x double, y bigint",
     )
-    member = placed.withColumn("__copy", every).select("leaf", "x", "k", "y")
-    data = member.unionByName(shared.select("leaf", "x", F.col("x").cast("bigint").alias("k"), "y"))
+    member = placed.select("leaf", "x", "k", "y", "copies")
+    data = member.unionByName(shared.select("leaf", "x", F.col("x").cast("bigint").alias("k"), "y", F.lit(1).cast("bigint").alias("copies")))
     fitted = _fit_one(data, names[1], ["leaf"])
     after = _local(spark, {"leaf": np.arange(leaves), "n": around.rows, "next_pos": around.next_pos}, "leaf bigint, n bigint, next_pos bigint")
     empty = F.array(*[F.lit(v) for v in KINDS[names[1]].empty]).cast("array<double>")
@@ -251,21 +270,20 @@ def _require_monotone(stats: pd.DataFrame) -> None:
         raise ValueError("non-monotonic target index")
 
 
-def fit_multi_layer(df: DataFrame, key: str, spec: str, branch: int, max_leaves: int = MAX_LEAVES) -> LearnedIndex:
+def fit_multi_layer(
+    df: DataFrame, key: str, spec: str, branch: int, max_leaves: int = MAX_LEAVES, held: Keys | None = None
+) -> LearnedIndex:
     """Three and more layers: each layer multiplies the models by ``branch``, models see only
     their own rows, empty ones keep their kind's empty parameters."""
     names = parse_spec(spec)
     if len(names) == 2:
-        return fit_two_layer(df, key, spec, branch)
+        return fit_two_layer(df, key, spec, branch, held)
     if len(names) < 2 or branch < 2:
         raise ValueError("a learned index needs two layers and a branching factor of at least 2")
-    integer_keys = df.schema[key].dataType.typeName() != "double"
-    rows = staged(training_view(df, key), "rows")
-    n = rows.count()
-    if not n:
-        raise ValueError("cannot train on an empty table")
+    held = held or Keys.of(df, key)
+    n, integer_keys = held.rows, held.integer
     spark, layers, width, widths = df.sparkSession, [], 1, []
-    now = rows.withColumn("leaf", F.lit(0).cast("bigint"))
+    now = held.frame.withColumn("leaf", F.lit(0).cast("bigint"))
     for depth, name in enumerate(names):
         last = depth == len(names) - 1
         wide = width * branch
@@ -289,46 +307,57 @@ def fit_multi_layer(df: DataFrame, key: str, spec: str, branch: int, max_leaves:
                 "routed",
             )
             width = wide
-    keyed = staged(now.groupBy("leaf", "x", "k", "y").agg(F.count(F.lit(1)).alias("copies")), "routed-keys")
-    return _finish(names, widths, n, layers, keyed, _Around(leaf_stats(keyed).toPandas(), width, n), integer_keys)
+    return _finish(names, widths, n, layers, now, _Around(leaf_stats(now).toPandas(), width, n), integer_keys)
 
 
-def train(df: DataFrame, key: str, spec: str = "linear,linear", branch: int = 64) -> LearnedIndex:
+def train(df: DataFrame, key: str, spec: str = "linear,linear", branch: int = 64, held: Keys | None = None) -> LearnedIndex:
     """Two or more layers by the spec's length."""
-    return fit_multi_layer(df, key, spec, branch)
+    return fit_multi_layer(df, key, spec, branch, held=held)
 
 
 # bounded spline
 
 
-def _greedy_spline(keys: np.ndarray, offsets: np.ndarray, line: int) -> list[tuple[int, int]]:
-    """Points of a spline that finds the line (offset div ``line``) of every key."""
-    points = []
-    for key, offset in zip(keys.tolist(), offsets.tolist(), strict=True):
-        before = max(key - 1, 0)
-        if not points or before != points[-1][0]:
-            points.append((before, offset))
-        points.append((key, offset))
-    if points and points[0][0] == 0 and keys[0] != 0 and keys[0] - 1 != 0:
-        points = points[1:]
-    kept = [points[0]]
-    start, inner = 0, []
-    for i in range(1, len(points)):
-        (x0, y0), (x1, y1) = points[start], points[i]
-        fits = True
-        for x, y in inner:
-            t = (x - x0) / (x1 - x0)
-            if int((1.0 - t) * y0 + t * y1) // line != y // line:
-                fits = False
+def _greedy_spline(keys: np.ndarray, offsets: np.ndarray, line: int, previous: int = 0) -> list[tuple[int, int]]:
+    """Points of a spline that finds the line (offset div ``line``) of every key.
+
+    A key brings the point before it (key - 1 with its own offset), unless that is the key
+    before (``previous`` for the first), and its own. From a segment's start every point
+    passed allows a range of slopes, those that keep it in its line; the segment ends before
+    the first point whose own slope leaves what all allow."""
+    before = np.maximum(keys - 1, 0)
+    extra = before != np.concatenate(([previous], keys[:-1]))
+    at = np.cumsum(extra + 1) - 1  # where each key's own point goes
+    x, y = np.empty(at[-1] + 1, np.int64), np.empty(at[-1] + 1, np.int64)
+    x[at], y[at] = keys, offsets
+    x[at[extra] - 1], y[at[extra] - 1] = before[extra], offsets[extra]
+    floor = y // line * line
+
+    def fits(start: int, end: int) -> bool:
+        inner = slice(start + 1, end)
+        t = (x[inner] - x[start]) / (x[end] - x[start])
+        return bool((((1.0 - t) * y[start] + t * y[end]).astype(np.int64) // line == y[inner] // line).all())
+
+    kept, start, last = [0], 0, len(x) - 1
+    while start < last:
+        low, high, at, size, end = -np.inf, np.inf, start + 1, 64, last
+        while at <= last:
+            part = slice(at, min(at + size, last + 1))
+            dx = (x[part] - x[start]).astype(np.float64)
+            lows = np.maximum.accumulate(np.concatenate(([low], (floor[part] - y[start]) / dx)))
+            highs = np.minimum.accumulate(np.concatenate(([high], (floor[part] + line - y[start]) / dx)))
+            slope = (y[part] - y[start]) / dx
+            out = (slope < lows[:-1]) | (slope >= highs[:-1])
+            if out.any():
+                end = at + int(out.argmax()) - 1
                 break
-        if fits:
-            inner.append(points[i])
-        else:
-            kept.append(points[i - 1])
-            start, inner = i - 1, [points[i]]
-    if kept[-1] != points[-1]:
-        kept.append(points[-1])
-    return kept
+            low, high, at, size = lows[-1], highs[-1], part.stop, 2 * size
+        end = max(end, start + 1)
+        while end > start + 1 and not fits(start, end):  # where rounding tells otherwise
+            end -= 1
+        kept.append(end)
+        start = end
+    return list(zip(x[kept].tolist(), y[kept].tolist(), strict=True))
 
 
 SPLINE_BLOCK = 50_000
@@ -338,15 +367,16 @@ def bounded_spline(df: DataFrame, key: str, line: int, block: int = SPLINE_BLOCK
     """key, value: spline points that give the right line of ``line`` rows for every key.
 
     The greedy fit is sequential, so it runs in blocks of consecutive keys, in parallel;
-    every block starts a segment of its own, which costs at most one point a block.
+    every block starts a segment of its own, which costs at most two points a block.
     """
     if df.count() <= line:
         raise ValueError("fewer rows than a line holds")
     placed = with_position(key_view(df, key).select("k", "y"), ["k"], "__nth")
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("k")
-        return pd.DataFrame(_greedy_spline(part["k"].to_numpy(), part["y"].to_numpy(), line), columns=["key", "value"])
+        part = part.sort_values("__nth")
+        previous = 0 if part["__nth"].iloc[0] == 0 else -1  # a block but the first starts with the point before its first key
+        return pd.DataFrame(_greedy_spline(part["k"].to_numpy(), part["y"].to_numpy(), line, previous), columns=["key", "value"])
 
     return placed.groupBy(F.floor(F.col("__nth") / block).alias("__block")).applyInPandas(fit, "key bigint, value bigint")
 
@@ -448,23 +478,29 @@ def select_balanced(configs: DataFrame, size_weight: float = 0.5, error_weight:
     return scored.drop("s0", "s1", "e0", "e1").orderBy("score", "size", "spec", "branch").limit(1)
 
 
-def measure(df: DataFrame, key: str, configs: list[tuple[str, int]]) -> DataFrame:
+#: Configurations that are trained side by side; their small jobs share the cluster.
+TOGETHER = 4
+
+
+def measure(df: DataFrame, key: str, configs: list[tuple[str, int]], held: Keys | None = None) -> DataFrame:
     """One row (spec, branch, size, metrics) for each configuration; those over the leaf limit are left out."""
-    spark = df.sparkSession
-    rows = []
-    for spec, branch in configs:
-        names = parse_spec(spec)
-        if not within_leaf_limit(len(names), branch) or any(n not in KINDS for n in names):
-            continue
-        index = train(df, key, spec, branch)
+    held = held or Keys.of(df, key)
+    wanted = [(s, b) for s, b in configs if within_leaf_limit(len(parse_spec(s)), b) and all(n in KINDS for n in parse_spec(s))]
+
+    def one(config: tuple[str, int]) -> tuple:
+        index = train(df, key, *config, held)
         m = index.metrics.first()
-        rows.append((spec, branch, index.size_bytes(), m["avg_log2_err"], m["max_err"], m["mae"]))
-    return spark.createDataFrame(rows, "spec string, branch bigint, size bigint, avg_log2_err double, max_err bigint, mae double")
+        return (*config, index.size_bytes(), m["avg_log2_err"], m["max_err"], m["mae"])
+
+    with ThreadPoolExecutor(TOGETHER) as pool:
+        rows = list(pool.map(one, wanted))
+    return df.sparkSession.createDataFrame(rows, "spec string, branch bigint, size bigint, avg_log2_err double, max_err bigint, mae double")
 
 
 def train_for_size(df: DataFrame, key: str, configs: list[tuple[str, int]], max_bytes: int) -> LearnedIndex:
     """The Pareto configuration with the lowest error under ``max_bytes``, trained."""
-    front = pareto_front(measure(df, key, configs)).filter(F.col("size") < max_bytes).orderBy("avg_log2_err").first()
+    held = Keys.of(df, key)
+    front = pareto_front(measure(df, key, configs, held)).filter(F.col("size") < max_bytes).orderBy("avg_log2_err").first()
     if front is None:
         raise ValueError("no configuration is small enough")
-    return train(df, key, front["spec"], front["branch"])
+    return train(df, key, front["spec"], front["branch"], held)

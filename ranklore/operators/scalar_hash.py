@@ -137,17 +137,18 @@ def fit_scalar_hash(
 ) -> ScalarHash:
     """Train: an explicit configuration, else the best of ``grid`` under ``max_bytes``, else the balanced one."""
     grid = grid or [("linear,linear", 64), ("linear,linear", 256), ("cubic,linear", 64), ("linear,cubic", 64)]
+    held = L.Keys.of(df, key)
     if spec:
-        index = L.train(df, key, spec, branch or 64)
+        index = L.train(df, key, spec, branch or 64, held)
     elif max_bytes:
         index = L.train_for_size(df, key, grid, max_bytes)
     else:
-        best = L.select_balanced(L.measure(df, key, grid)).first()
-        index = L.train(df, key, best["spec"], best["branch"])
+        best = L.select_balanced(L.measure(df, key, grid, held)).first()
+        index = L.train(df, key, best["spec"], best["branch"], held)
     mapping = Mapping(max(index.rows - 1, 0), bits, scale)
     low = high = None
     if calibrate:
-        raw = index.predict(df.select(key).distinct(), key).select("raw")
+        raw = held.predicted(index).select("raw")
         finite = raw.filter(~F.isnan("raw") & (F.abs("raw") < float("inf")))
         low, high = finite.agg(F.min("raw"), F.max("raw")).first()
     return ScalarHash(index, mapping, low, high)

@@ -23,7 +23,13 @@ def _partitions(df: DataFrame, partitions: int | None) -> int:
 
 
 #: Up to so many rows (known to the caller) one task numbers them; beyond, range partitions do.
-ONE_TASK_ROWS = 200_000
+ONE_TASK_ROWS = 50_000
+#: A session's own limit, in rows, in place of these; 0 has range partitions do it always.
+ONE_TASK_CONF = "ranklore.oneTaskRows"
+
+
+def one_task_limit(spark, default: int) -> int:
+    return int(spark.conf.get(ONE_TASK_CONF, str(default)))
 
 
 def with_position(
@@ -36,7 +42,7 @@ def with_position(
     only be split between tasks by the columns after it.
     An empty input gives an empty output. ``rows``: the number of rows, where it is known.
     """
-    if rows is not None and rows <= ONE_TASK_ROWS:
+    if rows is not None and rows <= one_task_limit(df.sparkSession, ONE_TASK_ROWS):
         order = Window.partitionBy(F.lit(1)).orderBy(*order_by)
         return df.withColumn(position, F.row_number().over(order).cast("bigint") - 1)
     ranged = df.repartitionByRange(_partitions(df, partitions), *[F.col(c) for c in order_by]).sortWithinPartitions(*order_by)
@@ -66,6 +72,30 @@ def numbered(ranged: DataFrame, position: str = "position", name: str = "ranged"
     )
 
 
+#: Rows of a block of consecutive positions: sums are made inside blocks and, one row a block, between them.
+BLOCK_ROWS = 100_000
+
+
+def with_running_sum(df: DataFrame, order_by: list[str], weight: str, name: str, few: bool = False, partitions: int | None = None) -> DataFrame:
+    """Add ``name``: the sum of ``weight`` over all rows before each row in the order of ``order_by``.
+
+    ``order_by`` should end in a unique column. ``few``: so few rows that one task may add them up."""
+    zero = F.lit(0).cast("bigint")
+    if few:
+        before = Window.partitionBy(F.lit(1)).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, F.coalesce(F.sum(weight).over(before), zero))
+    placed = staged(with_position(df, order_by, "__nth", partitions), "running").withColumn("__block", F.floor(F.col("__nth") / BLOCK_ROWS))
+    sums = placed.groupBy("__block").agg(F.sum(weight).alias("__sum"))
+    blocks = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("__block", F.coalesce(F.sum("__sum").over(blocks), zero).alias("__start"))
+    inner = Window.partitionBy("__block").orderBy("__nth").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        placed.join(F.broadcast(starts), "__block")
+        .withColumn(name, F.col("__start") + F.coalesce(F.sum(weight).over(inner), zero))
+        .drop("__nth", "__block", "__start")
+    )
+
+
 def with_group_rank(
     df: DataFrame, group: list[str], order_by: list[str], rank: str = "rank", partitions: int | None = None
 ) -> DataFrame:

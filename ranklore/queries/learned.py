@@ -88,7 +88,7 @@ _LOGGED = ", k2 AS (SELECT x, ln(y::DOUBLE) AS y FROM k WHERE y > 0)"
 def _one(kind: str, sql: str, source: str = "events", key: str = "value") -> None:
     @register(f"{kind}_fit", sql)
     def fit(spark, sf_dir):
-        view = K.training_view(table(spark, sf_dir, source), key)
+        view = K.key_view(table(spark, sf_dir, source), key)
         fitted = M.KINDS[kind].fit(view, [])
         width = len(M.KINDS[kind].empty)
         return fitted.select(*[F.round(F.get("p", F.lit(i)), 6).alias(f"p{i}") for i in range(width)])
@@ -144,7 +144,7 @@ _one("cubic", _CUBIC)
     "SELECT (64 - length(ltrim((xor(o, a))::BIT::VARCHAR, '0')))::DOUBLE AS p0, floor(log2((m + 1)::DOUBLE)) AS p1 FROM b",
 )
 def radix_params(spark, sf_dir):
-    view = K.training_view(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    view = K.key_view(table(spark, sf_dir, "lineitem"), "l_orderkey")
     return M.fit_radix(view, []).select(F.get("p", F.lit(0)).alias("p0"), F.get("p", F.lit(1)).alias("p1"))
 
 
@@ -159,7 +159,7 @@ SELECT bucket::BIGINT AS bucket, CASE WHEN bucket = 0 THEN 0 ELSE coalesce((SELE
 
 @register("radix_table", _RADIX)
 def radix_table(spark, sf_dir):
-    return M.radix_table(K.training_view(table(spark, sf_dir, "lineitem"), "l_orderkey"), 8)
+    return M.radix_table(K.key_view(table(spark, sf_dir, "lineitem"), "l_orderkey"), 8)
 
 
 _BRADIX = """

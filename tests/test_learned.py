@@ -103,6 +103,70 @@ def test_bounded_spline(spark):
     assert points.count() < len(values)
 
 
+def plain_spline(keys, offsets, line):
+    """The greedy fit point by point."""
+    points, last = [], 0
+    for key, offset in zip(keys, offsets, strict=True):
+        if max(key - 1, 0) != last:
+            points.append((key - 1, offset))
+        points.append((key, offset))
+        last = key
+    kept, start = [points[0]], 0
+    for i in range(1, len(points)):
+        (x0, y0), (x1, y1) = points[start], points[i]
+        told = [((1 - (x - x0) / (x1 - x0)) * y0 + (x - x0) / (x1 - x0) * y1, y) for x, y in points[start + 1 : i]]
+        if any(int(p) // line != y // line for p, y in told):
+            kept.append(points[i - 1])
+            start = i - 1
+    return [*kept, points[-1]]
+
+
+@pytest.mark.parametrize(("low", "high"), [(1, 3000), (0, 900), (5, 10**12)])
+def test_spline_against_plain(low, high):
+    rng = np.random.default_rng(low + 1)
+    for line in (4, 32):
+        keys = np.unique(np.concatenate(([low], rng.integers(low, high, 400), low + np.arange(40))))
+        offsets = np.sort(rng.integers(0, 4000, len(keys)))
+        got, plain = L._greedy_spline(keys, offsets, line), plain_spline(keys.tolist(), offsets.tolist(), line)
+        assert len(got) <= len(plain) and got[0] == plain[0] and got[-1] == plain[-1]  # rounding ends some of the plain one's segments early
+        x, y = np.array(got).T
+        at = np.maximum(np.searchsorted(x, keys), 1)
+        t = (keys - x[at - 1]) / (x[at] - x[at - 1])
+        told = ((1 - t) * y[at - 1] + t * y[at]).astype(int)
+        assert (told // line == offsets // line).all()
+    assert L._greedy_spline(np.array([1, 9]), np.array([0, 4]), 2)[0] == (1, 0)
+
+
+def test_hot_keys_weigh_and_are_not_repeated(spark):
+    """A key that stands for 2^33 rows trains; weights give what repeated rows give."""
+    counts = [(k, 1 + (k * 7) % 5 + (40 if k == 11 else 0)) for k in range(1, 60)]
+    weighted = spark.createDataFrame(counts, "key bigint, copies bigint")
+    repeated = keys_of(spark, [k for k, c in counts for _ in range(c)])
+    for spec in ("linear,linear", "robust_linear,linear", "cubic,linear", "normal,linear_spline", "linear,linear,cubic", "loglinear,linear", "linear,robust_linear"):
+        a = L.train(weighted, "key", spec, 4, L.Keys.of(weighted, "key", "copies"))
+        b = L.train(repeated, "key", spec, 4)
+        assert a.rows == b.rows and a.errors.orderBy("leaf").collect() == b.errors.orderBy("leaf").collect(), spec
+    for kind in ("linear", "robust_linear", "loglinear", "linear_spline", "cubic", "normal", "lognormal", "cdf_piecewise", "radix"):
+        rows = K.training_view(repeated, "key").withColumn("g", F.col("k") % 2)
+        view = K.key_view(repeated, "key").withColumn("g", F.col("k") % 2)
+        for group in ([], ["g"]):
+            one, other = (sorted(M.KINDS[kind].fit(v, group).collect(), key=lambda r: r["g"] if group else 0) for v in (rows, view))
+            assert [r["p"] for r in other] == [pytest.approx(r["p"], rel=1e-9) for r in one], (kind, group)
+    huge = spark.createDataFrame([(1, 5), (2, 2**33), (3, 7), (9, 1)], "key bigint, copies bigint")
+    index = L.train(huge, "key", "linear,linear", 4, L.Keys.of(huge, "key", "copies"))
+    assert index.rows == 2**33 + 13
+    told = {r["key"]: r for r in index.predict(huge, "key").collect()}
+    places = {1: 0, 2: 5, 3: 2**33 + 5, 9: 2**33 + 12}
+    assert all(abs(min(told[k]["pred"], index.rows) - p) <= told[k]["err"] for k, p in places.items())
+
+
+def test_running_sums_of_ranges_and_of_one_task(spark):
+    df = spark.range(5000).select(F.col("id"), (F.col("id") % 7).alias("w"))
+    own = {r["id"]: r["s"] for r in R.with_running_sum(df, ["id"], "w", "s").collect()}
+    assert own == {r["id"]: r["s"] for r in R.with_running_sum(df, ["id"], "w", "s", few=True).collect()}
+    assert own[0] == 0 and own[4999] == sum(i % 7 for i in range(4999))
+
+
 def test_fronts(spark):
     assert len(L.first_phase("fast")) == 3 * 2 * 2
     assert L.within_leaf_limit(2, 1 << 19) and not L.within_leaf_limit(3, 1 << 11)
