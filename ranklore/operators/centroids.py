@@ -507,3 +507,32 @@ def pruned_nearest(query: np.ndarray, centroids: np.ndarray, pivot_ids: list[int
         if d < best or (d == best and i < best_id):
             best, best_id = d, i
     return best_id, best, seen
+
+
+def wants_pivots(dim: int, k: int) -> bool:
+    """Whether pivots can pay: small sets of long vectors are compared one and all."""
+    return not ((dim >= 64 and k <= 512) or (dim >= 32 and k <= 256))
+
+
+def chain_init(sample: np.ndarray, k: int, chain: int = 50, seed: int = 0) -> np.ndarray:
+    """k starting centroids from a sample by Markov chains (AFK-MC2): each takes the last state of a chain
+    whose proposals mix squared distances to the first centroid with even chances."""
+    x = checked(sample)
+    if not 0 < k <= len(x):
+        raise ValueError(f"{len(x)} rows cannot make {k} centroids")
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(x)))]
+    far = ((x - x[chosen[0]]) ** 2).sum(1)
+    total = far.sum()
+    q = (far / total if total > 0 else np.full(len(x), 1 / len(x))) * 0.5 + 0.5 / len(x)
+    q /= q.sum()
+    while len(chosen) < k:
+        proposals, accept = rng.choice(len(x), chain, p=q), rng.random(chain)
+        d = ((x[proposals][:, None] - x[chosen][None]) ** 2).sum(-1).min(1)
+        state = 0
+        for step in range(1, chain):
+            up, down = d[step] * q[proposals[state]], d[state] * q[proposals[step]]
+            if down == 0 or accept[step] < up / down:
+                state = step
+        chosen.append(int(proposals[state]))
+    return x[chosen].copy()

@@ -398,3 +398,28 @@ def restricted(edges: DataFrame, members: DataFrame) -> DataFrame:
     ids = members.select("vec_id")
     a = edges.join(ids.withColumnRenamed("vec_id", "src"), "src", "left_semi")
     return a.join(ids.withColumnRenamed("vec_id", "dst"), "dst", "left_semi")
+
+
+def write_csr(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph as two tables: nodes (vec_id, position, first, degree) and links (place, src, dst), ``first`` being the
+    place of a node's first link in the order of (src, dst)."""
+    from ranklore.plans.ranking import with_position
+
+    links = staged(with_position(edges.select("src", "dst").distinct(), ["src", "dst"], "place"), "csr-links")
+    own = links.groupBy("src").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("degree"))
+    placed = with_position(nodes.select("vec_id").distinct(), ["vec_id"], "position")
+    told = placed.join(own.withColumnRenamed("src", "vec_id").hint("merge"), "vec_id", "left")
+    told.select("vec_id", "position", "first", F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree")).write.mode("overwrite").parquet(f"{path}/nodes")
+    links.select("place", "src", "dst").write.mode("overwrite").parquet(f"{path}/links")
+
+
+def read_csr(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of ``write_csr``; offsets, degrees or ends that do not fit together are an error."""
+    nodes, links = spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/links")
+    own = links.groupBy(F.col("src").alias("vec_id")).agg(F.min("place").alias("f"), F.max("place").alias("l"), F.count(F.lit(1)).alias("n"))
+    told = nodes.join(own, "vec_id", "full_outer")
+    runs = F.col("f").eqNullSafe(F.col("first")) & (F.coalesce("n", F.lit(0)) == F.col("degree")) & (F.col("n").isNull() | (F.col("l") - F.col("f") + 1 == F.col("n")))
+    strangers = links.join(nodes.select(F.col("vec_id").alias("dst")), "dst", "left_anti")
+    if not told.filter(~F.coalesce(runs, F.lit(False))).isEmpty() or not strangers.isEmpty():
+        raise ValueError(f"the graph at {path} is not consistent")
+    return nodes.select("vec_id"), links.select("src", "dst")

@@ -111,3 +111,15 @@ def child_paths(spark: SparkSession, folder: str, pattern: str) -> list[str]:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
     found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
     return sorted(f"{folder}/{status.getPath().getName()}" for status in found or [])
+
+
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Rename ``source`` to ``target``; what another writer has put there meanwhile stays, and ``source`` goes."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    here, there = hadoop(source), hadoop(target)
+    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(there.getParent())
+    if fs.exists(there) or not fs.rename(here, there):
+        drop_path(spark, source)
+    elif source in _MADE:
+        _MADE.remove(source)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ranklore.functions.models import parse_spec
 from ranklore.functions.wide import check_bits
-from ranklore.operators.centroids import Range
+from ranklore.operators.centroids import Range, pivots
 from ranklore.operators.learned import LearnedIndex
 from ranklore.operators.scalar_hash import Mapping, ScalarHash
 from ranklore.operators.vector_hash import VectorHash
@@ -134,6 +134,32 @@ def file_digest(data: bytes, kind: str = "sha256") -> str:
     return hashlib.new(kind, data).hexdigest()
 
 
+def file_hash64(data: bytes) -> str:
+    """64-bit FNV-1a of a file's bytes, as 16 hex digits."""
+    from ranklore.sources.caches import fnv1a
+
+    return f"{fnv1a(data):016x}"
+
+
+def save_pivots(spark: SparkSession, centroids: np.ndarray, count: int, path: str) -> None:
+    """The pivots of a centroid set and every centroid's distance to them: (pivot_id, centroid_id, distance)."""
+    ids, distances = pivots(centroids, count)
+    rows = [(int(p), int(c), float(distances[c, i])) for i, p in enumerate(ids) for c in range(len(centroids))]
+    spark.createDataFrame(rows, "pivot_id bigint, centroid_id bigint, distance double").write.mode("overwrite").parquet(path)
+
+
+def load_pivots(spark: SparkSession, path: str) -> tuple[list[int], np.ndarray]:
+    """(pivots in order of number, (centroids, pivots) distances); a missing pair is an error."""
+    rows = spark.read.parquet(path).collect()  # pivots x centroids
+    ids, n = sorted({r["pivot_id"] for r in rows}), 1 + max((r["centroid_id"] for r in rows), default=-1)
+    out = np.full((n, len(ids)), np.nan)
+    for r in rows:
+        out[r["centroid_id"], ids.index(r["pivot_id"])] = r["distance"]
+    if np.isnan(out).any():
+        raise ValueError(f"{path} lacks distances")
+    return ids, out
+
+
 def safe_component(name: str) -> str:
     """A name that is safe as one part of a path."""
     out = re.sub(r"[^A-Za-z0-9._-]+", "_", name).strip("._")

@@ -34,3 +34,9 @@ def truth_rows(lists: DataFrame, k: int) -> DataFrame:
     """The other way round: query_id, nn_rank from 1, base_id of the first k entries; -1 marks a missing one."""
     opened = lists.select("query_id", F.posexplode("neighbours").alias("pos", "base_id"))
     return opened.filter((F.col("pos") < k) & (F.col("base_id") >= 0)).select("query_id", (F.col("pos") + 1).alias("nn_rank"), "base_id")
+
+
+def ties_by_id(truth: DataFrame) -> DataFrame:
+    """``truth`` with nn_rank given anew by (distance, base_id): of equal distances the lower id comes first."""
+    order = Window.partitionBy("query_id").orderBy("distance", "base_id")  # k rows a query
+    return truth.withColumn("nn_rank", F.row_number().over(order))
