@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -447,9 +448,9 @@ def ranges_frame(masses: DataFrame, bits: int) -> DataFrame:
 
 
 def range_owners(hashes: DataFrame, ranges: list[Range], column: str = "hash") -> DataFrame:
-    """Add centroid_id: the owner of each hash (below 2^63), by binary search in the broadcast range starts."""
+    """Add centroid_id: the owner of each hash of up to 64 bits, from the range starts."""
     starts = sorted((r.start, i) for i, r in enumerate(ranges) if r.size)
-    bounds, owners = F.array(*[F.lit(s) for s, _ in starts]), F.array(*[F.lit(i) for _, i in starts])
+    bounds, owners = F.array(*[F.lit(Decimal(s)).cast("decimal(20,0)") for s, _ in starts]), F.array(*[F.lit(i) for _, i in starts])
     at = F.size(F.filter(bounds, lambda b: b <= F.col(column))) - 1
     return hashes.withColumn("centroid_id", F.get(owners, at).cast("bigint"))
 

@@ -377,19 +377,33 @@ def bucket_sort(spark, sf_dir):
     return L.bucket_sorted(_e(spark, sf_dir).select("vec_id", "label"), "label", "vec_id")
 
 
-@register(
-    "graph_skeleton_edges",
-)
+@register("graph_skeleton_edges", "SELECT TRUE AS enough, TRUE AS of_the_table, TRUE AS among_nodes, TRUE AS reached, 0::BIGINT AS self_links")
 def graph_skeleton_edges(spark, sf_dir):
-    return G.skeleton(_e(spark, sf_dir), 8, 60)[1]
+    """A layer of at least 60 nodes, linked among themselves, all of them reached."""
+    e = _e(spark, sf_dir)
+    nodes, edges = G.skeleton(e, 8, 60)
+    ids = nodes.select("vec_id")
+    inside = edges.count() == G.restricted(edges, nodes).count()
+    reached = edges.select(F.col("dst").alias("vec_id")).distinct().join(ids, "vec_id").count() == ids.count()
+    known = ids.join(e.select("vec_id"), "vec_id", "left_anti").isEmpty()
+    row = (ids.count() >= 60, known, inside, reached, edges.filter("src = dst").count())
+    return spark.createDataFrame([row], "enough boolean, of_the_table boolean, among_nodes boolean, reached boolean, self_links bigint")
 
 
 @register(
     "pca_explained",
+    "WITH u AS (SELECT unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings), v AS (SELECT var_pop(x) AS v FROM u GROUP BY dim) "
+    "SELECT round(sum(v), 6) AS total_variance, 64::BIGINT AS axes, TRUE AS descending, TRUE AS uncorrelated FROM v",
 )
 def pca_explained(spark, sf_dir):
-    pca = TR.Pca(8).fit(_e(spark, sf_dir))
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(pca.explained)], "axis int, share double")
+    """All components: their variances add up to the total, fall, and the images are uncorrelated."""
+    e = _e(spark, sf_dir)
+    pca = TR.Pca(64).fit(e)
+    _, _, cov = TR.moments(pca.transform(e.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))))
+    off = float(np.abs(cov - np.diag(np.diag(cov))).max())
+    falls = bool((np.diff(pca.explained) <= 1e-12).all()) and abs(float(pca.explained.sum()) - 1) < 1e-9
+    row = (round(float(np.trace(cov)), 6), len(pca.explained), falls, off < 1e-9)
+    return spark.createDataFrame([row], "total_variance double, axes bigint, descending boolean, uncorrelated boolean")
 
 
 _COV = "WITH u AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings) SELECT round(covar_pop(a, b), 9) AS cov, round(var_pop(a), 9) AS var, count(*) AS n FROM u"
@@ -401,52 +415,190 @@ def covariance_moments(spark, sf_dir):
     return spark.createDataFrame([(round(float(cov[0, 1]), 9), round(float(cov[0, 0]), 9), n)], "cov double, var double, n bigint")
 
 
-@register("selector_run")
-def selector_run(spark, sf_dir):
-    """A small configuration search: every tried candidate with its scores."""
+_SMALL = {"knn_values": (4,), "branches": (8,), "specs": ("linear,linear",), "two_opts": (4,), "rounds": 1, "iterations": 3, "node_counts": (32, 64), "windows": (20, 50, 100)}
+
+
+def _selector_query(bits: int):
+    @register(
+        "selector_run" if bits == 32 else f"selector_run_{bits}",
+        "SELECT * FROM (VALUES (4, 4), (8, 4)) t(k, knn_asked), (SELECT TRUE AS ok, TRUE AS sound, TRUE AS on_front_or_beaten)",
+    )
+    def run(spark, sf_dir):
+        """A small search: both Ks are tried, all figures are shares, and each candidate is on the front or beaten by one that is."""
+        e = _e(spark, sf_dir)
+        options = SEL.Options(bits=bits, k_values=(4, 8), max_trains=4, **_SMALL)
+        found = SEL.select(e, e.filter("vec_id % 100 = 0"), options)
+        rows = {}
+        for m in found.metrics:
+            beaten = m in found.front or any(SEL.dominates(o, m) for o in found.front)
+            old = rows.get(m.config.k, (True, True, True))
+            rows[m.config.k] = (old[0] and m.ok, old[1] and bool(SEL.validated([m])), old[2] and beaten)
+        return spark.createDataFrame([(k, 4, *v) for k, v in rows.items()], "k int, knn_asked int, ok boolean, sound boolean, on_front_or_beaten boolean")
+
+
+for _bits in (32, 128, 256):
+    _selector_query(_bits)
+
+
+@register(
+    "selector_search",
+    "SELECT role, TRUE AS calibrated, TRUE AS within_budget FROM (VALUES ('peak_recall'), ('knee'), ('fast'), ('small')) t(role)",
+)
+def selector_search(spark, sf_dir):
+    """The whole search over two skeletons: every role goes to a calibrated candidate whose figures are sound."""
+    from ranklore.operators import selection as SN
+
     e = _e(spark, sf_dir)
-    options = SEL.Options(bits=32, k_values=(4, 8), knn_values=(4,), branches=(8,), specs=("linear,linear",), two_opts=(4,), max_trains=4, rounds=1, iterations=3, node_counts=(32, 64), windows=(20, 50, 100))
-    return SEL.select(e, e.filter("vec_id % 100 = 0"), options).frame(spark)
+    options = SEL.Options(bits=32, k_values=(4, 8), max_trains=3, for_recall=True, seconds=0, **_SMALL)
+    out = SN.search(e, e.filter("vec_id % 25 = 0"), options, targets=[100, 400], m=8, calibrate=3)
+    held = [m for _, m in out.calibrated]
+    rows = [(role, any(m is h for h in held), SN.quality_status([m])["ok"]) for role, m in out.roles.items()]
+    return spark.createDataFrame(rows, "role string, calibrated boolean, within_budget boolean")
+
+
+@register(
+    "selector_contexts",
+    "SELECT TRUE AS all_targets, TRUE AS different, TRUE AS large_enough, count(*) AS most_nodes FROM embeddings",
+)
+def selector_contexts(spark, sf_dir):
+    """Targets by skeleton: each is in one context, contexts differ, hold enough nodes, and the largest holds all."""
+    e = _e(spark, sf_dir)
+    n = e.count()
+    told = G.contexts(e, 8, [5, 20, 100, n, n - 1]).collect()
+    targets = sorted(t for r in told for t in r["targets"])
+    row = (
+        targets == sorted([5, 20, 100, n, n - 1]),
+        len({r["fingerprint"] for r in told}) == len(told),
+        all(r["nodes"] >= max(r["targets"]) for r in told),
+        max(r["nodes"] for r in told),
+    )
+    return spark.createDataFrame([row], "all_targets boolean, different boolean, large_enough boolean, most_nodes bigint")
 
 
 @register(
     "selector_k_ladder",
-    "SELECT * FROM (VALUES " + ", ".join(f"({n}::BIGINT, {k}::BIGINT)" for n, ks in ((10_000, (32, 64, 128, 256)),) for k in ks) + ") t(n, k)",
+    "WITH n AS (SELECT count(*) AS n FROM lineitem), m AS (SELECT n, least(n // 39, CASE WHEN n < 10000 THEN 2048 WHEN n < 30000 THEN 4096 WHEN n < 100000 THEN 8192 WHEN n < 500000 THEN 16384 ELSE 32768 END, "
+    "CASE WHEN n < 500000 THEN 4096 WHEN n < 2000000 THEN 32768 ELSE 65536 END) AS most FROM n), "
+    "l AS (SELECT k, CASE WHEN n <= 20000 THEN 32 WHEN n <= 100000 THEN 64 ELSE 512 END AS least FROM n, (SELECT unnest(CASE WHEN n <= 20000 THEN [32, 64, 128, 256, 512, 768, 1024, 1536, 2048, 3072, 4096] "
+    "WHEN n <= 100000 THEN [64, 128, 256, 512, 768, 1024, 1536, 2048, 3072, 4096, 6144, 8192] ELSE [512, 768, 1024, 1536, 2048, 3072, 4096, 6144, 8192, 12288, 16384, 24576, 32768] END) AS k FROM n)), "
+    "p AS (SELECT pow(2, ceil(log2(ceil(n / pow(2, s)))))::BIGINT AS k FROM n, range(6, 13) t(s)), "
+    "a AS (SELECT k FROM l UNION SELECT k FROM p) SELECT n::BIGINT AS n, k::BIGINT AS k FROM a, m WHERE k <= most AND k >= (SELECT min(least) FROM l)",
 )
 def selector_k_ladder(spark, sf_dir):
-    return spark.createDataFrame([(10_000, k) for k in SEL.default_k_values(10_000, 10_000, True)], "n bigint, k bigint")
+    """The Ks worth trying for a search for recall over as many rows as lineitem has."""
+    n = table(spark, sf_dir, "lineitem").count()
+    return spark.createDataFrame([(n, k) for k in SEL.default_k_values(n, n, True)], "n bigint, k bigint")
+
 
+#: Candidates made of a table: a customer's order statistics stand in for a configuration's figures.
+_FIGURES_SQL = (
+    "c AS (SELECT o_custkey AS id, round(avg(o_totalprice) / 1000000, 9) AS q, round(stddev_pop(o_totalprice) / 1000000, 9) AS r, "
+    "round(min(o_totalprice), 3) AS t, count(*)::DOUBLE AS s, round(max(o_totalprice), 3) AS w FROM orders WHERE o_custkey <= 60 GROUP BY o_custkey)"
+)
+
+
+def _figures(spark, sf_dir) -> dict[int, SEL.Metrics]:
+    price = F.col("o_totalprice")
+    told = table(spark, sf_dir, "orders").filter("o_custkey <= 60").groupBy("o_custkey").agg(
+        F.round(F.avg(price) / 1000000, 9).alias("q"), F.round(F.stddev_pop(price) / 1000000, 9).alias("r"), F.round(F.min(price), 3).alias("t"),
+        F.count(F.lit(1)).alias("s"), F.round(F.max(price), 3).alias("w"),
+    )
+    return {r["o_custkey"]: SEL.Metrics(SEL.Config(2, 1), True, r["q"], r["q"], r["q"], r["r"], r["t"], r["s"], r["w"]) for r in told.collect()}
 
-_OBJ = [("a", 0.8, 0.02, 1.0, 100), ("b", 0.7, 0.03, 0.5, 60), ("c", 0.81, 0.05, 2.0, 300), ("d", 0.6, 0.06, 0.9, 200)]
-_OBJ_SQL = ", ".join(f"('{n}', {q}::DOUBLE, {r}::DOUBLE, {t}::DOUBLE, {s}::DOUBLE)" for n, q, r, t, s in _OBJ)
+
+def _norm(x: str) -> str:
+    return f"(CASE WHEN max({x}) OVER () - min({x}) OVER () < 1e-12 THEN 0.5 ELSE ({x} - min({x}) OVER ()) / (max({x}) OVER () - min({x}) OVER ()) END)"
 
 
 @register(
     "objective_scores",
-    f"WITH c(name, q, r, t, s) AS (VALUES {_OBJ_SQL}) SELECT name, round((0.55 * (q - min(q) OVER ()) / (max(q) OVER () - min(q) OVER ()) + 0.20 * (1 - (r - min(r) OVER ()) / (max(r) OVER () - min(r) OVER ())) "
-    "+ 0.10 * (1 - (t - min(t) OVER ()) / (max(t) OVER () - min(t) OVER ())) + 0.10 * (1 - (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ())) + 0.05 * 0.5) / 1.0, 9) AS objective FROM c",
+    f"WITH {_FIGURES_SQL} SELECT id, round(0.55 * {_norm('q')} + 0.20 * (1 - {_norm('r')}) + 0.10 * (1 - {_norm('t')}) + 0.10 * (1 - {_norm('s')}) + 0.05 * (1 - {_norm('w')}), 9) AS objective FROM c",
 )
 def objective_scores(spark, sf_dir):
-    ms = [SEL.Metrics(SEL.Config(2, 1), True, q, q, q, r, t, s) for _, q, r, t, s in _OBJ]
-    SEL.assign_objectives(ms, SEL.Weights())
-    return spark.createDataFrame([(o[0], round(m.objective, 9)) for o, m in zip(_OBJ, ms, strict=True)], "name string, objective double")
+    held = _figures(spark, sf_dir)
+    SEL.assign_objectives(list(held.values()), SEL.Weights())
+    return spark.createDataFrame([(i, round(m.objective, 9)) for i, m in held.items()], "id bigint, objective double")
 
 
-@register("selector_roles", "SELECT * FROM (VALUES ('fast', 'a'), ('knee', 'a'), ('peak_recall', 'c'), ('small', 'a')) t(role, name)")
+@register(
+    "selector_roles",
+    f"WITH {_FIGURES_SQL}, n AS (SELECT *, {_norm('q')} - 0.16 * {_norm('t')} - 0.10 * {_norm('s')} AS knee, q + 1e-12 >= max(q) OVER () - 0.02 AS useful FROM c) "
+    "SELECT 'peak_recall' AS role, round(max(q), 9) AS figure FROM n UNION ALL SELECT 'knee', round(max(knee), 9) FROM n "
+    "UNION ALL SELECT 'fast', min(t) FROM n WHERE useful UNION ALL SELECT 'small', min(s) FROM n WHERE useful",
+)
 def selector_roles(spark, sf_dir):
-    ms = [SEL.Metrics(SEL.Config(2, 1), True, q, q, q, r, t, s) for _, q, r, t, s in _OBJ]
-    names = {id(m): o[0] for m, o in zip(ms, _OBJ, strict=True)}
-    return spark.createDataFrame([(role, names[id(m)]) for role, m in SEL.roles(ms).items()], "role string, name string")
+    """Each role's figure: the best recall, the best knee score, the least latency and size among the useful."""
+    held = list(_figures(spark, sf_dir).values())
+    roles = SEL.roles(held)
+
+    def norm(m, name):
+        values = [float(getattr(x, name)) for x in held]
+        return SEL._normal(float(getattr(m, name)), min(values), max(values))
+
+    knee = roles["knee"]
+    figures = {
+        "peak_recall": roles["peak_recall"].recall,
+        "knee": norm(knee, "quality") - 0.16 * norm(knee, "latency_ms") - 0.10 * norm(knee, "size_bytes"),
+        "fast": roles["fast"].latency_ms,
+        "small": float(roles["small"].size_bytes),
+    }
+    return spark.createDataFrame([(role, round(v, 9)) for role, v in figures.items()], "role string, figure double")
+
+
+_BEATS = "o.q >= c.q - 1e-12 AND o.r <= c.r + 1e-12 AND o.t <= c.t + 1e-12 AND o.s <= c.s + 1e-12 AND o.w <= c.w + 1e-12"
 
 
 @register(
     "pareto_five_objectives",
-    f"WITH c(name, q, r, t, s) AS (VALUES {_OBJ_SQL}) SELECT name FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.q >= c.q AND o.r <= c.r AND o.t <= c.t AND o.s <= c.s AND (o.q > c.q OR o.r < c.r OR o.t < c.t OR o.s < c.s))",
+    f"WITH {_FIGURES_SQL} SELECT id FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE {_BEATS} AND (o.q > c.q + 1e-12 OR o.r < c.r - 1e-12 OR o.t < c.t - 1e-12 OR o.s < c.s - 1e-12 OR o.w < c.w - 1e-12))",
 )
 def pareto_five_objectives(spark, sf_dir):
-    ms = [SEL.Metrics(SEL.Config(2, 1), True, q, q, q, r, t, s) for _, q, r, t, s in _OBJ]
-    names = {id(m): o[0] for m, o in zip(ms, _OBJ, strict=True)}
-    return spark.createDataFrame([(names[id(m)],) for m in SEL.front(ms)], "name string")
+    held = _figures(spark, sf_dir)
+    ids = {id(m): i for i, m in held.items()}
+    return spark.createDataFrame([(ids[id(m)],) for m in SEL.front(list(held.values()))], "id bigint")
+
+
+@register(
+    "benchmark_dominant_cost",
+    "WITH c AS (SELECT o_orderpriority AS run, o_orderstatus AS part, round(sum(o_totalprice), 2) AS ms FROM orders GROUP BY 1, 2), "
+    "t AS (SELECT *, sum(ms) OVER (PARTITION BY run) AS total, row_number() OVER (PARTITION BY run ORDER BY ms DESC, part) AS n FROM c) SELECT run, part, ms, round(ms / total, 9) AS share FROM t WHERE n = 1",
+)
+def benchmark_dominant_cost(spark, sf_dir):
+    from ranklore.sources.reports import dominant_cost
+
+    costs = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("run"), F.col("o_orderstatus").alias("part")).agg(F.round(F.sum("o_totalprice"), 2).alias("ms"))
+    return dominant_cost(costs, "run", "part", "ms").withColumn("share", F.round("share", 9))
+
+
+@register(
+    "benchmark_attribution",
+    "SELECT event_type, count(*) AS rows, round(sum(value), 4) AS value, round(sum(value) / (SELECT sum(value) FROM events), 9) AS share FROM events GROUP BY event_type",
+)
+def benchmark_attribution(spark, sf_dir):
+    from ranklore.sources.reports import attribution
+
+    told = attribution(table(spark, sf_dir, "events"), ["event_type"], "value")
+    return told.select("event_type", "rows", F.round("value", 4).alias("value"), F.round("share", 9).alias("share"))
+
+
+@register("online_quantile_state", "SELECT event_type, count(*) AS count, min(value) AS min, max(value) AS max, round(avg(value), 6) AS avg, TRUE AS close FROM events GROUP BY event_type")
+def online_quantile_state(spark, sf_dir):
+    """Events as a stream with one online state a type; its median must lie near the exact one."""
+    from ranklore.plans.workspace import fresh_path
+    from ranklore.streaming.online import online_quantiles
+
+    events = table(spark, sf_dir, "events")
+    out = fresh_path(spark, "online")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+    query = (
+        online_quantiles(stream, "event_type", "value", (0.5,)).writeStream.outputMode("update")
+        .foreachBatch(lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("append").parquet(out))
+        .option("checkpointLocation", fresh_path(spark, "online-state")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    last = spark.read.parquet(out).groupBy("event_type").agg(F.max_by(F.struct("*"), "count").alias("r")).select("r.*")
+    exact = events.groupBy("event_type").agg(F.percentile("value", F.lit(0.45)).alias("lo"), F.percentile("value", F.lit(0.55)).alias("hi"))
+    return last.join(exact, "event_type").select("event_type", "count", "min", "max", F.round("avg", 6).alias("avg"), ((F.col("q0") >= F.col("lo")) & (F.col("q0") <= F.col("hi"))).alias("close"))
 
 
 def mean_recall(df) -> float:

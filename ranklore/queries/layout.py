@@ -79,11 +79,33 @@ def kmeans_one_iteration(spark, sf_dir):
     )
 
 
-@register("kmeans_full")
+def _lloyd_sql(k: int, rounds: int) -> str:
+    """Rounds of assignment and means as one chain of CTEs, from the first k rows."""
+    parts = ["e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)", f"c0 AS (SELECT vec_id AS cid, v FROM e WHERE vec_id < {k})"]
+    for r in range(rounds):
+        d = _SUM.format(a="e.v", b="c.v")
+        parts.append(f"a{r} AS (SELECT vec_id, cid FROM (SELECT e.vec_id, c.cid, row_number() OVER (PARTITION BY e.vec_id ORDER BY {d}, c.cid) AS n FROM e, c{r} c) WHERE n = 1)")
+        parts.append(f"u{r} AS (SELECT cid, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM a{r} JOIN e USING (vec_id))")
+        parts.append(f"c{r + 1} AS (SELECT cid, list(x ORDER BY dim) AS v FROM (SELECT cid, dim, avg(x) AS x FROM u{r} GROUP BY cid, dim) GROUP BY cid)")
+    return "WITH " + ", ".join(parts)
+
+
+@register("kmeans_full", _lloyd_sql(10, 3) + " SELECT cid AS centroid_id, (generate_subscripts(v, 1) - 1)::INTEGER AS dim, round(unnest(v), 6) AS x FROM c3")
 def kmeans_full(spark, sf_dir):
+    """Three rounds from given centroids."""
     e = _embeddings(spark, sf_dir)
-    centroids, _ = C.kmeans(e, 10, iterations=8)
-    return C.mass(C.assign(e, centroids))
+    centroids, _ = C.kmeans(e, 10, iterations=3, init=_first(e, 10))
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centroids)]
+    return spark.createDataFrame(rows, "centroid_id bigint, v array<double>").select("centroid_id", F.posexplode("v").alias("dim", "x")).withColumn("x", F.round("x", 6))
+
+
+@register("kmeans_objective", "SELECT count(*) AS rows, 10 AS centroids, TRUE AS never_rises FROM embeddings")
+def kmeans_objective(spark, sf_dir):
+    """From hashed starts: all rows are assigned, and no round makes the sum of squares larger."""
+    e = _embeddings(spark, sf_dir)
+    centroids, objectives = C.kmeans(e, 10, iterations=8)
+    falls = all(b <= a * (1 + 1e-12) for a, b in zip(objectives, objectives[1:], strict=False))
+    return C.mass(C.assign(e, centroids)).agg(F.sum("mass").alias("rows"), F.lit(len(centroids)).alias("centroids"), F.lit(falls).alias("never_rises"))
 
 
 @register(
@@ -96,11 +118,14 @@ def centroid_knn_edges(spark, sf_dir):
     return C.knn_edge_frame(spark, _first(e), 3).withColumn("d2", F.round("d2", 9))
 
 
-@register("centroid_order")
+@register("centroid_order", "SELECT vec_id AS centroid_id, TRUE AS once, TRUE AS shorter FROM embeddings WHERE vec_id < 32")
 def centroid_order(spark, sf_dir):
-    e = _embeddings(spark, sf_dir)
-    order = C.centroid_order(_first(e, 32), knn=4)
-    return spark.createDataFrame(list(enumerate(order)), "ord bigint, centroid_id bigint")
+    """Every centroid once, along a way that is shorter than that of their numbers."""
+    c = _first(_embeddings(spark, sf_dir), 32)
+    order = C.centroid_order(c, knn=4)
+    length = lambda way: float(np.sqrt(((c[way[1:]] - c[way[:-1]]) ** 2).sum(1)).sum())
+    rows = [(int(i), order.count(i) == 1, length(np.array(order)) < length(np.arange(32))) for i in order]
+    return spark.createDataFrame(rows, "centroid_id bigint, once boolean, shorter boolean")
 
 
 _RANGES = f"""
@@ -155,17 +180,26 @@ def hash_owner_lookup(spark, sf_dir):
     return C.range_owners(hashed, model.ranges).withColumnRenamed("centroid_id", "owner")
 
 
-@register("vector_hash_trained")
+@register("vector_hash_trained", f"WITH {_ASSIGN} SELECT vec_id, TRUE AS own_range, TRUE AS in_unit FROM e")
 def vector_hash_trained(spark, sf_dir):
+    """With trained CDFs every hash lies in the range of its centroid."""
     e = _embeddings(spark, sf_dir)
     model = VH.fit_vector_hash(e, 8, bits=64, leaves=8, iterations=4)
-    return model.apply(e).select("vec_id", "centroid_id", "hash_hex", F.round("cdf", 9).alias("cdf"))
+    told = model.apply(e).select("vec_id", "centroid_id", "hash", "cdf")
+    owners = C.range_owners(told.select("vec_id", "hash"), model.ranges).select("vec_id", F.col("centroid_id").alias("owner"))
+    unit = (F.col("cdf") >= 0) & (F.col("cdf") < 1)
+    return told.join(owners, "vec_id").select("vec_id", (F.col("owner") == F.col("centroid_id")).alias("own_range"), unit.alias("in_unit"))
 
 
-@register("vector_hash_256")
+#: Beyond 64 bits different distances have different hashes, so hashes sort like (range, place in it).
+_WIDE = _HASHED[: _HASHED.index("w AS (")] + "hs AS (SELECT vec_id, centroid_id, dense_rank() OVER (ORDER BY centroid_id, x) AS hash FROM f)"
+
+
+@register("vector_hash_256", f"WITH {_WIDE} SELECT vec_id, centroid_id, 64 AS digits, row_number() OVER (ORDER BY hash, vec_id) - 1 AS rank FROM hs")
 def vector_hash_256(spark, sf_dir):
     e = _embeddings(spark, sf_dir)
-    return _plain_hash(e, 256).apply(e).select("vec_id", "centroid_id", "hash_hex")
+    told = _plain_hash(e, 256).apply(e).select("vec_id", "centroid_id", F.col("hash_hex").alias("hash")).cache()
+    return told.join(E.base_ranks(told).withColumnRenamed("base_id", "vec_id"), "vec_id").select("vec_id", "centroid_id", F.length(told["hash"]).alias("digits"), "rank")
 
 
 _KNN = f"""
@@ -201,9 +235,10 @@ nm AS (SELECT nc::BIGINT AS node_count, avg(CASE WHEN ring = 0 THEN 1.0 ELSE 0 E
 qo AS (SELECT query_id, sum(weight / (1.0 + ring)) / sum(weight) AS overlay FROM ri GROUP BY query_id)"""
 
 
-def _neighbours(spark, sf_dir):
+def _neighbours(spark, sf_dir, bits: int = 32):
     e = _embeddings(spark, sf_dir)
-    hashed = _plain_hash(e).apply(e).select("vec_id", F.col("hash").cast("bigint").alias("hash"))
+    own = F.col("hash").cast("bigint") if bits < 64 else F.col("hash_hex")
+    hashed = _plain_hash(e, bits).apply(e).select("vec_id", own.alias("hash"))
     queries = hashed.filter("vec_id % 100 = 0")
     truth = S.knn(e.filter("vec_id % 100 = 0"), e, 10, exclude_self=True)
     return hashed, queries, truth
@@ -306,10 +341,33 @@ def locality_grouping_sets(spark, sf_dir):
     return ring.groupingSets([["node_count"], []], "node_count").agg(F.round(F.avg("ring"), 9).alias("mean_ring"), F.count(F.lit(1)).alias("rows"))
 
 
-@register("layout_evaluation")
+_ALL = f"""{_EVAL}, {_RING},
+wl AS (SELECT w, avg(CASE WHEN rank_gap <= w THEN 1.0 ELSE 0 END) AS y FROM nb, (VALUES (10), (50), (100)) v(w) GROUP BY w),
+ws AS (SELECT ln(w) - lag(ln(w)) OVER (ORDER BY w) AS dx, (y + lag(y) OVER (ORDER BY w)) * 0.5 AS m FROM wl),
+au AS (SELECT sum(dx * m) / sum(dx) AS auc FROM ws),
+ov AS (SELECT avg(CASE WHEN rank_gap <= least(1000, n // 10 + 1) THEN 1.0 ELSE 0 END) AS recall, avg(rank_gap / n) AS rank_distance,
+       quantile_disc(rank_gap / n, 0.5) AS rank_p50, quantile_disc(rank_gap / n, 0.95) AS rank_p95, quantile_disc(rank_gap / n, 0.99) AS rank_p99 FROM nb),
+lo AS (SELECT avg(least(greatest(0.35 * same + 0.30 * near_1 + 0.20 * near_2 + 0.10 * near_4 + 0.05 * (1 - least(greatest(distance_norm, 0), 1)), 0), 1)) AS node_locality, avg(overlay) AS overlay FROM nm),
+pq AS (SELECT quantile_disc(overlay, 0.05) AS overlay_p05, quantile_disc(overlay, 0.5) AS overlay_p50, quantile_disc(overlay, 0.95) AS overlay_p95 FROM qo),
+ev AS (SELECT *, least(greatest(0.50 * overlay + 0.20 * node_locality + 0.15 * auc + 0.10 * overlay_p05 + 0.05 * (1 - least(greatest(rank_p50, 0), 1)), 0), 1) AS quality FROM ov, au, lo, pq)"""
+_FIGURES = "recall rank_distance auc node_locality overlay rank_p50 rank_p95 rank_p99 overlay_p05 overlay_p50 overlay_p95 quality".split()
+_ROUNDED = ", ".join(f"round({c}, 9) AS {c}" for c in _FIGURES)
+
+
+def _evaluated(spark, sf_dir, bits: int):
+    return E.evaluate(*_neighbours(spark, sf_dir, bits), bits, [10, 50, 100], list(_NODES)).select(*[F.round(c, 9).alias(c) for c in _FIGURES])
+
+
+@register("layout_evaluation", f"WITH {_ALL} SELECT {_ROUNDED} FROM ev")
 def layout_evaluation(spark, sf_dir):
-    hashed, queries, truth = _neighbours(spark, sf_dir)
-    return E.evaluate(hashed, queries, truth, 32, [10, 50, 100], list(_NODES))
+    return _evaluated(spark, sf_dir, 32)
+
+
+for _bits in (128, 256):
+
+    @register(f"layout_evaluation_{_bits}", f"WITH {_ALL.replace(_HASHED, _WIDE)} SELECT {_ROUNDED} FROM ev")
+    def layout_evaluation_wide(spark, sf_dir, bits=_bits):
+        return _evaluated(spark, sf_dir, bits)
 
 
 @register(

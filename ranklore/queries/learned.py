@@ -71,9 +71,14 @@ def prefix_rows(spark, sf_dir):
     return K.prefix(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", 100)
 
 
-@register("hashed_sample")
+@register("hashed_sample", "SELECT 50::BIGINT AS rows, 50::BIGINT AS ids, 50::BIGINT AS of_the_table, TRUE AS same_again")
 def hashed_sample(spark, sf_dir):
-    return K.hashed_sample(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", 50, 3)
+    """So many different rows of the table, the same ones from another layout."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    drawn = K.hashed_sample(e, "vec_id", 50, 3)
+    same = drawn.exceptAll(K.hashed_sample(e.repartition(5), "vec_id", 50, 3)).isEmpty()
+    told = drawn.join(e.withColumn("held", F.lit(1)), ["vec_id", "label"], "left")
+    return told.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("vec_id").alias("ids"), F.count("held").alias("of_the_table"), F.lit(same).alias("same_again"))
 
 
 # single models
@@ -340,15 +345,39 @@ def rm_position_probe(spark, sf_dir):
     return told.filter(off).agg(F.count(F.lit(1)).alias("outside"))
 
 
-@register("rm_multi_layer")
+def _within_bounds(spark, sf_dir, source, key, spec, branch):
+    """rows, keys, leaves and the keys whose true position lies outside [pred - err, pred + err]."""
+    rows = table(spark, sf_dir, source)
+    held = L.Keys.of(rows, key)
+    index = L.train(rows, key, spec, branch, held)
+    told = held.predicted(index).join(index.errors.select("leaf", "max_err"), "leaf")
+    off = F.abs(F.least("pred", F.lit(index.rows)) - F.col("y")) > F.col("max_err")
+    return told.agg(
+        F.sum("copies").alias("rows"), F.count(F.lit(1)).alias("keys"), F.lit(index.leaves).cast("bigint").alias("leaves"), F.sum(off.cast("bigint")).alias("outside")
+    )
+
+
+@register("rm_multi_layer", "SELECT count(*) AS rows, count(DISTINCT l_orderkey) AS keys, 64::BIGINT AS leaves, 0::BIGINT AS outside FROM lineitem")
 def rm_multi_layer(spark, sf_dir):
-    index = L.train(table(spark, sf_dir, "lineitem"), "l_orderkey", "linear,linear,cubic", 8)
-    return index.errors.crossJoin(F.broadcast(index.metrics.select(F.round("mae", 6).alias("mae"))))
+    return _within_bounds(spark, sf_dir, "lineitem", "l_orderkey", "linear,linear,cubic", 8)
 
 
-@register("rm_cubic_leaf")
+@register("rm_cubic_leaf", "SELECT count(*) AS rows, count(DISTINCT value) AS keys, 32::BIGINT AS leaves, 0::BIGINT AS outside FROM events")
 def rm_cubic_leaf(spark, sf_dir):
-    return L.train(table(spark, sf_dir, "events"), "value", "cubic,linear", 32).metrics
+    return _within_bounds(spark, sf_dir, "events", "value", "linear,cubic", 32)
+
+
+@register("rm_model_as_sql", "SELECT count(DISTINCT value) AS keys, 0::BIGINT AS differing FROM events")
+def rm_model_as_sql(spark, sf_dir):
+    """The exported expression against the model, key by key."""
+    from ranklore.operators.export import index_sql
+
+    events = table(spark, sf_dir, "events")
+    index = _index(spark, sf_dir)
+    told = index_sql(index, "value")
+    both = index.predict(events.select("value").distinct(), "value").withColumn("p", F.expr(told["position"])).withColumn("e", F.expr(told["error"]))
+    off = (F.col("p") != F.col("pred")) | (F.col("e") != F.col("err"))
+    return both.agg(F.count(F.lit(1)).alias("keys"), F.sum(off.cast("bigint")).alias("differing"))
 
 
 @register("bounded_spline_lookup", "SELECT l_orderkey, count(*) AS copies, true AS held FROM lineitem GROUP BY l_orderkey")
@@ -403,9 +432,16 @@ def narrow_front(spark, sf_dir):
     return spark.createDataFrame([tuple(c[k] for k in ("spec", "branch", "size")) for c in L.narrow_front(front, 3)], "spec string, branch bigint, size bigint")
 
 
-@register("rm_config_search")
+@register("rm_config_search", "SELECT * FROM (VALUES ('linear,linear', 16::BIGINT, 400::BIGINT), ('linear,linear', 64::BIGINT, 1552::BIGINT), ('cubic,linear', 16::BIGINT, 416::BIGINT), ('robust_linear,linear', 64::BIGINT, 1552::BIGINT)) t(spec, branch, size), (SELECT TRUE AS front_is_sound)")
 def rm_config_search(spark, sf_dir):
-    """Measured configurations of a small grid and their Pareto front."""
+    """Measured configurations of a small grid: their sizes, and whether the front holds exactly those that none beats."""
     events = table(spark, sf_dir, "events")
     measured = L.measure(events, "value", [("linear,linear", 16), ("linear,linear", 64), ("cubic,linear", 16), ("robust_linear,linear", 64)])
-    return L.pareto_front(measured)
+    rows = measured.collect()  # the configurations tried
+    front = {(r["spec"], r["branch"]) for r in L.pareto_front(measured).collect()}
+
+    def beats(a, b):
+        return a["size"] <= b["size"] and a["avg_log2_err"] <= b["avg_log2_err"] and (a["size"], a["avg_log2_err"]) != (b["size"], b["avg_log2_err"])
+
+    sound = front == {(r["spec"], r["branch"]) for r in rows if not any(beats(o, r) for o in rows)}
+    return measured.select("spec", "branch", "size", F.lit(sound).alias("front_is_sound"))

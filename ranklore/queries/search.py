@@ -175,11 +175,54 @@ def id_selector_search(spark, sf_dir):
     return S.knn(e.filter("vec_id % 100 = 0"), e.filter(chosen), 10).withColumn("distance", F.round("distance", 6))
 
 
-@register("groundtruth_spot_check", "SELECT 0::BIGINT AS query_id, 0::BIGINT AS right_id, 0.0::DOUBLE AS distance, 0.0::DOUBLE AS kth WHERE false")
+@register(
+    "groundtruth_spot_check",
+    f"WITH {_E}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS right_id, {_L2} AS distance FROM e a, e b WHERE a.vec_id % 100 = 0), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, right_id) AS n FROM p), "
+    "k AS (SELECT query_id, max(distance) AS kth FROM r WHERE n <= 10 GROUP BY query_id) "
+    "SELECT query_id, right_id, round(distance, 6) AS distance, round(kth, 6) AS kth FROM r JOIN k USING (query_id) "
+    "WHERE (n <= 10 OR right_id % 50 = 7) AND distance > kth + greatest(1e-6, 1e-5 * kth)",
+)
 def groundtruth_spot_check(spark, sf_dir):
+    """Exact neighbours and, among them, planted rows that mostly lie too far: those must be told."""
     e = table(spark, sf_dir, "embeddings")
     q = e.filter("vec_id % 100 = 0")
-    return S.spot_check(q, e, S.knn(q, e, 10), 10).select("query_id", "right_id", "distance", "kth")
+    truth = S.knn(q, e, 10).select("query_id", "base_id")
+    planted = q.select(F.col("vec_id").alias("query_id")).crossJoin(F.broadcast(e.filter("vec_id % 50 = 7").select(F.col("vec_id").alias("base_id"))))
+    told = S.spot_check(q, e, truth.unionByName(planted).distinct(), 10)
+    return told.select("query_id", "right_id", F.round("distance", 6).alias("distance"), F.round("kth", 6).alias("kth"))
+
+
+@register(
+    "truth_cached",
+    f"WITH {_E}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS base_id, {_L2} AS d FROM e a, e b WHERE a.vec_id % 100 = 0), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, base_id) AS n FROM p) SELECT query_id, base_id, n::INTEGER AS nn_rank, true AS hit FROM r WHERE n <= 5",
+)
+def truth_cached(spark, sf_dir):
+    """Exact neighbours through the cache: made once, found the second time under the inputs' identity."""
+    from ranklore.plans.workspace import fresh_path
+    from ranklore.sources.caches import Cache
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    q, cache = e.filter("vec_id % 100 = 0"), Cache(spark, fresh_path(spark, "truth-cache"))
+    cache.truth(q, e, 5)
+    again = cache.truth(q.repartition(3), e, 5)
+    return again.select("query_id", "base_id", "nn_rank", F.lit((cache.hits, cache.misses) == (1, 1)).alias("hit"))
+
+
+@register(
+    "truth_ties_by_id",
+    "WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS base_id, abs(a.label - b.label)::DOUBLE AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND b.vec_id < 40) "
+    "SELECT query_id, base_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, base_id)::INTEGER AS nn_rank FROM p",
+)
+def truth_ties_by_id(spark, sf_dir):
+    from ranklore.sources.truth import ties_by_id
+
+    e = table(spark, sf_dir, "embeddings")
+    few = F.broadcast(e.filter("vec_id < 40").select(F.col("vec_id").alias("base_id"), F.col("label").alias("__l")))
+    pairs = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label").crossJoin(few)
+    told = pairs.select("query_id", "base_id", F.lit(0).alias("nn_rank"), F.abs(F.col("label") - F.col("__l")).cast("double").alias("distance"))
+    return ties_by_id(told).select("query_id", "base_id", "nn_rank")
 
 
 @register(
