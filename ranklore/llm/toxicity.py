@@ -125,23 +125,21 @@ class SentenceScorer:
 
     def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The logit of every sentence of ``texts``, text by text, and the number of sentences of each text."""
-        found = [sentences(t) for t in texts]
-        flat = [s for own in found for s in own]
-        sizes = np.fromiter(map(len, flat), np.int64, len(flat))
-        value = self.words.__getitem__
-        weights = np.fromiter((value(word) for s in flat for word in s), np.float64, int(sizes.sum()))
-        sums = np.add.reduceat(weights, np.cumsum(sizes) - sizes) if len(flat) else np.empty(0)
-        return sums + self.bias, np.fromiter(map(len, found), np.int64, len(found))
-
-    def scores(self, texts: list[str]) -> tuple[np.ndarray, list[list[tuple[int, float]]]]:
-        """The score of each text, and (sentence, score) of its sentences."""
+        value, sums, counts = self.words.__getitem__, [], []
+        for text in texts:  # one text's words at a time: what is kept of them is a number a sentence
+            own = [sum(map(value, s)) for s in sentences(text)]
+            sums += own
+            counts.append(len(own))
+        return np.array(sums, np.float64) + self.bias, np.array(counts, np.int64)
+
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The score of each text, the scores of all sentences, text by text, and each text's number of sentences."""
         logits, counts = self.logits(texts)
         clean = _noisy_or(logits, np.repeat(np.arange(len(texts)), counts), len(texts))
-        own = 1.0 / (1.0 + np.exp(-np.clip(logits, -35, 35)))
-        return -np.expm1(clean), [list(enumerate(part.tolist())) for part in np.split(own, np.cumsum(counts)[:-1])]
+        return -np.expm1(clean), 1.0 / (1.0 + np.exp(-np.clip(logits, -35, 35))), counts
 
     def sentence_scores(self, text: str) -> list[float]:
-        return [s for _, s in self.scores([text])[1][0]]
+        return self.scores([text])[1].tolist()
 
     def score(self, text: str) -> float:
         return float(self.scores([text])[0][0])
@@ -192,12 +190,18 @@ def _score_batches(shared, threshold: float):
         for batch in batches:
             scores, found = [np.empty(0)], []
             for _, _, texts in text_runs(batch):
-                own, sentence_scores = scorer.scores(texts)
+                own, sentence_scores, counts = scorer.scores(texts)
                 scores.append(own)
-                for text, told in zip(texts, sentence_scores, strict=True):
-                    hits = [(k, s) for k, s in told if s >= threshold]
-                    spans = sentence_spans(text) if hits else []
-                    found.append([{"sentence": k, "start": spans[k][0], "stop": spans[k][1], "score": s} for k, s in hits])
+                hits = np.flatnonzero(sentence_scores >= threshold)
+                firsts = np.cumsum(counts) - counts
+                told: list[list[dict]] = [[] for _ in texts]
+                last, spans = -1, []
+                for hit, i in zip(hits.tolist(), (np.searchsorted(firsts, hits, "right") - 1).tolist(), strict=True):
+                    if i != last:
+                        last, spans = i, sentence_spans(texts[i])
+                    k = hit - int(firsts[i])
+                    told[i].append({"sentence": k, "start": spans[k][0], "stop": spans[k][1], "score": float(sentence_scores[hit])})
+                found += told
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(np.concatenate(scores)), pa.array(found, _SPANS)], [*batch.schema.names[:-1], "score", "offending"]
             )
