@@ -215,17 +215,18 @@ class PieceTable:
         A place is noisy if a pair that its merge makes, with what then stands left and right of
         it, ranks as well as itself or better. Behind a noisy place others of its word wait,
         as far as they follow each other closely enough for pieces to meet."""
-        new, last = made[at], len(sym) - 1
-        left, right = np.maximum(at - 1, 0), np.minimum(at + 2, last)
+        sly = np.flatnonzero(self.unsafe[made[at]])  # no pair of another piece can rank so well
+        own, last = at[sly], len(sym) - 1
+        new = made[own]
+        left, right = np.maximum(own - 1, 0), np.minimum(own + 2, last)
         before = sym[left]
-        close = np.concatenate(([False], at[1:] == at[:-1] + 2))  # the one before has merged by then
-        before = np.where(close, np.concatenate((new[:1], new[:-1])), before)
-        has_left = (at > 0) & (word[left] == word[at])
-        has_right = (at + 2 <= last) & (word[right] == word[at])
+        close = (sly > 0) & (at[sly - 1] == own - 2)  # the place before has merged by then
+        before = np.where(close, made[at[sly - 1]], before)
         pair_left, pair_right = self.merge(before, new), self.merge(new, sym[right])
-        own = rank[at]
-        noisy = has_left & (pair_left >= 0) & (self.rank[pair_left] <= own)
-        noisy |= has_right & (pair_right >= 0) & (self.rank[pair_right] <= own)
+        bad = (own > 0) & (word[left] == word[own]) & (pair_left >= 0) & (self.rank[pair_left] <= rank[own])
+        bad |= (own + 2 <= last) & (word[right] == word[own]) & (pair_right >= 0) & (self.rank[pair_right] <= rank[own])
+        noisy = np.zeros(len(at), bool)
+        noisy[sly[bad]] = True
         if not noisy.any():
             return np.ones(len(at), bool)
         apart = np.concatenate(([True], (word[at[1:]] != word[at[:-1]]) | (at[1:] - at[:-1] > 2 * self.reach + 2)))
