@@ -35,24 +35,50 @@ def parser() -> argparse.ArgumentParser:
     add("hash-vectors", "hash vectors by a trained vector hash", src, out, ("--model", {"required": True}))
     add("evaluate", "locality metrics of a vector hash", src, ("--model", {"required": True}), ("--neighbours", {"type": _positive, "default": 10}), ("--every", {"type": _positive, "default": 100}))
     add("select", "search a vector hash configuration", src, bits, ("--seconds", {"type": float}), ("--trains", {"type": _positive}), ("--every", {"type": _positive, "default": 100}))
+    add("select-contexts", "search configurations over skeletons of several sizes and write a report", src, out, bits, ("--targets", {"type": _positive, "nargs": "*"}), ("--profile", {"default": "auto"}), ("--recall", {"action": "store_true"}), ("--seconds", {"type": float}), ("--trains", {"type": _positive}), ("--every", {"type": _positive, "default": 100}))
+    add("build-vectors", "build a vector index from a description and save it", src, out, ("--index", {"required": True}))
+    add("search-vectors", "search a saved vector index", src, out, ("--model", {"required": True}), ("--k", {"type": _positive, "default": 10}), ("--probes", {"type": _positive}), ("--ef", {"type": _positive}))
+    add("export-sql", "a trained learned index as SQL expressions", ("--model", {"required": True}), key)
+    add("materialise", "xbin base and queries to a checked dataset with exact neighbours", src, out, ("--queries", {"required": True}), ("--name", {"required": True}), ("--k", {"type": _positive, "default": 100}), ("--rows", {"type": _positive}))
+    add("verify-bundle", "check a bundle's tables against its manifests", src)
     add("convert", "xbin to Parquet", src, out, ("--first", {"type": _positive}))
     return top
 
 
 def run(spark: SparkSession, args: argparse.Namespace):
     from ranklore.operators import evaluation as E
+    from ranklore.operators import export as EX
+    from ranklore.operators import indexes as IX
     from ranklore.operators import learned as L
     from ranklore.operators import scalar_hash as H
     from ranklore.operators import search as S
+    from ranklore.operators import selection as SN
     from ranklore.operators import selector as SEL
     from ranklore.operators import vector_hash as VH
+    from ranklore.operators.store import load_index, save_index
     from ranklore.sources import binary as B
+    from ranklore.sources import materialise as MT
     from ranklore.sources import models as MD
+    from ranklore.sources import reports as RP
 
     if args.command == "convert":
         return B.convert_xbin(spark, args.input, args.output, args.first).count()
+    if args.command == "export-sql":
+        return json.dumps(EX.index_sql(MD.load_index(spark, args.model), args.key))
+    if args.command == "materialise":
+        return json.dumps(MT.materialise(spark, args.name, args.input, args.queries, args.output, args.k, args.rows))
+    if args.command == "verify-bundle":
+        return json.dumps(MT.verify_bundle(spark, args.input))
     df = spark.read.parquet(args.input)
-    if args.command == "fit-index":
+    if args.command == "build-vectors":
+        save_index(IX.index_factory(args.index).fit(df).add(df), args.output, spark)
+    elif args.command == "search-vectors":
+        asked = {name: value for name in ("probes", "ef") if (value := getattr(args, name)) is not None}
+        load_index(args.model, spark).search(df, args.k, **asked).write.mode("overwrite").parquet(args.output)
+    elif args.command == "select-contexts":
+        options = SEL.Options(bits=args.bits, profile=args.profile, for_recall=args.recall, seconds=args.seconds, max_trains=args.trains)
+        RP.write_selection(spark, SN.search(df, df.filter(F.col("vec_id") % args.every == 0), options, args.targets).as_dict(), args.output)
+    elif args.command == "fit-index":
         MD.save_index(L.train(df, args.key, args.spec, args.branch), args.output)
     elif args.command == "predict":
         MD.write_predictions(MD.load_index(spark, args.model).predict(df, args.key), args.key, args.output, args.limit)

@@ -156,9 +156,13 @@ def _descend(x: np.ndarray, level: Level, q: np.ndarray, node: np.ndarray) -> np
     return level.members[at]
 
 
-def search_graph(x: np.ndarray, levels: list[Level], entry: int, q: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, distances) of the k nearest that a best-first walk with ``ef`` candidates finds; -1 where there are fewer."""
-    node = np.full(len(q), entry)
+def search_graph(
+    x: np.ndarray, levels: list[Level], entry: int, q: np.ndarray, k: int, ef: int, entries: int = 1
+) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, distances) of the k nearest that a best-first walk with ``ef`` candidates finds; -1 where there are fewer.
+    With more ``entries`` a query starts at the nearest of so many nodes, evenly spread over the graph."""
+    starts = np.unique(np.append(np.linspace(0, len(x) - 1, entries).astype(int), entry)) if entries > 1 else np.array([entry])
+    node = starts[((x[starts][None] - q[:, None]) ** 2).sum(-1).argmin(1)]
     for level in levels[:0:-1]:
         node = _descend(x, level, q, node)
     links, n, rows = levels[0].links, len(x), np.arange(len(q))
@@ -258,8 +262,12 @@ class GraphIndex:
 
     partitions: tuple[str, ...] = ()
 
-    def __init__(self, m: int = 16, ef: int = 64, levels: bool = True, shard_rows: int = SHARD_ROWS, descent: bool = False, codec=None):
-        self.m, self.ef, self.levels, self.shard_rows, self.descent = m, ef, levels, shard_rows, descent
+    def __init__(
+        self, m: int = 16, ef: int = 64, levels: bool = True, shard_rows: int = SHARD_ROWS, descent: bool = False, codec=None, entries: int = 1
+    ):
+        self.m, self.ef, self.levels, self.shard_rows, self.descent, self.entries = m, ef, levels, shard_rows, descent, entries
+        if levels and entries > 1:
+            raise ValueError("a graph with levels has one entry")
         self.codec, self.table = codec or Q.Flat(), None
 
     def fit(self, df: DataFrame) -> GraphIndex:
@@ -300,17 +308,17 @@ class GraphIndex:
     def search(self, queries: DataFrame, k: int, ef: int | None = None) -> DataFrame:
         width, parts, codec = max(ef or self.ef, k), [], self.codec
         for q_ids, q in S._blocks(queries, "vec_id", "embedding"):
-            shared = self.table.sparkSession.sparkContext.broadcast((q_ids, q, codec))
+            shared = self.table.sparkSession.sparkContext.broadcast((q_ids, q, codec, self.entries))
 
             def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-                ids, vectors, codec = shared.value
+                ids, vectors, codec, entries = shared.value
                 for batch in batches:
                     for row in batch.to_pylist():
                         held = np.asarray(row["ids"])
                         x = codec.decode(np.frombuffer(row["codes"], np.uint8).reshape(len(held), row["width"]))
                         levels = [_level(v) for v in row["levels"]]
                         for i in range(0, len(ids), _TOGETHER):
-                            nodes, d = search_graph(x, levels, row["entry"], vectors[i : i + _TOGETHER], k, width)
+                            nodes, d = search_graph(x, levels, row["entry"], vectors[i : i + _TOGETHER], k, width, entries)
                             at, pos = np.nonzero(nodes >= 0)
                             yield pa.RecordBatch.from_arrays(
                                 [pa.array(ids[i + at], pa.int64()), pa.array(held[nodes[at, pos]], pa.int64()), pa.array(d[at, pos])],
@@ -335,8 +343,8 @@ class BinaryGraphIndex:
 
     partitions: tuple[str, ...] = ()
 
-    def __init__(self, bits: int, m: int = 16, ef: int = 64, levels: bool = True):
-        self.bits, self.index = bits, GraphIndex(m, ef, levels, codec=Q.SignBits(bits))
+    def __init__(self, bits: int, m: int = 16, ef: int = 64, levels: bool = True, entries: int = 1):
+        self.bits, self.index = bits, GraphIndex(m, ef, levels, codec=Q.SignBits(bits), entries=entries)
 
     def fit(self, codes: DataFrame) -> BinaryGraphIndex:
         return self

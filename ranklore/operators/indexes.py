@@ -25,7 +25,6 @@ from ranklore.operators import coarse as K
 from ranklore.operators import inverted_lists as L
 from ranklore.operators import search as S
 from ranklore.operators import transforms as TR
-from ranklore.operators.vector_stats import hamming_range
 from ranklore.plans.workspace import staged
 
 _RESULT = "query_id bigint, base_id bigint, distance double"
@@ -291,6 +290,11 @@ class Deduplicated:
         return S.top_k(found.join(first, "base_id").select("query_id", F.col("vec_id").alias("base_id"), "distance"), k)
 
 
+def train_encoded(index: VectorIndex, k: int, iterations: int = 10) -> np.ndarray:
+    """k-means over what an index has kept of its vectors, decoded as they are read."""
+    return C.kmeans(index.decode(), k, iterations)[0]
+
+
 class IdMap:
     """External ids: (vec_id, external_id) joined to the results."""
 
@@ -465,23 +469,33 @@ def binary_hash_search(queries: DataFrame, base: DataFrame, bits: int, flips: in
     return told.distinct()
 
 
-def binary_ivf_search(queries: DataFrame, base: DataFrame, heads: DataFrame, probes: int, k: int) -> DataFrame:
-    """Lists are the nearest head codes (``heads``: vec_id, code, few); the ``probes`` nearest lists are searched.
+#: Lists of a binary inverted file: each row is compared with every head.
+MAX_HEADS = 4096
 
-    The queries with their lists are broadcast in checked blocks, so a list that many rows share is
-    scanned by all tasks that hold some of it."""
-    def lists(df, width):
-        near = S.top_k(hamming_range(df, heads, 1 << 20), width)
-        return near.select(F.col("query_id").alias("vec_id"), F.col("base_id").alias("list_id"))
 
+def binary_ivf_search(queries: DataFrame, base: DataFrame, heads: DataFrame, probes: int, k: int) -> DataFrame:
+    """Lists are the nearest head codes (``heads``: vec_id, code, at most ``MAX_HEADS``); the ``probes`` nearest lists are searched.
+
+    Rows find their lists by an expression over the broadcast heads, without a shuffle; the queries with
+    their lists are broadcast in a checked size, so a list that many rows share is scanned by all tasks
+    that hold some of it."""
     from ranklore.functions.bits import hamming
 
-    n = queries.count()
-    if n * (probes * 16 + 64) > S.BLOCK_BYTES:
+    if heads.count() > MAX_HEADS:
+        raise ValueError(f"more than {MAX_HEADS} heads")
+    if queries.count() * (probes * 16 + 64) > S.BLOCK_BYTES:
         raise ValueError("too many queries for one block: search them in parts")
-    b = base.join(lists(base, 1), "vec_id").select(F.col("vec_id").alias("base_id"), F.col("code").alias("__b"), "list_id")
-    q = queries.join(lists(queries, probes), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("code").alias("__q"), "list_id")
-    return S.top_k(b.join(F.broadcast(q), "list_id").select("query_id", "base_id", hamming(F.col("__q"), F.col("__b")).alias("distance")), k)
+    held = heads.agg(F.collect_list(F.struct("vec_id", "code")).alias("__heads"))  # one row
+
+    def lists(df: DataFrame, id_name: str, code_name: str, width: int) -> DataFrame:
+        far = F.transform("__heads", lambda h: F.struct(hamming(F.col("code"), h["code"]).alias("d"), h["vec_id"].alias("list_id")))
+        near = F.slice(F.array_sort(far), 1, width)
+        told = df.crossJoin(F.broadcast(held)).select(F.col("vec_id").alias(id_name), F.col("code").alias(code_name), F.explode(near).alias("l"))
+        return told.select(id_name, code_name, "l.list_id")
+
+    asked = F.broadcast(lists(queries, "query_id", "__q", probes))
+    pairs = lists(base, "base_id", "__b", 1).join(asked, "list_id")
+    return S.top_k(pairs.select("query_id", "base_id", hamming(F.col("__q"), F.col("__b")).alias("distance")), k)
 
 
 # sliding window of slices
@@ -510,7 +524,7 @@ class SlidingIndex:
 def _codec(part: str):
     """The codec that a part of a description names, or None."""
     rules: list[tuple[str, Callable]] = [
-        (r"Flat", lambda m: Q.Flat()),
+        (r"Flat(?:Panorama)?", lambda m: Q.Flat()),
         (r"SQ(4|6|8)", lambda m: Q.Scalar(int(m[1]))),
         (r"SQ(fp16|bf16)", lambda m: Q.HalfFloat(m[1] == "bf16")),
         (r"PQ(\d+)x4fs", lambda m: Q.FastProduct(int(m[1]))),
@@ -564,22 +578,23 @@ def index_factory(description: str):
     for lists in another space. Codes: Flat, SQ4, SQ6, SQ8, SQfp16, SQbf16, PQ<m>x<bits>, RQ<m>x<bits>, LSQ<m>x<bits>,
     PRQ<s>x<m>x<bits>, PLSQ<s>x<m>x<bits>, RaBitQ, MinMax, MinMaxFP16, ZnLattice<r2>, LSH<bits>, SH<bits>,
     2Layer<n>_<code>, <code>+<code> for a second code of what the first leaves over; PQ, the additive codes with 4 bits and
-    RaBitQ also with fs behind them, for scans of small tables. Graphs: HNSW<m>, NSG<m>, NND<m>, alone or with _<code>.
-    Panorama<levels> is a flat index that drops rows level by level.
+    RaBitQ also with fs behind them, for scans of small tables. Graphs: HNSW<m>, NSG<m>, NND<m>, CAGRA<m> (the ground
+    level alone, entered at many places), alone or with _<code>. Panorama<levels> is a flat index that drops rows level by
+    level; FlatPanorama as a code of lists, RefinePanorama<factor>(...) and HNSW<m>_FlatPanorama give the rows of the plain ones.
     """
-    if m := re.fullmatch(r"Refine(\d*)\((.+)\)", description):
+    if m := re.fullmatch(r"Refine(?:Panorama)?(\d*)\((.+)\)", description):
         return Refined(index_factory(m[2]), int(m[1] or 4))
     if m := re.fullmatch(r"Dedup\((.+)\)", description):
         return Deduplicated(index_factory(m[1]))
     if m := re.fullmatch(r"Panorama(\d+)", description):
         return Progressive(int(m[1]))
-    if m := re.fullmatch(r"(HNSW|NSG|NND)(\d+)(?:_(.+))?", description):
+    if m := re.fullmatch(r"(HNSW|NSG|NND|CAGRA)(\d+)(?:_(.+))?", description):
         from ranklore.operators.graphs import GraphIndex
 
         codec = _codec(m[3]) if m[3] else None
         if m[3] and codec is None:
             raise ValueError(f"unknown index part {m[3]!r}")
-        return GraphIndex(int(m[2]), levels=m[1] == "HNSW", descent=m[1] == "NND", codec=codec)
+        return GraphIndex(int(m[2]), levels=m[1] == "HNSW", descent=m[1] == "NND", codec=codec, entries=32 if m[1] == "CAGRA" else 1)
     transforms: list[TR.Transform] = []
     coarse, codec, residual, image = None, None, False, None
     for part in (p.strip() for p in re.split(r",(?![^(]*\))", description)):

@@ -28,14 +28,31 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
+#: Up to so many queries come to the driver in one Arrow table; more, partition by partition.
+FEW_QUERIES = 10_000
+#: Blocks of a search, each of them a scan of the base; more are an error: ask in parts.
+MAX_BLOCKS = 1024
+
+
 def _blocks(queries: DataFrame, query_id: str, vector: str):
-    """Query blocks of at most BLOCK_BYTES, as (ids, matrix) on the driver, one at a time."""
-    ids, rows, size = [], [], 0
-    for row in queries.select(query_id, vector).orderBy(query_id).toLocalIterator():
+    """Query blocks of at most BLOCK_BYTES, as (ids, matrix) on the driver, one at a time, in order of ids."""
+    slim = queries.select(query_id, vector)
+    if slim.count() <= FEW_QUERIES:
+        table = slim.toArrow().sort_by(query_id).combine_chunks()
+        ids, q = np.asarray(table[0]), _matrix(table[1].combine_chunks()) if table.num_rows else np.empty((0, 0))
+        step = max(1, BLOCK_BYTES // max(8 * q.shape[1], 1))
+        for i in range(0, len(ids), step):
+            yield ids[i : i + step], q[i : i + step]
+        return
+    ids, rows, size, blocks = [], [], 0, 0
+    for row in slim.orderBy(query_id).toLocalIterator(prefetchPartitions=True):
         ids.append(row[0])
         rows.append(row[1])
         size += 8 * len(row[1])
         if size >= BLOCK_BYTES:
+            blocks += 1
+            if blocks > MAX_BLOCKS:
+                raise ValueError(f"more than {MAX_BLOCKS} blocks of {BLOCK_BYTES >> 20} MB: ask in parts")
             yield np.array(ids), np.array(rows, np.float64)
             ids, rows, size = [], [], 0
     if ids:

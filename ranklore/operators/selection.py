@@ -140,7 +140,7 @@ def refine_for_recall(trials: SEL.Trials, options: Options, skeleton: int, round
         fresh = [c for c in within_reach(anchor.config, options, skeleton, min(4, 2 + done)) if c not in trials.done and not c.graph_order]
         if not fresh:
             break
-        found = [trials.run(c) for c in fresh[:limit] if not trials.exhausted()]
+        found = trials.run_all(fresh[:limit])
         done += 1
         if max((m.recall for m in found if m.ok), default=0.0) <= anchor.recall + least_gain:
             break
@@ -156,7 +156,7 @@ def explore_after(trials: SEL.Trials, options: Options, skeleton: int, limit: in
         for c in within_reach(m.config, options, skeleton, 3 if options.for_recall else 2):
             if c not in trials.done and not c.graph_order and len(fresh) < limit:
                 fresh[c] = None
-    return sum(trials.run(c) is not None for c in fresh if not trials.exhausted())
+    return len(trials.run_all(list(fresh)))
 
 
 Tried = tuple[Context, Metrics]
@@ -241,6 +241,7 @@ def coarse_part(queries: DataFrame, share: float = 0.5) -> DataFrame:
 def search(df: DataFrame, queries: DataFrame, options: Options, targets: list[int] | None = None, m: int = 16, calibrate: int = 6, share: float = 0.5) -> Outcome:
     """Search for configurations over skeletons of ``targets`` nodes (unset: by dataset size)."""
     begun, n = time.monotonic(), df.count()
+    SEL.checked_options(options)
     profile = effective_profile(options.profile, n)
     options = replace(options, profile=profile, weights=effective_weights(options, n))
     contexts = build_contexts(df, m, targets or SEL.skeleton_targets(n, options.for_recall))
@@ -276,7 +277,7 @@ def search(df: DataFrame, queries: DataFrame, options: Options, targets: list[in
         if wanted:
             whole = SEL.Trials(df, queries, replace(tried_in(context).options, max_trains=0, seconds=0), context.edges, context.nodes)
             whole.clusters = tried_in(context).clusters
-            final += [(context, whole.run(config)) for config in wanted]
+            final += [(context, metric) for metric in whole.run_all(wanted)]
     SEL.assign_objectives([metric for _, metric in final], options.weights)
     told = [metric for _, metric in final]
     return Outcome(

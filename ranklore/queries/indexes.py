@@ -250,6 +250,11 @@ RECALL_SETTINGS: tuple[tuple[str, str, dict], ...] = (
     ("index_hnsw_sq", "HNSW12_SQ8", {"ef": 80}),
     ("index_hnsw_pq", "Refine10(HNSW12_PQ16x6)", {"ef": 120}),
     ("index_hnsw_two_level", "Refine10(HNSW12_2Layer8_PQ16x6)", {"ef": 120}),
+    ("index_hnsw_ground_level", "CAGRA16", {"ef": 100}),
+    ("index_hnsw_flat_progressive", "HNSW12_FlatPanorama", {"ef": 80}),
+    ("index_ivf_flat_progressive", "IVF8,FlatPanorama", {"probes": 7}),
+    ("index_refine_progressive", "RefinePanorama10(PQ16x6)", {}),
+    ("index_transformed_probes", "PCAR64,IVF8,SQ8", {"probes": 7}),
     ("index_nsg", "NSG16", {"ef": 80}),
     ("index_nsg_sq", "NSG16_SQ8", {"ef": 80}),
     ("index_nsg_pq", "Refine8(NSG16_PQ16x6)", {"ef": 80}),

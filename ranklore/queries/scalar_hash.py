@@ -84,15 +84,28 @@ def scalar_index_map(spark, sf_dir):
     return orders.select("o_orderkey", H.map_index(F.col("o_orderkey"), mapping).cast("bigint").alias("hash"))
 
 
-@register("scalar_hash128")
+def _wide_sql(bits: int) -> str:
+    """Beyond 64 bits: (2^bits - 1) q / 2^64 is q - 1 followed by ones, for a fraction q of 64 bits that is not 0."""
+    digits = bits // 4
+    part = "lpad(hex((({q}) {op} 4294967296)::BIGINT), 8, '0')"
+    q = "a::HUGEINT * 4294967296 + b::HUGEINT - 1"
+    head = f"lower({part.format(q=q, op='//')} || {part.format(q=q, op='%')})"
+    return (
+        _hash_sql("orders", "o_custkey", 16, True, 32)
+        + f"SELECT x::BIGINT AS o_custkey, CASE WHEN prediction <= 0 THEN repeat('0', {digits}) WHEN prediction >= m THEN repeat('f', {digits}) ELSE {head} || repeat('f', {digits - 16}) END AS hash_hex FROM h3"
+    )
+
+
+@register("scalar_hash128", f"SELECT *, substr(hash_hex, 1, 16) AS top64_hex, hash_hex AS top128_hex FROM ({_wide_sql(128)})")
 def scalar_hash128(spark, sf_dir):
     trained, keys = _trained(spark, sf_dir, "orders", "o_custkey", 16, 128)
     hashed = trained.apply(keys, "o_custkey")
     return hashed.select("o_custkey", "hash_hex", *[c.alias(n) for n, c in H.top_views(F.col("hash_hex"), 128).items()])
 
 
-@register("scalar_hash256")
+@register("scalar_hash256", f"SELECT o_custkey, hash_hex, substr(hash_hex, 1, 32) AS top128_hex, 32 AS bytes FROM ({_wide_sql(256)})")
 def scalar_hash256(spark, sf_dir):
     trained, keys = _trained(spark, sf_dir, "orders", "o_custkey", 16, 256)
     hashed = trained.apply(keys, "o_custkey")
-    return hashed.select("o_custkey", "hash_hex", F.unhex("hash_hex").alias("hash_bytes"))
+    views = H.top_views(F.col("hash_hex"), 256)
+    return hashed.select("o_custkey", "hash_hex", views["top128_hex"].alias("top128_hex"), F.length(F.unhex("hash_hex")).alias("bytes"))

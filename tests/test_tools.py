@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ranklore.functions import bits
+from ranklore.functions import randoms as RN
 from ranklore.operators import centroids as C
 from ranklore.operators import export as EX
 from ranklore.operators import graphs as G
@@ -333,3 +334,24 @@ def test_selection_report(spark, tmp_path):
     told = {"roles": {"fast": metric}, "front": [metric], "calibrated": [{"skeleton": 9, **metric}]}
     assert RP.write_selection(spark, told, f"file://{tmp_path}/rep") == ["candidates.csv", "report.html", "result.json"]
     assert json.loads(spark.read.text(f"file://{tmp_path}/rep/result.json", wholetext=True).first()[0]) == told
+
+
+def test_random_columns(spark):
+    ids = spark.range(20_000).withColumnRenamed("id", "vec_id")
+    told = ids.select(RN.uniform(F.col("vec_id"), 3).alias("u"), RN.normal(F.col("vec_id"), 3).alias("g"), RN.integer(F.col("vec_id"), 7).alias("i")).toPandas()
+    assert 0 < told.u.min() and told.u.max() < 1 and abs(told.u.mean() - 0.5) < 0.01
+    assert abs(told.g.mean()) < 0.03 and abs(told.g.std() - 1) < 0.03 and sorted(told.i.unique()) == list(range(7))
+    order = RN.permuted(ids.limit(100), "vec_id", 5).orderBy("position").select("vec_id").toPandas().vec_id.tolist()
+    assert sorted(order) == list(range(100)) and order != sorted(order)
+    x = np.array(RN.smooth_vectors(ids.limit(300), 16, 1).orderBy("vec_id").toPandas().embedding.tolist())
+    assert x.shape == (300, 16) and np.abs(x).max() <= 1 and np.array_equal(x, np.array(RN.smooth_vectors(ids.limit(300).repartition(3), 16, 1).orderBy("vec_id").toPandas().embedding.tolist()))
+
+
+def test_encoded_training_and_entries(spark, cloud):
+    x, df = cloud
+    index = IX.index_factory("SQ8").fit(df).add(df)
+    assert IX.train_encoded(index, 4, 3).shape == (4, 8)
+    told = IX.index_factory("CAGRA8").fit(df).add(df).search(df.filter("vec_id < 20"), 5)
+    assert told.select("query_id", "base_id").join(S.knn(df.filter("vec_id < 20"), df, 5).select("query_id", "base_id"), ["query_id", "base_id"]).count() > 90
+    with pytest.raises(ValueError):
+        G.GraphIndex(8, entries=4)

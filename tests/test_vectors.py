@@ -9,9 +9,11 @@ from ranklore.operators import evaluation as E
 from ranklore.operators import graphs as G
 from ranklore.operators import indexes as IX
 from ranklore.operators import search as S
+from ranklore.operators import selection as SN
 from ranklore.operators import selector as SEL
 from ranklore.operators import transforms as TR
 from ranklore.operators import vector_hash as VH
+from ranklore.sources import reports as RP
 
 
 def frame(spark, x):
@@ -270,3 +272,65 @@ def test_selector_scores():
     assert SEL.roles(everything, budget=10)["peak_recall"] is a
     assert SEL.ranked(everything, 2) == [a, b] and SEL.ranked(everything, 5, budget=60) == [b]
     assert SEL.validated([a, m(1.5, 1, 1)]) == [a]
+
+
+def test_selection_policies():
+    assert [SN.effective_profile("auto", n) for n in (10, 500_000, 3_000_000)] == ["exhaustive", "balanced", "fast"]
+    with pytest.raises(ValueError):
+        SN.effective_profile("quick", 10)
+    assert SN.effective_weights(SEL.Options(), 600_000).recall == 0.75 and SN.effective_weights(SEL.Options(for_recall=True), 10).recall == 0.88
+    own = SEL.Weights(recall=0.5)
+    assert SN.effective_weights(SEL.Options(weights=own), 10**7) is own
+    assert SN.evenly_spaced(9, 3) == [0, 4, 8] and SN.evenly_spaced(2, 5) == [0, 1]
+    assert SN.effective_budget("deep", 10, 10**7) == 3600 and SN.effective_budget("smoke", 99, 10) == 99
+
+    def context(target, score):
+        made = SN.Context((target,), target, None, None)
+        return made, score
+
+    def chosen(scores, keep):
+        held = [context((i + 1) * 10, s) for i, s in enumerate(scores)]
+        table = {id(c): s for c, s in held}
+        probe = lambda c: SEL.Metrics(SEL.Config(2, 1), table[id(c)] is not None, table[id(c)] or 0.0)
+        return [c.target for c in SN.choose_contexts([c for c, _ in held], keep, probe)]
+
+    assert chosen([0.1, 0.9, 0.3, 0.2], None) == [10, 20, 30, 40]
+    assert chosen([0.1, 0.9, 0.3, 0.2], 1) in ([20], [30])  # of the probed ones
+    assert set(chosen([0.1, 0.2, 0.9, 0.3, 0.2], 3)) >= {10, 50} and chosen([0.1, None, 0.9], 2) == [30, 10]
+
+
+def test_selection_seeds():
+    def m(q, recall, t=1.0, s=10, graph=False):
+        return SEL.Metrics(SEL.Config(2, 1, graph_order=graph), True, q, recall, recall, 0.1, t, s)
+
+    a, b = SN.Context((10,), 10, None, None), SN.Context((20,), 20, None, None)
+    pool = [(a, m(0.9, 0.5)), (a, m(0.8, 0.9)), (b, m(0.3, 0.2)), (b, m(0.2, 0.1, 0.1, 1, True))]
+    SEL.assign_objectives([x for _, x in pool], SEL.Weights())
+    seeds = SN.calibration_seeds(pool, 3)
+    assert [t[1] for t in seeds] == [pool[0][1], pool[2][1], pool[1][1]]
+    roles = SN.role_seeds(pool, seeds, 10)
+    assert roles[0] is pool[1] and len(roles) == 4 and SN.role_seeds(pool, seeds, 1) == [pool[1]]
+    assert SN.recall_anchor([x for _, x in pool]) is pool[1][1] and SN.quality_anchor([x for _, x in pool]) is pool[0][1]
+    told = SN.graph_order_evidence([x for _, x in pool])
+    assert told["enabled"] == {"candidates": 1, "quality": 0.2, "recall": 0.1, "rank_distance": 0.1} and told["disabled"]["candidates"] == 3
+    assert SN.quality_status([pool[0][1]], 0.4) == {"sound": True, "recall_reached": True, "ok": True}
+    assert not SN.quality_status([m(float("nan"), 0.1)])["ok"] and not SN.quality_status([pool[2][1]], 0.4)["recall_reached"]
+
+
+def test_whole_search_and_report(spark, cloud):
+    x, df = cloud
+    options = SEL.Options(bits=128, k_values=(4, 8), knn_values=(2,), branches=(4,), specs=("linear,linear",), two_opts=(2,), max_trains=3, rounds=1, iterations=2, node_counts=(8,), windows=(10, 50), for_recall=True, seconds=0)
+    out = SN.search(df, df.filter("vec_id % 10 = 0"), options, targets=[20, 190], m=6, calibrate=2)
+    assert set(out.roles) == set(SN.ROLES) and len(out.calibrated) == 2 and out.searched == out.contexts
+    full, compact = out.as_dict(), out.as_dict(compact=True)
+    assert full["version"] == 1 and "candidates" not in compact and set(RP.selection_tables(full)) == {"roles", "front", "calibrated", "candidates"}
+    assert SN.quality_status([t[1] for t in out.calibrated])["sound"]
+
+
+def test_option_checks_and_pools():
+    assert SEL.checked_options(SEL.Options()).bits == 64
+    for bad in ({"bits": 0}, {"bits": 300}, {"k_values": (0,)}, {"specs": ("linear",)}, {"recall_target": 1.5}, {"two_opts": (-1,)}, {"weights": SEL.Weights(0, 0, 0, 0, 0)}, {"kept": 0}):
+        with pytest.raises(ValueError):
+            SEL.checked_options(SEL.Options(**bad))
+    held = [SEL.Metrics(SEL.Config(2, 1), True, q, r, r, d, t, s) for q, r, d, t, s in ((0.9, 0.1, 0.5, 9, 9), (0.1, 0.9, 0.5, 9, 9), (0.1, 0.1, 0.1, 9, 9), (0.1, 0.1, 0.5, 1, 9), (0.1, 0.1, 0.5, 9, 1), (0.2, 0.2, 0.4, 5, 5))]
+    assert SEL.pooled(held, 1) == held[:5] and len(SEL.pooled(held, 6)) == 6
