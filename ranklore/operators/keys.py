@@ -10,7 +10,7 @@ from ranklore.plans.ranking import hashed_first, one_task_limit, with_running_su
 from ranklore.plans.workspace import staged
 
 #: Up to so many different keys one task adds up the counts; beyond, range partitions and blocks do.
-ONE_TASK_KEYS = 10_000
+ONE_TASK_KEYS = 100_000
 KEY_TYPES = {"uint64": T.LongType(), "uint32": T.LongType(), "f64": T.DoubleType()}
 
 

@@ -66,19 +66,39 @@ def map_index(index: Column, mapping: Mapping) -> Column:
     return W.divided((i * F.lit(str(mapping.range)).cast(W.WIDE)).cast(W.WIDE), F.lit(mapping.max_index))
 
 
+def _inside(prediction: Column, mapping: Mapping) -> Column:
+    """The prediction as a share of the largest index; 0 where it has none, 1 from the largest index on."""
+    finite = prediction.isNotNull() & ~F.isnan(prediction) & (prediction < float("inf")) & (prediction > 0)
+    share = F.least(prediction / F.lit(float(max(mapping.max_index, 1))), F.lit(1.0))
+    return F.when(~finite | F.lit(not mapping.max_index), 0.0).when(prediction >= mapping.max_index, 1.0).otherwise(share)
+
+
+def map_halves(prediction: Column, mapping: Mapping) -> Column:
+    """High and low 32 bits of a prediction's hash of up to 64 bits, as a struct of bigints."""
+    top = [F.lit(mapping.range >> 32).cast("bigint"), F.lit(mapping.range & (2**32 - 1)).cast("bigint")]
+    whole = F.struct(top[0].alias("high"), top[1].alias("low"))
+
+    def placed(share: Column) -> Column:
+        return F.when(share >= 1.0, whole).otherwise(W.halves_times(*top, share))
+
+    return W.let(W.let(prediction, lambda p: _inside(p, mapping)), placed)
+
+
+def with_halves(df: DataFrame, prediction: Column, mapping: Mapping) -> DataFrame:
+    """Add __high and __low, as ``map_halves`` has them, by generated code alone: each step is a column of
+    its own, so that it is evaluated once."""
+    shared = df.withColumn("__share", _inside(prediction, mapping))
+    a, b = W.q64_halves(F.col("__share"))
+    top = [F.lit(mapping.range >> 32).cast("bigint"), F.lit(mapping.range & (2**32 - 1)).cast("bigint")]
+    told = W.product_halves(*top, F.col("__a"), F.col("__b"))
+    high, low = (F.when(F.col("__share") >= 1.0, t).otherwise(own) for t, own in zip(top, told, strict=True))
+    stepped = shared.withColumn("__a", a).withColumn("__b", b)
+    return stepped.withColumn("__high", high).withColumn("__low", low).drop("__share", "__a", "__b")
+
+
 def map_prediction(prediction: Column, mapping: Mapping) -> Column:
     """DECIMAL hash of a prediction (up to 64 bits)."""
-    top = F.lit(str(mapping.range)).cast(W.WIDE)
-    none = F.lit(0).cast(W.WIDE)
-    finite = prediction.isNotNull() & ~F.isnan(prediction) & (prediction < float("inf"))
-    if not mapping.max_index:
-        return none
-    inside = F.when(finite & (prediction > 0) & (prediction < mapping.max_index), prediction / F.lit(float(mapping.max_index)))
-    return (
-        F.when(~finite | (prediction <= 0), none)
-        .when(prediction >= mapping.max_index, top)
-        .otherwise(W.times_fraction(top, F.coalesce(inside, F.lit(0.0))))
-    )
+    return W.let(map_halves(prediction, mapping), lambda p: W.halves_decimal(p["high"], p["low"]))
 
 
 def wide_hash(mapping: Mapping):
@@ -111,8 +131,9 @@ class ScalarHash:
         told = self.index.predict(keys, key).drop("leaf", "pred", "err").withColumn("prediction", self.calibrated(F.col("raw")))
         if self.mapping.bits > 64:
             return told.withColumn("hash_hex", wide_hash(self.mapping)(F.coalesce("prediction", F.lit(0.0))))
-        hashed = told.withColumn("hash", map_prediction(F.col("prediction"), self.mapping))
-        return hashed.withColumn("hash_hex", W.decimal_hex(F.col("hash"), self.mapping.bits))
+        halves = with_halves(told, F.col("prediction"), self.mapping)
+        hashed = halves.withColumn("hash", W.halves_decimal(F.col("__high"), F.col("__low")))
+        return hashed.withColumn("hash_hex", W.halves_hex(F.col("__high"), F.col("__low"), self.mapping.bits)).drop("__high", "__low")
 
     def manifest(self) -> dict:
         return {

@@ -96,9 +96,9 @@ class VectorHash:
         drop = [c for c in model.columns if c != "centroid_id"]
         if self.bits > 64:
             return told.withColumn("hash_hex", _wide_slot(self.bits)("range_start", "range_size", "full", "fraction")).drop(*drop)
-        size, start = F.col("range_size").cast(W.WIDE), F.col("range_start").cast(W.WIDE)
-        hashed = told.withColumn("hash", (start + W.times_fraction(size, F.col("fraction"))).cast(W.WIDE))
-        return hashed.withColumn("hash_hex", W.decimal_hex(F.col("hash"), self.bits)).drop(*drop)
+        start = F.col("range_start").cast(W.WIDE)
+        hashed = told.withColumn("hash", (start + W.times_fraction(F.col("range_size"), F.col("fraction"))).cast(W.WIDE))
+        return hashed.withColumn("hash_hex", W.let(F.col("hash"), lambda h: W.decimal_hex(h, self.bits))).drop(*drop)
 
     def apply(self, df: DataFrame, keep: tuple[str, ...] = ("vec_id",), vector: str = "embedding") -> DataFrame:
         return self.hash_routed(self.route(df, keep, vector))

@@ -72,27 +72,30 @@ def numbered(ranged: DataFrame, position: str = "position", name: str = "ranged"
     )
 
 
-#: Rows of a block of consecutive positions: sums are made inside blocks and, one row a block, between them.
-BLOCK_ROWS = 100_000
-
-
 def with_running_sum(df: DataFrame, order_by: list[str], weight: str, name: str, few: bool = False, partitions: int | None = None) -> DataFrame:
     """Add ``name``: the sum of ``weight`` over all rows before each row in the order of ``order_by``.
 
-    ``order_by`` should end in a unique column. ``few``: so few rows that one task may add them up."""
+    Sums are made inside range partitions and, one row a partition, between them. ``order_by``
+    should end in a unique column. ``few``: so few rows that one task may add them up."""
     zero = F.lit(0).cast("bigint")
     if few:
         before = Window.partitionBy(F.lit(1)).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(name, F.coalesce(F.sum(weight).over(before), zero))
-    placed = staged(with_position(df, order_by, "__nth", partitions), "running").withColumn("__block", F.floor(F.col("__nth") / BLOCK_ROWS))
-    sums = placed.groupBy("__block").agg(F.sum(weight).alias("__sum"))
-    blocks = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("__block", F.coalesce(F.sum("__sum").over(blocks), zero).alias("__start"))
-    inner = Window.partitionBy("__block").orderBy("__nth").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = df.repartitionByRange(_partitions(df, partitions), *[F.col(c) for c in order_by]).sortWithinPartitions(*order_by)
+    placed = staged(ranged.withColumn("__mid", F.monotonically_increasing_id()), "running")
+    placed = placed.withColumn("__pid", F.shiftright("__mid", _LOCAL_BITS))
+    sums = placed.groupBy("__pid").agg(F.sum(weight).cast("decimal(38,0)").alias("s")).collect()  # one row a partition
+    starts, total = [], 0
+    for row in sorted(sums, key=lambda r: r["__pid"]):
+        starts.append((row["__pid"], total))
+        total += int(row["s"] or 0)
+    offsets = df.sparkSession.createDataFrame(starts, "__pid bigint, __start bigint")
+    inner = Window.partitionBy("__pid").orderBy("__mid").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        placed.join(F.broadcast(starts), "__block")
-        .withColumn(name, F.col("__start") + F.coalesce(F.sum(weight).over(inner), zero))
-        .drop("__nth", "__block", "__start")
+        placed.withColumn("__own", F.coalesce(F.sum(weight).over(inner), zero))
+        .join(F.broadcast(offsets), "__pid")
+        .withColumn(name, F.col("__start") + F.col("__own"))
+        .drop("__mid", "__pid", "__own", "__start")
     )
 
 

@@ -11,7 +11,7 @@ from ranklore.operators import centroids as C
 from ranklore.operators import evaluation as E
 from ranklore.operators import search as S
 from ranklore.operators import vector_hash as VH
-from ranklore.queries.tables import table
+from ranklore.queries.tables import by_ranges, table
 
 K = 8
 _SUM = "list_reduce(list_transform(list_zip({a}, {b}), lambda t: (t[1] - t[2]) * (t[1] - t[2])), lambda x, y: x + y)"
@@ -249,6 +249,21 @@ def base_rank(spark, sf_dir):
     return E.base_ranks(_neighbours(spark, sf_dir)[0])
 
 
+@register("base_rank_by_ranges", f"WITH {_HASHED} SELECT vec_id AS base_id, hash, row_number() OVER (ORDER BY hash, vec_id) - 1 AS rank FROM hs")
+def base_rank_by_ranges(spark, sf_dir):
+    with by_ranges(spark):
+        return E.base_ranks(_neighbours(spark, sf_dir)[0])
+
+
+@register(
+    "recall_ladder_by_ranges",
+    f"WITH {_EVAL} SELECT w::BIGINT AS \"window\", round(avg(CASE WHEN rank_gap <= w THEN 1.0 ELSE 0 END), 9) AS recall FROM nb, (VALUES (5), (50)) v(w) GROUP BY w",
+)
+def recall_ladder_by_ranges(spark, sf_dir):
+    with by_ranges(spark):
+        return E.recall_by_window(E.neighbour_table(*_neighbours(spark, sf_dir)), [5, 50]).withColumn("recall", F.round("recall", 9))
+
+
 @register(
     "query_lower_bound_pos",
     f"WITH {_HASHED}, n AS (SELECT count(*) AS n FROM hs) SELECT q.vec_id AS query_id, least(any_value(n.n) - 1, count(b.vec_id)) AS pos "

@@ -8,7 +8,7 @@ from ranklore.catalogue import register
 from ranklore.functions import models as M
 from ranklore.operators import keys as K
 from ranklore.operators import learned as L
-from ranklore.queries.tables import table
+from ranklore.queries.tables import by_ranges, table
 
 
 def sig(x: str, digits: int = 12) -> str:
@@ -37,6 +37,15 @@ def key_positions(spark, sf_dir):
     return K.unique_keys(table(spark, sf_dir, "lineitem"), "l_partkey").select("key", "pos")
 
 
+@register(
+    "key_positions_by_ranges",
+    "SELECT DISTINCT l_orderkey AS key, (rank() OVER (ORDER BY l_orderkey) - 1)::BIGINT AS pos FROM lineitem",
+)
+def key_positions_by_ranges(spark, sf_dir):
+    with by_ranges(spark):
+        return K.unique_keys(table(spark, sf_dir, "lineitem"), "l_orderkey").select("key", "pos")
+
+
 @register("unique_keys", "SELECT o_custkey AS key, count(*) AS copies FROM orders GROUP BY 1")
 def unique_keys(spark, sf_dir):
     return K.unique_keys(table(spark, sf_dir, "orders"), "o_custkey").select("key", "copies")
@@ -90,9 +99,15 @@ _TRIMMED = (
 _LOGGED = ", k2 AS (SELECT x, ln(y::DOUBLE) AS y FROM k WHERE y > 0)"
 
 
-def _one(kind: str, sql: str, source: str = "events", key: str = "value") -> None:
-    @register(f"{kind}_fit", sql)
+def _one(kind: str, sql: str, source: str = "events", key: str = "value", ranges: bool = False) -> None:
+    @register(f"{kind}_fit" + "_by_ranges" * ranges, sql)
     def fit(spark, sf_dir):
+        if not ranges:
+            return made(spark, sf_dir)
+        with by_ranges(spark):
+            return made(spark, sf_dir)
+
+    def made(spark, sf_dir):
         view = K.key_view(table(spark, sf_dir, source), key)
         fitted = M.KINDS[kind].fit(view, [])
         width = len(M.KINDS[kind].empty)
@@ -106,6 +121,7 @@ def _line_sql(extra: str, source: str) -> str:
 
 _one("linear", _line_sql("", "k"))
 _one("robust_linear", _line_sql(_TRIMMED, "k2"))
+_one("robust_linear", _line_sql(_TRIMMED, "k2"), ranges=True)
 _one("loglinear", _line_sql(_LOGGED, "k2"))
 _one(
     "linear_spline",
@@ -270,6 +286,12 @@ def rm_two_layer_predict(spark, sf_dir):
     return index.predict(keys, "value").select("value", "leaf", "pred", "err")
 
 
+@register("rm_leaf_errors_by_ranges", two_layer("lineitem", "l_partkey", 32, True) + "SELECT leaf, n, own_err, max_err FROM er")
+def rm_leaf_errors_by_ranges(spark, sf_dir):
+    with by_ranges(spark):
+        return _index(spark, sf_dir, "lineitem", "l_partkey", 32).errors
+
+
 @register("rm_leaf_errors", two_layer("lineitem", "l_orderkey", 32, True) + "SELECT leaf, n, own_err, max_err FROM er")
 def rm_leaf_errors(spark, sf_dir):
     return _index(spark, sf_dir, "lineitem", "l_orderkey", 32).errors

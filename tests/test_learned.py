@@ -142,11 +142,11 @@ def test_hot_keys_weigh_and_are_not_repeated(spark):
     counts = [(k, 1 + (k * 7) % 5 + (40 if k == 11 else 0)) for k in range(1, 60)]
     weighted = spark.createDataFrame(counts, "key bigint, copies bigint")
     repeated = keys_of(spark, [k for k, c in counts for _ in range(c)])
-    for spec in ("linear,linear", "robust_linear,linear", "cubic,linear", "normal,linear_spline", "linear,linear,cubic", "loglinear,linear", "linear,robust_linear"):
+    for spec in ("robust_linear,linear", "cubic,linear_spline", "linear,linear,cubic"):
         a = L.train(weighted, "key", spec, 4, L.Keys.of(weighted, "key", "copies"))
         b = L.train(repeated, "key", spec, 4)
         assert a.rows == b.rows and a.errors.orderBy("leaf").collect() == b.errors.orderBy("leaf").collect(), spec
-    for kind in ("linear", "robust_linear", "loglinear", "linear_spline", "cubic", "normal", "lognormal", "cdf_piecewise", "radix"):
+    for kind in ("linear", "robust_linear", "loglinear", "cubic", "normal", "lognormal", "cdf_piecewise"):
         rows = K.training_view(repeated, "key").withColumn("g", F.col("k") % 2)
         view = K.key_view(repeated, "key").withColumn("g", F.col("k") % 2)
         for group in ([], ["g"]):

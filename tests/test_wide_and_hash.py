@@ -69,3 +69,14 @@ def test_scalar_hash_follows_keys(spark):
     assert len(wide[5]["hash_hex"]) == 64
     assert H.order_violations(trained.apply(keys, "key"), "key", "hash").first()[0] == 0
     assert trained.manifest()["mapping"]["bits"] == 64
+
+
+def test_filters_on_hashes_and_both_forms(spark):
+    """A filter on a hash is pushed below the arithmetic: it must still plan and give the same rows."""
+    keys = spark.range(400).select((F.col("id") * 3).alias("key"))
+    trained = H.fit_scalar_hash(keys, "key", "linear,linear", 8, 64)
+    told = trained.apply(keys, "key")
+    rows = told.collect()
+    cut = sorted(r["hash"] for r in rows)[200]
+    assert told.filter(F.col("hash") >= F.lit(cut)).count() == sum(r["hash"] >= cut for r in rows)
+    assert told.filter(F.col("hash") != H.map_prediction(F.col("prediction"), trained.mapping)).isEmpty()
