@@ -187,7 +187,7 @@ class LocalSearch(Residual):
             codes = self.encode(x)
             design = np.zeros((len(x), self.m * size))
             for i in range(self.m):
-                design[np.arange(len(x)), i * size + codes[:, i]] = 1.0
+                design[np.arange(len(x)), i * size + codes[:, i].astype(np.int64)] = 1.0
             gram = design.T @ design + 1e-3 * np.eye(self.m * size)
             books = np.linalg.solve(gram, design.T @ x)
             self.codebooks = [books[i * size : (i + 1) * size] for i in range(self.m)]

@@ -209,19 +209,19 @@ RECALL_SETTINGS: tuple[tuple[str, str, dict], ...] = (
     ("index_ivf_pq_residual", "Refine10(IVF8r,PQ16x6)", {"probes": 7}),
     ("index_ivf_pq_refined_codes", "Refine6(IVF8r,PQ16x6+PQ16x6)", {"probes": 7}),
     ("index_ivf_rq", "Refine20(IVF8r,RQ8x6)", {"probes": 7}),
-    ("index_ivf_lsq", "Refine24(IVF8r,LSQ4x6)", {"probes": 7}),
+    ("index_ivf_lsq", "Refine24(IVF8r,LSQ6x6)", {"probes": 7}),
     ("index_ivf_prq", "Refine16(IVF8r,PRQ4x4x5)", {"probes": 7}),
     ("index_ivf_plsq", "Refine20(IVF8r,PLSQ4x4x4)", {"probes": 7}),
     ("index_ivf_rabitq", "Refine20(IVF8,RaBitQ)", {"probes": 7}),
-    ("index_ivf_spectral_hash", "Refine32(IVF8,SH64)", {"probes": 7}),
+    ("index_ivf_spectral_hash", "Refine64(IVF8,SH64)", {"probes": 8}),
     ("index_ivf_dedup", "Dedup(IVF8,Flat)", {"probes": 7}),
     ("index_ivf_other_space", "Coarse(PCA16),IVF8,Flat", {"probes": 7}),
     ("index_rq", "Refine16(RQ8x6)", {}),
-    ("index_lsq", "Refine24(LSQ4x6)", {}),
+    ("index_lsq", "Refine24(LSQ6x6)", {}),
     ("index_prq", "Refine8(PRQ4x4x5)", {}),
     ("index_plsq", "Refine16(PLSQ4x4x4)", {}),
     ("index_rabitq", "Refine16(RaBitQ)", {}),
-    ("index_lsh", "Refine32(LSH64)", {}),
+    ("index_lsh", "Refine48(LSH64)", {}),
     ("index_two_layer", "Refine8(2Layer8_PQ16x6)", {}),
     ("index_pq_fast", "Refine8(PQ32x4fs)", {}),
     ("index_rq_fast", "Refine24(RQ16x4fs)", {}),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ranklore.functions import bits
 from ranklore.functions import randoms as RN
 from ranklore.operators import centroids as C
+from ranklore.operators import codecs as Q
 from ranklore.operators import export as EX
 from ranklore.operators import graphs as G
 from ranklore.operators import indexes as IX
@@ -355,3 +356,11 @@ def test_encoded_training_and_entries(spark, cloud):
     assert told.select("query_id", "base_id").join(S.knn(df.filter("vec_id < 20"), df, 5).select("query_id", "base_id"), ["query_id", "base_id"]).count() > 90
     with pytest.raises(ValueError):
         G.GraphIndex(8, entries=4)
+
+
+def test_additive_codebooks_beyond_a_byte():
+    """More words in all codebooks together than a byte counts."""
+    x = np.random.default_rng(1).normal(size=(300, 6))
+    for codec in (Q.LocalSearch(6, 6, rounds=1), Q.ProductAdditive(2, 5, 6, local_search=True)):
+        codec.fit(x)
+        assert ((codec.decode(codec.encode(x)) - x) ** 2).mean() < 0.05
