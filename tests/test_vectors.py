@@ -397,6 +397,7 @@ def far_apart(spark, tmp_path_factory):
     [
         ("index_hnsw", {"ef": 10}),
         ("index_hnsw_flat_progressive", {"ef": 10}),
+        ("index_hnsw_sq", {"ef": 10}),
     ],
 )
 def test_index_reaches_the_floor(spark, far_apart, name, narrow):
