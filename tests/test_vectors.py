@@ -400,6 +400,7 @@ def far_apart(spark, tmp_path_factory):
         ("index_hnsw_sq", {"ef": 10}),
         ("index_ivf_lsq", {}),
         ("index_ivf_plsq", {}),
+        ("index_ivf_plsq_fast", {}),
     ],
 )
 def test_index_reaches_the_floor(spark, far_apart, name, narrow):
