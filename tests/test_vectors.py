@@ -401,6 +401,7 @@ def far_apart(spark, tmp_path_factory):
         ("index_ivf_lsq", {}),
         ("index_ivf_plsq", {}),
         ("index_ivf_plsq_fast", {}),
+        ("index_ivf_pq_fast", {}),
     ],
 )
 def test_index_reaches_the_floor(spark, far_apart, name, narrow):
