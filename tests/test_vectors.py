@@ -403,6 +403,7 @@ def far_apart(spark, tmp_path_factory):
         ("index_ivf_plsq_fast", {}),
         ("index_ivf_pq_fast", {}),
         ("index_hnsw_pq", {"ef": 10}),
+        ("index_hnsw_two_level", {"ef": 10}),
     ],
 )
 def test_index_reaches_the_floor(spark, far_apart, name, narrow):
