@@ -404,6 +404,7 @@ def far_apart(spark, tmp_path_factory):
         ("index_ivf_pq_fast", {}),
         ("index_hnsw_pq", {"ef": 10}),
         ("index_hnsw_two_level", {"ef": 10}),
+        ("index_ivf_lsq_fast", {}),
     ],
 )
 def test_index_reaches_the_floor(spark, far_apart, name, narrow):
