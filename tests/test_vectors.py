@@ -406,6 +406,7 @@ def far_apart(spark, tmp_path_factory):
         ("index_hnsw_two_level", {"ef": 10}),
         ("index_ivf_lsq_fast", {}),
         ("index_ivf_pq", {}),
+        ("index_ivf_pq_residual", {}),
     ],
 )
 def test_index_reaches_the_floor(spark, far_apart, name, narrow):
