@@ -407,6 +407,7 @@ def far_apart(spark, tmp_path_factory):
         ("index_ivf_lsq_fast", {}),
         ("index_ivf_pq", {}),
         ("index_ivf_pq_residual", {}),
+        ("index_ivf_prq", {}),
     ],
 )
 def test_index_reaches_the_floor(spark, far_apart, name, narrow):
