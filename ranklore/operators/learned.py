@@ -322,15 +322,14 @@ def _greedy_spline(keys: np.ndarray, offsets: np.ndarray, line: int, previous: i
     """Points of a spline that finds the line (offset div ``line``) of every key.
 
     A key brings the point before it (key - 1 with its own offset), unless that is the key
-    before (``previous`` for the first), and its own. From a segment's start every point
+    before (``previous`` for the first; none below it), and its own. From a segment's start every point
     passed allows a range of slopes, those that keep it in its line; the segment ends before
     the first point whose own slope leaves what all allow."""
-    before = np.maximum(keys - 1, 0)
-    extra = before != np.concatenate(([previous], keys[:-1]))
+    extra = np.concatenate(([previous], keys[:-1])) + 1 < keys
     at = np.cumsum(extra + 1) - 1  # where each key's own point goes
     x, y = np.empty(at[-1] + 1, np.int64), np.empty(at[-1] + 1, np.int64)
     x[at], y[at] = keys, offsets
-    x[at[extra] - 1], y[at[extra] - 1] = before[extra], offsets[extra]
+    x[at[extra] - 1], y[at[extra] - 1] = keys[extra] - 1, offsets[extra]
     floor = y // line * line
 
     def fits(start: int, end: int) -> bool:
@@ -367,18 +366,24 @@ def bounded_spline(df: DataFrame, key: str, line: int, block: int = SPLINE_BLOCK
     """key, value: spline points that give the right line of ``line`` rows for every key.
 
     The greedy fit is sequential, so it runs in blocks of consecutive keys, in parallel;
-    every block starts a segment of its own, which costs at most two points a block.
+    every block starts a segment of its own, which costs at most two points a block. A block
+    knows the last key before it, so that no two points share a key: a lookup between two
+    blocks could not tell which of them ends its segment.
     """
     if df.count() <= line:
         raise ValueError("fewer rows than a line holds")
+    nth = F.col("__nth")
     placed = with_position(key_view(df, key).select("k", "y"), ["k"], "__nth")
+    placed = placed.withColumn("__block", F.explode(F.array_distinct(F.array(F.floor(nth / block), F.floor((nth + 1) / block)))))
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("__nth")
-        previous = 0 if part["__nth"].iloc[0] == 0 else -1  # a block but the first starts with the point before its first key
-        return pd.DataFrame(_greedy_spline(part["k"].to_numpy(), part["y"].to_numpy(), line, previous), columns=["key", "value"])
+        lent = part["__nth"] < part["__block"] * block  # the last key of the block before
+        own, previous = part[~lent], part["k"].iloc[0] if lent.any() else 0
+        points = _greedy_spline(own["k"].to_numpy(), own["y"].to_numpy(), line, previous) if len(own) else []
+        return pd.DataFrame(points, columns=["key", "value"], dtype="int64")
 
-    return placed.groupBy(F.floor(F.col("__nth") / block).alias("__block")).applyInPandas(fit, "key bigint, value bigint")
+    return placed.groupBy("__block").applyInPandas(fit, "key bigint, value bigint")
 
 
 def spline_lookup(points: DataFrame, keys: DataFrame, key: str, line: int, total: int) -> DataFrame:

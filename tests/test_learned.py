@@ -103,6 +103,21 @@ def test_bounded_spline(spark):
     assert points.count() < len(values)
 
 
+def test_bounded_spline_between_blocks(spark):
+    """Blocks that meet at neighbouring keys: no key has two points, and each key finds its line whichever way ties fall."""
+    copies = [1 + (k * k) % 6 for k in range(400)]
+    values = [k + 3 * (k // 130) - 200 for k, c in enumerate(copies) for _ in range(c)]  # below zero too, and gaps
+    df = keys_of(spark, values)
+    for block in (1, 50):
+        points = [tuple(r) for r in L.bounded_spline(df, "key", 4, block).collect()]
+        assert len({k for k, _ in points}) == len(points), block
+        place = {v: values.index(v) for v in values}
+        for order in (sorted(points), sorted(points, reverse=True)):
+            table = spark.createDataFrame(order, "key bigint, value bigint").coalesce(1)
+            found = L.spline_lookup(table, df.distinct(), "key", 4, len(values)).collect()
+            assert len(found) == 400 and all(r["start"] <= place[r["key"]] < r["start"] + 4 for r in found), block
+
+
 def plain_spline(keys, offsets, line):
     """The greedy fit point by point."""
     points, last = [], 0
